@@ -1,0 +1,29 @@
+"""Checked sizes: what a plan reads, from Catalyst's statistics, without running it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the leaf relations of the optimised plan; None when it is not known."""
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:
+        return None
+    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        total += int(str(leaves.apply(i).stats().sizeInBytes()))
+    return total
+
+
+def reads_little(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
+    """True when all inputs together stay below ``limit``.
+
+    Meant for frames whose rows come one-to-one from input rows (filters, joins on unique keys,
+    aggregates), so that a small input proves a small frame.
+    """
+    size = input_bytes(df)
+    return size is not None and size <= limit
