@@ -11,8 +11,8 @@ Spark can partition on either key; no row ever holds the carriers of a whole cha
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import cached_property
+from collections.abc import Callable, Mapping
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +43,12 @@ GEO_COLUMNS = ("country_name", "admin1_name", "admin2_name", "admin3_name")
 
 
 class Tables:
-    """Attribute access to the named tables, with the two derived frames most filters need."""
+    """Attribute access to the named tables, with the two derived frames most filters need.
 
-    def __init__(self, frames: Mapping[str, DataFrame]):
+    A table may be given as a function, which is called when the table is first used.
+    """
+
+    def __init__(self, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         unknown = set(frames) - set(TABLE_NAMES)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
@@ -54,16 +57,19 @@ class Tables:
     @classmethod
     def load(cls, spark: SparkSession, root: str, names=TABLE_NAMES, fmt: str = "parquet") -> "Tables":
         """Tables written below ``root``, one directory per name."""
-        return cls({name: spark.read.format(fmt).load(f"{root}/{name}") for name in names})
+        return cls({name: partial(spark.read.format(fmt).load, f"{root}/{name}") for name in names})
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
-            return self.__dict__["_frames"][name]
+            return self[name]
         except KeyError:
             raise AttributeError(name) from None
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self._frames[name]
+        frames = self.__dict__["_frames"]
+        if not isinstance(frames[name], DataFrame):
+            frames[name] = frames[name]()
+        return frames[name]
 
     def __contains__(self, name: str) -> bool:
         return name in self._frames

@@ -252,7 +252,7 @@ def query_oracles() -> dict[str, str]:
         def incidence(w: str, keep_refs: str, catalog=catalog, columns=columns) -> str:
             members = (
                 "SELECT DISTINCT s.id FROM samples s JOIN calls c ON c.sample_id = s.id "
-                f"WHERE lineage_name = 'N3' AND lineage_system_name = 'consensus' AND ({w})"
+                f"WHERE lineage_name = 'N17' AND lineage_system_name = 'consensus' AND ({w})"
             )
             return sql(
                 f"SELECT {columns}, n AS count, round(n / total, 6) AS prevalence, total AS sample_count FROM ("
@@ -536,7 +536,3 @@ def query_oracles() -> dict[str, str]:
             "GROUP BY gff_feature, ref_aa, position_aa, alt_aa"
         )
     return o
-
-
-def all_oracles() -> dict[str, str]:
-    return query_oracles()

@@ -110,7 +110,7 @@ def query_operators() -> dict[str, Query]:
         q[f"variant_frequency_by_collection_date_{axis}"] = t(
             variants.variant_frequency_by_collection_date, MONTH, axis
         )
-        q[f"mutation_incidence_{axis}"] = t(lineages.mutation_incidence, "N3", "consensus", axis, 0.01)
+        q[f"mutation_incidence_{axis}"] = t(lineages.mutation_incidence, "N17", "consensus", axis, 0.01)
     q["count_variants_by_freq_range_aa"] = t(counts.count_variants_by_column, "alt_freq_range", "aa")
     q["count_variants_by_collection_date_aa_week"] = t(counts.count_variants_by_collection_date, WEEK, "aa", SAMPLE_WHERE)
     q["count_mutations_by_collection_date_aa_days"] = t(
@@ -155,7 +155,7 @@ def query_operators() -> dict[str, Query]:
     )
     q["lineage_counts_over_time_days"] = t(lineages.lineage_counts_over_time, DAYS)
     q["mutation_incidence_reference"] = t(
-        lineages.mutation_incidence, "N3", "consensus", "aa", 0.01, True, "platform <> '5-LOW'"
+        lineages.mutation_incidence, "N17", "consensus", "aa", 0.01, True, "platform <> '5-LOW'"
     )
     q["mutation_profile"] = t(lineages.mutation_profile, "N3", "consensus")
     q["mutation_profile_filtered"] = t(lineages.mutation_profile, "N3", "consensus", "host = 'BUILDING'")
@@ -204,7 +204,3 @@ def query_operators() -> dict[str, Query]:
     q["annotated_positions_variants"] = t(annotations.annotated_positions_variants, "Brand#12", SAMPLE_WHERE)
     q["annotation_id_sets"] = t(annotations.annotation_id_sets, "Brand#12")
     return q
-
-
-def all_queries() -> dict[str, Query]:
-    return query_operators()
