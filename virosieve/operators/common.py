@@ -3,6 +3,7 @@ under a user filter, and binned samples."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -63,10 +64,15 @@ def as_filter(where: Filter) -> Column | None:
 
 
 def resolves(df: DataFrame, condition: Column) -> bool:
+    """Whether a filter only mentions columns of ``df``."""
+    log = logging.getLogger("SQLQueryContextLogger")
+    was_disabled, log.disabled = log.disabled, True
     try:
         df.filter(condition)
     except AnalysisException:
         return False
+    finally:
+        log.disabled = was_disabled
     return True
 
 

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.changes import mature_to_sequential, parse_change
+from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.plans.joins import join_null_safe
 from virosieve.tables import Tables
@@ -122,10 +123,11 @@ def ingest_annotations(tables: Tables, rows: DataFrame, features: dict[str, str]
 
     Rows of one (marker, effect) form one annotation of all their changes. A group with any change
     that cannot be read or is not in the catalog is skipped whole. Effects and papers of the other
-    groups are added when new; a group that repeats an id set of its effect adds nothing more.
+    groups are added when new; a group that repeats an id set of its effect adds nothing more. The
+    tables that others refer to by id are written first.
     """
     changes = marker_changes(rows, features, mature_feature)
-    members = _complete_sets(changes, tables.amino_acids)
+    members = cut(_complete_sets(changes, tables.amino_acids), "marker-members")
     usable = rows.join(members.select(*_GROUP), _GROUP, "left_semi")
 
     details = usable.select(F.col("effect_detail").alias("detail")).distinct()
@@ -133,10 +135,12 @@ def ingest_annotations(tables: Tables, rows: DataFrame, features: dict[str, str]
 
     cited = usable.select(*_PAPER_KEY).distinct()
     new_papers = join_null_safe(cited, tables.papers.select(*_PAPER_KEY), _PAPER_KEY, "left_anti")
-    papers = tables.papers.unionByName(assign_ids(new_papers, _PAPER_KEY, highest(tables.papers)))
+    added_papers = assign_ids(new_papers, _PAPER_KEY, highest(tables.papers))
+    papers = cut(tables.papers.unionByName(added_papers), "papers")
 
     new = new_annotation_groups(members, tables)
     added = assign_ids(new, _GROUP, highest(tables.annotations, "annotation_id"), "annotation_id")
+    added = cut(added, "annotations")
     annotations = tables.annotations.unionByName(added.select(*tables.annotations.columns))
     links = members.join(added, _GROUP).select("annotation_id", "amino_acid_id")
     paper_ids = papers.select(F.col("id").alias("paper_id"), *_PAPER_KEY)

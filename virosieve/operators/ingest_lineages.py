@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.tables import Tables
 
@@ -12,19 +13,23 @@ _CALL_KEY = ["sample_id", "lineage_id", "is_consensus_call"]
 
 def lineage_system_upsert(systems: DataFrame, system: str) -> DataFrame:
     """The system table, with this name added when it is new."""
-    new = systems.sparkSession.createDataFrame([(system,)], "lineage_system_name string")
+    new = systems.sparkSession.range(1).select(F.lit(system).alias("lineage_system_name"))
     new = new.join(systems.select("lineage_system_name"), "lineage_system_name", "left_anti")
     return systems.unionByName(assign_ids(new, ["lineage_system_name"], highest(systems)))
 
 
 def lineage_dimension_upsert(tables: Tables, system: str, names: DataFrame) -> Tables:
-    """Systems and lineages with the missing ones added. ``names`` holds ``lineage_name``."""
-    systems = lineage_system_upsert(tables.lineage_systems, system)
+    """Systems and lineages with the missing ones added. ``names`` holds ``lineage_name``.
+
+    Both are written before rows refer to their ids.
+    """
+    systems = cut(lineage_system_upsert(tables.lineage_systems, system), "lineage-systems")
     own = systems.filter(F.col("lineage_system_name") == system).select(F.col("id").alias("lineage_system_id"))
     known = tables.lineages.join(own, "lineage_system_id", "left_semi").select("lineage_name")
     new = names.select("lineage_name").distinct().join(known, "lineage_name", "left_anti")
     added = assign_ids(new, ["lineage_name"], highest(tables.lineages)).withColumn("lineage_system_id", own.scalar())
-    return tables.replace(lineage_systems=systems, lineages=tables.lineages.unionByName(added))
+    lineages = cut(tables.lineages.unionByName(added), "lineages")
+    return tables.replace(lineage_systems=systems, lineages=lineages)
 
 
 def _lineage_ids(tables: Tables, system: str) -> DataFrame:

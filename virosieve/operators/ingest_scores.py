@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.tables import Tables
 
@@ -53,7 +54,8 @@ def load_scores(tables: Tables, scores: DataFrame) -> Tables:
     """Load long scores (change columns, metric name and assay type, value, input_order): values of
     unknown changes are skipped, and a metric exists once it has a value."""
     found = lookup_equivalent_changes(scores.filter(F.col("value").isNotNull()), tables.amino_acids)
-    metrics = metric_dimension_upsert(tables.phenotype_metrics, found)
+    # written before values refer to its ids
+    metrics = cut(metric_dimension_upsert(tables.phenotype_metrics, found), "metrics")
     ids = metrics.select(F.col("id").alias("phenotype_metric_id"), "phenotype_metric_name")
     values = metric_value_upsert(tables.phenotype_metric_values, found.join(ids, "phenotype_metric_name"))
     return tables.replace(phenotype_metrics=metrics, phenotype_metric_values=values.drop("updated"))

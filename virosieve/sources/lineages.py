@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from virosieve.functions.values import blank_to_null
 from virosieve.sources.delimited import read_delimited, renamed
 
 # Model column -> header, and separator, of the two call layouts.
@@ -20,18 +19,22 @@ def read_consensus_lineages(spark: SparkSession, paths, layout: str) -> DataFram
     return renamed(read_delimited(spark, paths, sep, columns.values()), columns)
 
 
-def read_demixed_dir(spark: SparkSession, directory: str, keep_malformed: bool = False) -> DataFrame:
-    """Abundances from a directory of ``<accession>.demixed`` files: ``accession, lineage_name,
-    abundance, input_order``.
-
-    A file counts only if it has a lineages and an abundances line of equal length, all abundances
-    are numbers, and an accession named inside agrees with the file name. ``keep_malformed`` returns
-    the other files instead, as ``accession, problem``. A file is a few lines for one sample; the
-    directory may hold very many.
-    """
+def read_demixed_dir(spark: SparkSession, directory: str, malformed: bool = False) -> DataFrame:
+    """Abundances from a directory of ``<accession>.demixed`` files. A file is a few lines for one
+    sample; the directory may hold very many."""
     files = spark.read.text(directory, wholetext=True, pathGlobFilter="*.demixed").select(
         "value", F.regexp_extract("_metadata.file_name", r"^(.*)\.demixed$", 1).alias("accession")
     )
+    return parse_demixed(files, malformed)
+
+
+def parse_demixed(files: DataFrame, malformed: bool = False) -> DataFrame:
+    """File texts (``accession, value``) to ``accession, lineage_name, abundance, input_order``.
+
+    A file counts only if it has a lineages and an abundances line of equal length, all abundances
+    are numbers, and an accession named inside agrees with the file name. ``malformed`` returns the
+    other files instead, as ``accession, problem``.
+    """
     lines = F.transform(F.split("value", r"\r\n|\r|\n", -1), lambda line: _strip(line))
 
     def last(prefix: str):
@@ -58,14 +61,14 @@ def read_demixed_dir(spark: SparkSession, directory: str, keep_malformed: bool =
         .when(F.exists("numbers", lambda n: n.isNull()), "an abundance is not a number")
         .when(F.size("names") != F.size("numbers"), "lineages and abundances differ in length")
     )
-    if keep_malformed:
+    if malformed:
         return parsed.select("accession", problem.alias("problem")).filter(F.col("problem").isNotNull())
     good = parsed.filter(problem.isNull())
     pairs = F.posexplode(F.arrays_zip(F.col("names").alias("n"), F.col("numbers").alias("a"))).alias("place", "pair")
     return good.select("accession", pairs).select(
         "accession",
-        F.col("pair.names").alias("lineage_name"),
-        F.col("pair.numbers").alias("abundance"),
+        F.col("pair.n").alias("lineage_name"),
+        F.col("pair.a").alias("abundance"),
         F.col("place").alias("input_order"),
     )
 
@@ -85,9 +88,3 @@ def read_lineage_edges(spark: SparkSession, paths) -> DataFrame:
     """The hierarchy from JSON lines."""
     return lineage_edges(spark.read.json(paths, schema="name string, parent string"))
 
-
-def complete_calls(calls: DataFrame) -> DataFrame:
-    """Calls with both an accession and a lineage."""
-    return calls.filter(
-        blank_to_null(F.col("accession")).isNotNull() & blank_to_null(F.col("lineage_name")).isNotNull()
-    )

@@ -41,9 +41,9 @@ def cleaning_oracles() -> dict[str, str]:
     end = (f"CASE kind WHEN 0 THEN {year_end} WHEN 1 THEN {month_end} WHEN 2 THEN d WHEN 3 THEN d "
            f"WHEN 4 THEN {year_end} WHEN 7 THEN make_date(cast(y AS int) + 1, 12, 31) END")
     o["collection_window"] = sql(
-        f"SELECT t.id, collection_date, cast(cast({start.replace('kind', 't.kind').replace(' d ', ' t.d ').replace(', d)', ', t.d)').replace('THEN d', 'THEN t.d')} AS date) AS varchar) AS collection_start_date, "
-        f"cast(cast({end.replace('kind', 't.kind').replace('(d)', '(t.d)').replace('THEN d', 'THEN t.d')} AS date) AS varchar) AS collection_end_date, "
-        "t.kind IN (5, 6) AS bad_collection_date FROM date_texts t JOIN raw_dates r ON r.id = t.id"
+        f"SELECT id, collection_date, cast(cast({start} AS date) AS varchar) AS collection_start_date, "
+        f"cast(cast({end} AS date) AS varchar) AS collection_end_date, kind IN (5, 6) AS bad_collection_date "
+        "FROM (SELECT r.*, collection_date FROM raw_dates r JOIN date_texts t ON t.id = r.id)"
     )
     o["clean_values"] = sql(
         "SELECT l_orderkey, l_linenumber, nullif(number_text, '') AS number_text, "
@@ -177,7 +177,8 @@ def change_oracles() -> dict[str, str]:
     )
     o["transpose_carriers"] = sql("SELECT sample_id, change_id FROM cns_edges")
     o["carrier_bitmaps"] = sql(
-        "SELECT change_id, (sample_id - 1) // 32768 + 1 AS bucket, count(*) AS n FROM cns_edges GROUP BY ALL"
+        "SELECT change_id, CASE WHEN sample_id > 0 THEN (sample_id - 1) // 32768 + 1 ELSE 0 END AS bucket, count(*) AS n "
+        "FROM cns_edges GROUP BY ALL"
     )
     return o
 

@@ -149,10 +149,12 @@ def dimension_loading() -> dict[str, Query]:
         features = {name: name for name in ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")}
         return ingest_annotations.ingest_annotations(stored, rows, features)
 
+    def members(*inputs):
+        loaded = annotate(*inputs)
+        return loaded.annotations_amino_acids.join(loaded.annotations, "annotation_id")
+
     inputs = ("raw_markers", "known_annotations", "known_annotation_members")
-    q["ingest_annotations"] = on_both(
-        lambda *a: annotate(*a).annotations_amino_acids.join(annotate(*a).annotations, "annotation_id"), *inputs
-    )
+    q["ingest_annotations"] = on_both(members, *inputs)
     q["ingest_annotations_papers"] = on_both(lambda *a: annotate(*a).papers.drop("id"), *inputs)
     q["ingest_annotations_effects"] = on_both(lambda *a: annotate(*a).effects, *inputs)
     q["ingest_annotations_citations"] = on_both(

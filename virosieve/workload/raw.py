@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from virosieve.workload.binding import register_base, with_clause
+from virosieve.workload.binding import frame, with_clause
 
 
 def codon(x: str) -> str:
@@ -130,8 +130,9 @@ RAW = {
   SELECT concat('S', cast(l_orderkey AS string)) AS accession,
          CASE WHEN l_suppkey % 4 = 0 THEN concat('Q', cast(l_suppkey AS string))
               ELSE concat('R', cast(n_regionkey AS string), '.', cast(n_nationkey AS string), '.', cast(s_suppkey AS string)) END AS lineage_name,
-         l_discount AS abundance, l_linenumber AS input_order
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber <= 3""",
+         max(l_discount) AS abundance, l_linenumber AS input_order
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber <= 3
+  GROUP BY l_orderkey, l_suppkey, s_suppkey, n_regionkey, n_nationkey, l_linenumber""",
     "raw_hierarchy": """
   SELECT concat('R', cast(n_regionkey AS string)) AS parent_name, concat('R', cast(n_regionkey AS string), '.', cast(n_nationkey AS string), '*') AS child_name
   FROM nation WHERE n_nationkey % 5 <> 4
@@ -153,6 +154,43 @@ RAW = {
   SELECT DISTINCT p.p_partkey AS annotation_id, b.id AS amino_acid_id FROM part p JOIN amino_acids a ON a.id = p.p_partkey
   JOIN amino_acids b ON b.gff_feature = a.gff_feature AND b.position_aa = a.position_aa AND b.ref_aa = a.ref_aa AND b.alt_aa = a.alt_aa
   WHERE p.p_partkey % 20 = 0""",
+    # --- records as the source files hold them, all cells text
+    "file_runs": """
+  SELECT accession, 'WGS' AS assay_type, cast(id % 300 AS string) AS avg_spot_length,
+         CASE WHEN id % 71 = 0 THEN '12.5' ELSE cast(id * 100 AS string) END AS bases, concat('PRJ', cast(id % 20 AS string)) AS bio_project,
+         concat('SAM', cast(id AS string)) AS bio_sample, CASE WHEN id % 43 <> 0 THEN 'model' END AS bio_sample_model,
+         cast(NULL AS string) AS bio_sample_accession, 'center, the "first"' AS center_name, cast(collection_start_date AS string) AS collection_date,
+         concat('EX', cast(id AS string)) AS experiment, CASE WHEN id % 5 = 0 THEN concat(census_region, '/a/b') WHEN id % 7 <> 0
+              THEN concat(census_region, '/', cast(geo_location_id AS string), '//') END AS geo_loc_name, host, 'instrument' AS instrument,
+         '' AS isolate, 'lib' AS library_name, 'PAIRED' AS library_layout, 'PCR' AS library_selection, 'VIRAL' AS library_source,
+         organism, platform, concat(cast(release_date AS string), 'T10:20:30Z') AS release_date, cast(creation_date AS string) AS creation_date,
+         '1' AS version, accession AS sample_name, 'study' AS sra_study, cast(NULL AS string) AS serotype, 'air' AS isolation_source,
+         CASE WHEN is_retracted THEN 'True' ELSE 'false' END AS is_retracted,
+         concat(cast(retraction_detected_date AS string), 'T00:00:00') AS retraction_detected_date FROM samples""",
+    "file_sd": """
+  SELECT accession, host, cast(collection_start_date AS string) AS collection_date,
+         concat(census_region, ' / ', cast(geo_location_id AS string)) AS geo_location FROM samples""",
+    "file_bulk": """
+  SELECT accession, 'PRJ' AS bio_project, concat('SAM', cast(id AS string)) AS bio_sample, host, cast(NULL AS string) AS isolate, organism,
+         'sewage' AS isolation_source, concat(cast(extract(year FROM collection_start_date) AS string), '-', cast(extract(month FROM collection_start_date) AS string)) AS collection_date,
+         concat(census_region, ':', cast(geo_location_id AS string), ':c') AS geo_location, census_region, cast(id AS string) AS bases,
+         cast(ww_viral_load AS string) AS ww_viral_load, cast(ww_catchment_population AS string) AS ww_catchment_population,
+         ww_site_id, ww_collected_by FROM samples""",
+    "file_ih_nt": """
+  SELECT region, position_nt, ref_nt, alt_nt, 10 AS ref_dp, 5 AS ref_rv, 30.5 AS ref_qual, gapped_dp AS alt_dp, 2 AS alt_rv, 31.5 AS alt_qual,
+         gapped_freq AS alt_freq, 100 AS total_dp, 0.25 AS pval, true AS pass_qc, cast(NULL AS string) AS gff_feature, cast(NULL AS string) AS ref_codon,
+         cast(NULL AS string) AS ref_aa, cast(NULL AS string) AS alt_codon, cast(NULL AS string) AS alt_aa, cast(NULL AS int) AS position_aa,
+         gapped_freq, gapped_dp, false AS flagged_pos, false AS amp_masked, 0.5 AS std_dev, 0.5 AS amp_freq, 1 AS amp_numbers, accession
+  FROM raw_ih_nt""",
+    "file_ih_codons": """
+  SELECT gff_feature, position_aa, ref_codon, alt_codon, ref_dp, alt_dp, alt_freq, '7;8' AS position_nt, 'A' AS ref_nt, 'C' AS alt_nt, accession FROM raw_ih_codons""",
+    "file_demixed": """
+  SELECT accession, lineage_name, input_order, abundance FROM
+    (SELECT accession, lineage_name, abundance, row_number() OVER (PARTITION BY accession ORDER BY lineage_name, input_order) - 1 AS input_order
+     FROM raw_abundances) AS q""",
+    "file_scores": """
+  SELECT position_aa, ref_aa, CASE WHEN id % 31 <> 0 THEN alt_aa END AS alt_aa, gff_feature,
+         CASE WHEN id % 3 = 0 THEN 'n/a' ELSE cast(id % 100 AS string) END AS stability, cast(id % 7 AS string) AS escape FROM amino_acids""",
     # --- rows that break rules
     "odd_ranges": """
   SELECT DISTINCT change_id, freq_bin * 50 AS lo, (freq_bin + 1) * 50 + CASE WHEN sample_id % 40 = 0 THEN 20 ELSE 0 END AS hi,
@@ -179,5 +217,4 @@ RAW = {
 
 
 def raw_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_base(spark, sf_dir)
-    return spark.sql(f"{with_clause(extra=RAW)}\nSELECT * FROM {name}")
+    return frame(spark, sf_dir, f"{with_clause(extra=RAW, only=name)}\nSELECT * FROM {name}")
