@@ -10,29 +10,21 @@ from pyspark.sql import Column, functions as F
 DEFAULT_MAX_SPAN_DAYS = 366
 
 
-def _whole_number(part: Column) -> Column:
-    return F.when(part.rlike(r"^[0-9]+\z"), part.try_cast("int"))
+# One side of a collection date: year, optional month, optional day, and a time that is ignored.
+_SIDE = (
+    r"^0*([1-9][0-9]{0,3})(?:-0*(1[0-2]|[1-9])(?:-0*([12][0-9]|3[01]|[1-9]))?)?(?:[T ][\s\S]*)?\z"
+)
 
 
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    """A date from three numbers, null when there is no such day in years 1 to 9999."""
-    text = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")
-    )
-    in_range = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
-    return F.when(in_range, text.try_cast("date"))
-
-
-def _boundary(raw: Column, is_end: bool) -> Column:
+def _boundary(side: Column, is_end: bool) -> Column:
     """First or last day that one side of a collection date can mean."""
-    parts = F.split(F.get(F.split(raw, "[T ]", -1), 0), "-", -1)
-    n = F.size(parts)
-    year = _whole_number(F.get(parts, 0))
-    month = F.when(n >= 2, _whole_number(F.get(parts, 1))).otherwise(F.lit(12 if is_end else 1))
-    first = _date_of(year, month, F.lit(1))
-    given = _date_of(year, month, _whole_number(F.get(parts, 2)))
-    open_day = F.last_day(first) if is_end else first
-    return F.when(n <= 3, F.when(n == 3, given).otherwise(open_day))
+    year, month, day = (F.regexp_extract(side, _SIDE, i) for i in (1, 2, 3))
+    month = F.when(month != "", month).otherwise("12" if is_end else "1")
+    given_day = F.when(day != "", day).otherwise("1")
+    date = F.concat_ws("-", F.lpad(year, 4, "0"), month, given_day).try_cast("date")
+    if is_end:
+        date = F.when(day == "", F.last_day(date)).otherwise(date)
+    return F.when(year != "", date)
 
 
 def collection_window(text: Column) -> Column:
@@ -41,11 +33,10 @@ def collection_window(text: Column) -> Column:
     Accepts ``YYYY``, ``YYYY-MM``, ``YYYY-MM-DD``, each with a time part that is ignored, and a range
     ``a/b`` of these. A missing month or day opens the window to the whole year or month.
     """
-    sides = F.split(text, "/", -1)
-    n = F.size(sides)
-    start = _boundary(F.get(sides, 0), is_end=False)
-    end = _boundary(F.when(n == 2, F.get(sides, 1)).otherwise(F.get(sides, 0)), is_end=True)
-    readable = (n <= 2) & start.isNotNull() & end.isNotNull()
+    first = F.split_part(text, F.lit("/"), F.lit(1))
+    last = F.when(text.contains("/"), F.split_part(text, F.lit("/"), F.lit(2))).otherwise(text)
+    start, end = _boundary(first, is_end=False), _boundary(last, is_end=True)
+    readable = text.rlike(r"^[^/]*(/[^/]*)?\z") & start.isNotNull() & end.isNotNull()
     return F.when(readable, F.struct(start.alias("start"), end.alias("end")))
 
 
