@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, MONTH, DateBin
 from virosieve.operators.common import AA, Filter, binned_samples, select_samples
+from virosieve.plans.joins import own_shuffle
 from virosieve.tables import Tables
 
 
@@ -35,6 +36,7 @@ def _proportion(tables, edges, effect, date_bin, where, max_span_days) -> DataFr
         .groupBy("change_id")
         .agg(F.bool_or(F.col("effect_detail") == effect).alias("has_effect"))
     )
+    annotated = own_shuffle(annotated, "change_id")
     present = (
         edges.select("change_id", "sample_id")
         .join(annotated, "change_id")

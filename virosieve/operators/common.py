@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from virosieve.functions.changes import freq_overlap
 from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, DateBin, max_span_filter, mid_collection_date
 from virosieve.functions.values import null_count
+from virosieve.plans.joins import own_shuffle
 from virosieve.tables import Tables
 
 Filter = str | Column | None
@@ -131,10 +132,13 @@ def select_samples(
         joined = scope.join(
             calls.withColumnRenamed("sample_id", "id"), "id", "left" if lineages == "left" else "inner"
         )
-        out = samples.join(joined.filter(condition).select("id"), "id", "left_semi")
+        out = samples.join(joined.filter(condition).select("id").distinct(), "id", "left_semi")
     if lineages == "inner" and not by_lineage:
-        out = out.join(tables.samples_lineages.select(F.col("sample_id").alias("id")), "id", "left_semi")
-    return out
+        # distinct first: it combines the many assignments of a sample before they are shuffled
+        assigned = tables.samples_lineages.select(F.col("sample_id").alias("id")).distinct()
+        out = out.join(assigned, "id", "left_semi")
+        by_lineage = True
+    return own_shuffle(out, "id") if by_lineage else out
 
 
 def lineage_samples(tables: Tables, lineage: str, system: str, where: Filter = None,
@@ -153,7 +157,7 @@ def lineage_samples(tables: Tables, lineage: str, system: str, where: Filter = N
         calls = samples.join(calls, "id").filter(condition)
     elif condition is not None:
         samples = samples.filter(condition)
-    members = samples.join(calls.select("id"), "id", "left_semi")
+    members = own_shuffle(samples.join(calls.select("id").distinct(), "id", "left_semi"), "id")
     return members.select(F.col("id").alias("sample_id"), *keep)
 
 

@@ -99,7 +99,7 @@ def samples_by_variant(tables: Tables, where: Filter, axis: str = "aa",
 
 
 def _carrying(tables: Tables, carriers: DataFrame) -> DataFrame:
-    ids = carriers.select(F.col("sample_id").alias("id"))
+    ids = carriers.select(F.col("sample_id").alias("id")).distinct()
     return with_place(tables.samples.join(ids, "id", "left_semi"), tables)
 
 

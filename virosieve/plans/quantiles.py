@@ -56,26 +56,38 @@ def _built_in(df, keys, value, probs, names, discrete):
     return out.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(names)])
 
 
-def _by_ranges(df, keys, value, probs, names, discrete, n_ranges: int = 64):
+# Each group is cut into the square of this many ranges.
+_SIDE = 32
+
+
+def _range_index(value: Column) -> Column:
+    """Number of bounds below the value, found in two steps of at most 32 comparisons."""
+    block = F.size(F.filter("__block_ends", lambda b: b < value))
+    inside = F.slice("__bounds", block * _SIDE + 1, F.lit(_SIDE))
+    return block * _SIDE + F.size(F.filter(inside, lambda b: b < value))
+
+
+def _by_ranges(df, keys, value, probs, names, discrete):
     # a constant key lets the ungrouped case use the same joins
     work_keys = keys or ["__all"]
     if not keys:
         df = df.withColumn("__all", F.lit(1))
     counted = df.groupBy(*work_keys, value).agg(F.count("*").alias("__n"))
 
+    # over distinct values, so the ranges hold about equally many rows
+    n_ranges = _SIDE * _SIDE
     inner = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = cut(
-        counted.groupBy(*work_keys).agg(F.percentile_approx(value, inner, 100 * n_ranges).alias("__bounds")),
-        "range-bounds",
-    )
+    bounds = counted.groupBy(*work_keys).agg(F.percentile_approx(value, inner, 10 * n_ranges).alias("__bounds"))
+    ends = F.transform(F.sequence(F.lit(_SIDE), F.lit(n_ranges - 1), F.lit(_SIDE)), lambda i: F.get("__bounds", i - 1))
+    bounds = cut(bounds.withColumn("__block_ends", ends), "range-bounds")
     ranged = join_null_safe(counted, bounds, work_keys).select(
         *work_keys,
         value,
         "__n",
-        F.size(F.filter("__bounds", lambda b: b < F.col(value))).alias("__range"),
+        _range_index(F.col(value)).alias("__range"),
     )
 
-    # at most n_ranges rows per group here
+    # at most 1024 rows per group here
     in_order = Window.partitionBy(*work_keys).orderBy("__range")
     whole = Window.partitionBy(*work_keys)
     sizes = (

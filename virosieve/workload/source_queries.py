@@ -89,7 +89,7 @@ def source_queries() -> dict[str, Query]:
 
     @source("src_demixed_dir")
     def _(spark, sf_dir):
-        # one small file per accession, each written by the task that holds its rows
+        # the text of one small file per accession; it lists the lineages of one sample
         rows = raw_frame(spark, sf_dir, "file_demixed")
         text = rows.groupBy("accession").agg(
             F.sort_array(F.collect_list(F.struct("input_order", "lineage_name", "abundance"))).alias("calls")
