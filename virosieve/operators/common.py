@@ -3,11 +3,11 @@ under a user filter, and binned samples."""
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, functions as F
 
 from virosieve.functions.changes import freq_overlap
@@ -65,15 +65,18 @@ def as_filter(where: Filter) -> Column | None:
 
 
 def resolves(df: DataFrame, condition: Column) -> bool:
-    """Whether a filter only mentions columns of ``df``."""
-    log = logging.getLogger("SQLQueryContextLogger")
-    was_disabled, log.disabled = log.disabled, True
+    """Whether a filter only mentions columns of ``df``. Asking is no error, so nothing is logged."""
+    logs = [PySparkLogger.getLogger(name) for name in ("SQLQueryContextLogger", "DataFrameQueryContextLogger")]
+    before = [log.disabled for log in logs]
+    for log in logs:
+        log.disabled = True
     try:
         df.filter(condition)
     except AnalysisException:
         return False
     finally:
-        log.disabled = was_disabled
+        for log, disabled in zip(logs, before):
+            log.disabled = disabled
     return True
 
 

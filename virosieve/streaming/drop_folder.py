@@ -1,0 +1,53 @@
+"""Incremental ingest: consensus mutation files are loaded as they arrive in a folder.
+
+The batch operators do the work; Structured Streaming only keeps track of the files that were read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from virosieve.operators.ingest_changes import carriers_cns_allele
+from virosieve.operators.ingest_samples import drop_null_ref, drop_unknown_accessions
+from virosieve.sources.changes import MUTATION_COLUMNS, MUTATION_TYPES, SEPARATOR
+from virosieve.sources.delimited import cast_columns
+from virosieve.tables import Tables
+
+
+def mutation_stream(spark: SparkSession, folder: str, header: Sequence[str]) -> DataFrame:
+    """The mutation files of a folder as a stream; all must have the same column order."""
+    schema = ", ".join(f"`{name}` string" for name in header)
+    names = {file_name: name for name, file_name in MUTATION_COLUMNS.items()}
+    raw = (
+        spark.readStream.schema(schema)
+        .options(sep=SEPARATOR, header=True, quote='"', escape='"', nullValue="")
+        .csv(folder)
+    )
+    return cast_columns(raw.withColumnsRenamed(names), MUTATION_TYPES)
+
+
+def merge_edge_files(spark: SparkSession, folder: str, header: Sequence[str], tables: Tables, edges: str,
+                     progress: str) -> StreamingQuery:
+    """Append the consensus nucleotide edges of new files to the edge table at ``edges``, for changes
+    the catalog holds, and stop when all files present are done.
+
+    Each batch is written under its own number, so a batch that is repeated after a failure replaces
+    itself. Edges are a set: readers take them distinct, and a load merges them with
+    ``carrier_union_merge``.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        known = drop_null_ref(drop_unknown_accessions(batch, tables.samples))
+        found = carriers_cns_allele(known, tables.alleles, tables.samples)
+        found.write.mode("overwrite").parquet(f"{edges}/batch={number}")
+
+    return (
+        mutation_stream(spark, folder, header)
+        .writeStream.foreachBatch(load)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )
