@@ -76,12 +76,11 @@ def _fingerprints(members: DataFrame, keys) -> DataFrame:
 
 
 def _same_members(pairs: DataFrame, left: DataFrame, left_keys, right: DataFrame, right_keys) -> DataFrame:
-    """The pairs of sets, equal in size, that really have the same members."""
-    l = left.select(*left_keys, "amino_acid_id")
-    r = right.select(*right_keys, "amino_acid_id")
-    both = pairs.join(l, list(left_keys)).join(r, [*right_keys, "amino_acid_id"])
-    common = both.groupBy(*left_keys, *right_keys).agg(F.count("*").alias("common"))
-    return common.join(pairs, [*left_keys, *right_keys]).filter(F.col("common") == F.col("n")).select(*left_keys)
+    """Left keys of the pairs of sets, both of size ``n``, that really have the same members."""
+    keys = list(dict.fromkeys([*left_keys, *right_keys]))
+    both = pairs.join(left, list(left_keys)).join(right, [*right_keys, "amino_acid_id"])
+    common = both.groupBy(*keys, "n").agg(F.count("*").alias("common"))
+    return common.filter(F.col("common") == F.col("n")).select(*left_keys)
 
 
 def new_annotation_groups(members: DataFrame, tables: Tables) -> DataFrame:
@@ -106,7 +105,7 @@ def new_annotation_groups(members: DataFrame, tables: Tables) -> DataFrame:
         candidates, members, _GROUP, old_members.select("annotation_id", "amino_acid_id"), ["annotation_id"]
     )
 
-    fresh = groups.join(known, _GROUP, "left_anti")
+    fresh = cut(groups.join(known, _GROUP, "left_anti"), "marker-groups")
     first = fresh.groupBy("effect_detail", "digest").agg(F.min("marker_id").alias("first_marker"))
     paired = fresh.join(first, ["effect_detail", "digest"]).filter(F.col("marker_id") != F.col("first_marker"))
     first_members = members.select(

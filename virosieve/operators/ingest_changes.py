@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.changes import N_FREQ_BINS, freq_bin, translate_codon
@@ -48,21 +51,22 @@ def build_allele_catalog(mutations: DataFrame, ih_nts: DataFrame, existing: Data
     return assign_ids(new, ALLELE_KEY, highest(existing))
 
 
-def _conflicts(staged: DataFrame, key, field: str) -> DataFrame:
-    """One row per (key, ref) of the keys that come with more than one ref."""
-    several = (
-        staged.groupBy(*key)
-        .agg(F.min(field).alias("__low"), F.max(field).alias("__high"))
-        .filter(F.col("__low") != F.col("__high"))
-        .select(*key)
+def _conflicts(staged: DataFrame, key, fields) -> DataFrame:
+    """One row per (field, key, ref) of the keys that come with more than one ref in a field. Keys in
+    conflict are found from the smallest and largest ref, so no list of refs is ever built."""
+    flags = [(F.min(f) != F.max(f)).alias(f"__{f}") for f in fields]
+    any_flag = reduce(or_, [F.col(f"__{f}") for f in fields])
+    several = staged.groupBy(*key).agg(*flags).filter(any_flag)
+    refs = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("ref"), F.col(f"__{f}").alias("differs")) for f in fields]
     )
-    refs = staged.select(*key, F.col(field).alias("ref")).distinct()
-    return refs.join(several, list(key), "left_semi").select(F.lit(field).alias("field"), *key, "ref")
+    rows = staged.join(several, list(key)).select(*key, F.explode(refs).alias("r")).filter("r.differs")
+    return rows.select(F.col("r.field").alias("field"), *key, F.col("r.ref").alias("ref")).distinct()
 
 
 def allele_ref_conflicts(mutations: DataFrame, ih_nts: DataFrame, existing: DataFrame) -> DataFrame:
     """New alleles whose inputs disagree on the ref, with every ref they come with."""
-    return _conflicts(staged_alleles(mutations, ih_nts, existing), ALLELE_KEY, "ref_nt")
+    return _conflicts(staged_alleles(mutations, ih_nts, existing), ALLELE_KEY, ["ref_nt"])
 
 
 def staged_amino_acids(ih_codons: DataFrame, mutations: DataFrame, existing: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def build_amino_acid_catalog(ih_codons: DataFrame, mutations: DataFrame, existin
 def amino_acid_ref_conflicts(ih_codons: DataFrame, mutations: DataFrame, existing: DataFrame) -> DataFrame:
     """New amino-acid changes whose inputs disagree on the ref codon or on the ref amino acid."""
     staged = staged_amino_acids(ih_codons, mutations, existing)
-    return _conflicts(staged, AMINO_ACID_KEY, "ref_codon").unionByName(_conflicts(staged, AMINO_ACID_KEY, "ref_aa"))
+    return _conflicts(staged, AMINO_ACID_KEY, ["ref_codon", "ref_aa"])
 
 
 # --- carriers ----------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from virosieve.operators.common import (
     AA, Axis, Filter, as_filter, change_axis, filtered, lineage_samples, resolves, select_samples,
 )
 from virosieve.operators.variants import _one_change, counts_by_score
+from virosieve.plans.joins import own_shuffle
 from virosieve.tables import Tables
 
 # Widest collection window, in days, for first-seen comparisons.
@@ -62,7 +63,8 @@ def mutation_count_by_date_and_lineage(tables: Tables, feature: str, position: i
     condition = as_filter(where)
     if condition is not None and resolves(samples, condition):
         samples, condition = samples.filter(condition), None
-    rows = carriers.join(samples.withColumnRenamed("id", "sample_id"), "sample_id").join(calls, "sample_id")
+    carriers = own_shuffle(carriers.join(samples.withColumnRenamed("id", "sample_id"), "sample_id"), "sample_id")
+    rows = carriers.join(calls, "sample_id")
     if condition is not None:
         rows = rows.filter(condition)
     counted = (

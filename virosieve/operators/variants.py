@@ -10,6 +10,7 @@ from virosieve.operators.common import (
     AA, Axis, Filter, as_filter, binned_samples, change_axis, change_keys, filtered, intrahost_window,
     select_samples, with_change_names,
 )
+from virosieve.plans.joins import own_shuffle
 from virosieve.plans.quantiles import QUARTILES
 from virosieve.tables import Tables
 
@@ -113,6 +114,7 @@ def counts_by_score(tables: Tables, edges: DataFrame, region: str, metric: str,
         .join(changes, "change_id")
         .select("change_id", "ref_aa", "position_aa", "alt_aa", "value")
     )
+    scored = own_shuffle(scored, "change_id")
     carriers = edges.select("change_id", "sample_id")
     if as_filter(where) is not None:
         chosen = select_samples(tables, where).select(F.col("id").alias("sample_id"))

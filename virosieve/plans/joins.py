@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def own_shuffle(df: DataFrame, key: str) -> DataFrame:
-    """Let ``df`` (one row per integer ``key``) get a shuffle of its own when it is joined on ``key``.
+    """Let ``df`` get a shuffle of its own when it is joined on the integer ``key``.
 
     A frame that comes out of a join or aggregate on ``key`` already lies by that key, and Spark then
     joins it in place. But adaptive execution splits a hot key of the other side only where both

@@ -38,13 +38,14 @@ def source_oracles() -> dict[str, str]:
         "collection_date AS collection_end_date, false AS bad_collection_date, 'NA' AS organism, false AS is_retracted "
         "FROM file_sd WHERE collection_date IS NOT NULL"
     )
+    missing = "cast(NULL AS varchar)"
     for name, split, organism in (("wastewater", False, "organism"), ("ncbi", True, "'NA'")):
-        parts = [f"split_part(geo_location, ':', {i})" for i in (1, 2, 3)] if split else ["geo_location", "NULL", "NULL"]
+        parts = [f"split_part(geo_location, ':', {i})" for i in (1, 2, 3)] if split else ["geo_location", missing, missing]
         o[f"src_samples_bulk_{name}"] = sql(
             f"SELECT accession, bio_project, bio_sample, host, isolate, {organism} AS organism, isolation_source, census_region, "
             "cast(bases AS bigint) AS bases, round(cast(ww_viral_load AS double), 6) AS ww_viral_load, "
             "cast(ww_catchment_population AS bigint) AS ww_catchment_population, ww_site_id, ww_collected_by, "
-            f"{parts[0]} AS country_name, {parts[1]} AS admin1_name, {parts[2]} AS admin2_name, NULL AS admin3_name, false AS bad_geo, "
+            f"{parts[0]} AS country_name, {parts[1]} AS admin1_name, {parts[2]} AS admin2_name, {missing} AS admin3_name, false AS bad_geo, "
             "cast(cast(date_trunc('month', m) AS date) AS varchar) AS collection_start_date, cast(last_day(m) AS varchar) AS collection_end_date, "
             "false AS bad_collection_date, false AS is_retracted FROM file_bulk JOIN (SELECT accession, collection_start_date AS m FROM samples) "
             "USING (accession) WHERE m IS NOT NULL"
