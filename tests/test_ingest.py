@@ -5,6 +5,7 @@ from pyspark.sql import Observation, functions as F
 
 from virosieve.operators import ingest_annotations as ia, ingest_changes as ic, ingest_lineages as il
 from virosieve.operators import ingest_samples as isa, ingest_scores as isc, validate
+from virosieve.sources.sinks import write_tables
 from virosieve.streaming.drop_folder import merge_edge_files
 from virosieve.tables import GEO_COLUMNS, Tables
 
@@ -95,6 +96,14 @@ def test_load_changes(spark, raw, base, tmp_path):
     assert rows(by_sample.select("change_id", "sample_id")) == rows(loaded.cns_nt)
 
 
+def test_written_tables_are_found(spark, tables, tmp_path):
+    names = ["samples", "geo_locations", "alleles", "ih_nt"]
+    write_tables(tables, str(tmp_path / "t"), names)
+    loaded = Tables.load(spark, str(tmp_path / "t"))
+    assert [n for n in ("samples", "alleles", "ih_nt", "cns_aa", "metric_sum_cache") if n in loaded] == ["samples", "alleles", "ih_nt"]
+    assert rows(loaded.ih_nt) == rows(tables.ih_nt)
+
+
 def test_ref_conflicts(spark, raw, base):
     mutations, ih_nts, ih_codons = raw
     found = ic.allele_ref_conflicts(isa.drop_null_ref(mutations), ic.filter_intrahost_nt(ih_nts), base.alleles)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.changes import N_FREQ_BINS, freq_bin, translate_codon
 from virosieve.operators.ingest_samples import drop_null_ref, drop_unknown_accessions
+from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.tables import Tables
 
@@ -165,10 +166,15 @@ def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_cod
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+    # Text is parsed and filtered once; the steps below read columns of the staged records.
     known = tables.samples.select("id", "accession")
     mutations = drop_null_ref(drop_unknown_accessions(mutations, known))
+    mutations = cut(mutations.select("accession", *ALLELE_KEY, "ref_nt", *_AMINO_ACID_COLUMNS), "staged-mutations")
     ih_nts = drop_unknown_accessions(filter_intrahost_nt(ih_nts), known)
+    ih_nts = cut(ih_nts.select("accession", *ALLELE_KEY, "ref_nt", "gapped_freq"), "staged-nucleotides")
     ih_codons = drop_unknown_accessions(filter_intrahost_codons(ih_codons), known)
+    codon_columns = ["gff_feature", "position_aa", "alt_codon", "ref_codon", "alt_freq"]
+    ih_codons = cut(ih_codons.select("accession", *codon_columns), "staged-codons")
 
     allele_columns = ["id", "region", "position_nt", "ref_nt", "alt_nt"]
     new_alleles = build_allele_catalog(mutations, ih_nts, tables.alleles).select(*allele_columns)

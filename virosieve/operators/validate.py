@@ -19,7 +19,9 @@ def check_bin_overlap(ranges: DataFrame) -> DataFrame:
     """Ranges (``change_id, lo, hi, hi_closed``) that overlap a different range of their change.
 
     Sorted by lower bound, a range overlaps an earlier one when it starts before the furthest end so
-    far, and a later one when the next starts before its own end; no pairs are formed.
+    far, and a later one when the next starts before its own end; no pairs are formed. Ranges are made
+    distinct first: with bounds in thousandths a change has a limited number of them, however many
+    samples it has.
     """
     distinct = ranges.select("change_id", "lo", "hi", "hi_closed").distinct()
     order = Window.partitionBy("change_id").orderBy("lo", "hi", "hi_closed")

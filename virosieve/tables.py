@@ -42,6 +42,11 @@ TABLE_NAMES = (
 GEO_COLUMNS = ("country_name", "admin1_name", "admin2_name", "admin3_name")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 class Tables:
     """Attribute access to the named tables, with the two derived frames most filters need.
 
@@ -55,8 +60,10 @@ class Tables:
         self._frames = dict(frames)
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, names=TABLE_NAMES, fmt: str = "parquet") -> "Tables":
-        """Tables written below ``root``, one directory per name."""
+    def load(cls, spark: SparkSession, root: str, names=None, fmt: str = "parquet") -> "Tables":
+        """Tables written below ``root``, one directory per name: the given ones, or all that exist."""
+        if names is None:
+            names = [name for name in TABLE_NAMES if _exists(spark, f"{root}/{name}")]
         return cls({name: partial(spark.read.format(fmt).load, f"{root}/{name}") for name in names})
 
     def __getattr__(self, name: str) -> DataFrame:
