@@ -165,6 +165,33 @@ def test_sample_upsert(spark):
     assert rows(isa.sample_upsert(known, last, []), "id", "host") == [(1, "cow"), (2, "cow"), (3, "hen")]
 
 
+def test_load_samples(spark):
+    schema = "id long, accession string, host string, organism string, bio_sample string, is_retracted boolean, " \
+        "collection_start_date date, collection_end_date date, geo_location_id long"
+    geo = "id long, " + ", ".join(f"{c} string" for c in GEO_COLUMNS)
+    base = Tables(
+        {
+            "samples": frame(spark, schema, (1, "S1", "cow", "x", "old", False, None, None, 4)),
+            "geo_locations": frame(spark, geo, (4, "USA", "Iowa", None, None)),
+        }
+    )
+    raw = frame(
+        spark, "accession string, host string, organism string, bio_sample string, collection_date string, geo_location string",
+        ("S1", "pig", "y", "new", "2024-03", "USA/Ohio"), ("S2", "hen", "y", "new", "2024", "USA / Iowa / Ames / a / b"),
+        ("S3", "hen", "y", "new", "", "USA"),
+    )
+    loaded = isa.load_samples(base, isa.clean_bulk_samples(raw), bulk=True)
+    got = {r.accession: r for r in loaded.samples.collect()}
+    assert set(got) == {"S1", "S2"}
+    # a bulk load does not touch the biosample of a known sample
+    assert (got["S1"].id, got["S1"].host, got["S1"].bio_sample) == (1, "pig", "old")
+    assert got["S2"].bio_sample == "new" and got["S2"].id == 2
+    places = {r.id: (r.admin1_name, r.admin3_name) for r in loaded.geo_locations.collect()}
+    assert places[got["S1"].geo_location_id] == ("Ohio", None)
+    assert places[got["S2"].geo_location_id] == ("Iowa", "a")
+    assert str(got["S1"].collection_end_date) == "2024-03-31"
+
+
 def test_scores_last_value_wins(spark):
     stored = frame(spark, "phenotype_metric_id long, amino_acid_id long, value double", (1, 1, 5.0), (1, 2, 6.0), (1, 3, 7.0))
     new = frame(

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from virosieve.functions.dates import collection_window
 from virosieve.functions.values import all_present, blank_to_null, bool_from_text
+from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.plans.joins import join_null_safe
-from virosieve.tables import GEO_COLUMNS
+from virosieve.tables import GEO_COLUMNS, Tables
 
 # Accessions that must not be loaded.
 EXCLUDED_ACCESSIONS = (
@@ -44,12 +45,12 @@ def exclude_accessions(rows: DataFrame, excluded: Sequence[str] = EXCLUDED_ACCES
 def split_geo(rows: DataFrame, text: str = "geo_location", delimiter: str = "/", exact: bool = False) -> DataFrame:
     """Place text to the four place columns, plus ``bad_geo``.
 
-    ``exact`` demands all four parts and keeps them as they are. Otherwise one to four parts are
-    trimmed, and the missing ones are null.
+    ``exact`` demands all four parts and keeps them as they are. Otherwise the first four parts are
+    trimmed, and missing ones are null.
     """
     parts = F.split(F.col(text), f"\\Q{delimiter}\\E", -1)
     n = F.size(parts)
-    bad = F.col(text).isNotNull() & ((n != len(GEO_COLUMNS)) if exact else (n > len(GEO_COLUMNS)))
+    bad = F.col(text).isNotNull() & (n != len(GEO_COLUMNS)) if exact else F.lit(False)
     columns = []
     for i, name in enumerate(GEO_COLUMNS):
         part = F.get(parts, i)
@@ -164,6 +165,36 @@ def sample_upsert(existing: DataFrame, incoming: DataFrame, update_columns: Sequ
     return updated.unionByName(added, allowMissingColumns=True)
 
 
+# What a bulk load changes in a known sample. The first columns always, the others when
+# the load brings them; further columns are only set for new samples.
+BULK_UPDATE_ALWAYS = (
+    "organism", "is_retracted", "collection_start_date", "collection_end_date", "host", "geo_location_id",
+)
+BULK_UPDATE_WHEN_PRESENT = (
+    "bio_sample_accession", "retraction_detected_date", "serotype", "avg_spot_length", "bio_project",
+    "bio_sample_model", "center_name", "experiment", "instrument", "platform", "isolate", "library_name",
+    "library_layout", "library_selection", "library_source", "isolation_source", "release_date",
+    "creation_date", "version", "sample_name", "sra_study", "assay_type", "bases",
+)
+
+
+def bulk_update_columns(rows: DataFrame) -> list[str]:
+    return [*BULK_UPDATE_ALWAYS, *[c for c in BULK_UPDATE_WHEN_PRESENT if c in rows.columns]]
+
+
+def load_samples(tables: Tables, rows: DataFrame, bulk: bool = False) -> Tables:
+    """Load cleaned sample rows, unique by accession: new places first, then the samples. Rows marked
+    malformed are left out."""
+    if "malformed" in rows.columns:
+        rows = rows.filter(~F.col("malformed"))
+    rows = rows.drop("malformed", "bad_geo", "bad_collection_date")
+    # written before samples refer to its ids
+    geo = cut(geo_dimension_upsert(tables.geo_locations, rows), "places")
+    placed = attach_geo_ids(rows, geo)
+    samples = sample_upsert(tables.samples, placed, bulk_update_columns(placed) if bulk else None)
+    return tables.replace(geo_locations=geo, samples=samples)
+
+
 def sample_id_lookup(samples: DataFrame, accessions: DataFrame) -> DataFrame:
     """``accession, sample_id`` for the accessions that are known."""
     ids = samples.select("accession", F.col("id").alias("sample_id"))

@@ -65,7 +65,7 @@ def cleaning_oracles() -> dict[str, str]:
     o["exclude_accessions"] = sql(
         "SELECT id, accession FROM raw_accessions WHERE cast(substr(accession, 4) AS bigint) NOT BETWEEN 29182424 AND 29182485"
     )
-    place = ("CASE c_custkey % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} END")
+    place = "CASE c_custkey % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} END"
     source = "FROM raw_places JOIN customer ON c_custkey = id JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
     o["split_geo"] = sql(
         "SELECT id, geo_location, " + ", ".join(
@@ -74,9 +74,10 @@ def cleaning_oracles() -> dict[str, str]:
         ) + f", id % 5 IN (1, 2, 3) AS bad_geo {source}"
     )
     o["split_geo_trimmed"] = sql(
-        f"SELECT id, geo_location, {place.format('r_name', 'r_name', 'r_name')} AS country_name, "
-        f"{place.format('n_name', 'n_name', 'NULL')} AS admin1_name, {place.format('c_mktsegment', 'NULL', 'NULL')} AS admin2_name, "
-        f"CASE WHEN id % 5 = 0 THEN 'x' END AS admin3_name, id % 5 = 3 AS bad_geo {source}"
+        f"SELECT id, geo_location, {place.format('r_name', 'r_name', 'r_name', 'r_name')} AS country_name, "
+        f"{place.format('n_name', 'n_name', 'NULL', 'n_name')} AS admin1_name, "
+        f"{place.format('c_mktsegment', 'NULL', 'NULL', chr(39) + 'a' + chr(39))} AS admin2_name, "
+        f"CASE id % 5 WHEN 0 THEN 'x' WHEN 3 THEN 'b' END AS admin3_name, false AS bad_geo {source}"
     )
     geo = "country_name, admin1_name, admin2_name, admin3_name"
     upserted = {
