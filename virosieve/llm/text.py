@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 <
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pa.compute.binary_length(column(batch, name)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(column(batch, name)).fill_null(0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:], strict=False):
