@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import quality_rules, simhash
-from virosieve.llm.text import table
+from virosieve.llm import quality_mil, quality_rules, sentencepiece_bpe, simhash
+from virosieve.llm.text import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,22 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), shown, "component_id")
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"), ~quality_mil.held_out("id"))
+    rows = quality_mil.scored(docs.select("doc_id", "text"), model)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.select("row.doc_id", quality_mil.held_out("row.doc_id").alias("held_out"), "score", predicted)
+
+
+def op8_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document's ids and decoded text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece_bpe.encoded(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return rows.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_distribution_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict on every document."""
     rows = quality_rules.judged(table(spark, sf_dir, "documents"))
@@ -29,6 +45,8 @@ def op9_distribution_quality_rules(spark: SparkSession, sf_dir: str) -> DataFram
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op4_attention_quality": op4_attention_quality,
+        "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
         "op9_distribution_quality_rules": op9_distribution_quality_rules,
     }
