@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import quality_mil, quality_rules, sentencepiece_bpe, simhash
+from virosieve.llm import decontaminate, quality_mil, quality_rules, sentencepiece_bpe, simhash
 from virosieve.llm.text import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified (document, benchmark item) pairs with their retrieval score and overlaps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.matched(docs, table(spark, sf_dir, "benchmark"))
+    found = rows.select("row.doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", F.round("m.score", 6).alias("score"), "m.question_overlap", "m.answer_overlap")
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,6 +53,7 @@ def op9_distribution_quality_rules(spark: SparkSession, sf_dir: str) -> DataFram
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op4_attention_quality": op4_attention_quality,
         "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
