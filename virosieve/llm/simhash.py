@@ -16,6 +16,14 @@ is linear in the number of fingerprints.
 
 Copies share a fingerprint, so a group of copies of any size is one fingerprint.
 
+``near_duplicates`` links by fingerprints alone. ``similar_groups`` finds texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more. At that similarity about 10 of 64 bits over shingles differ, out of
+reach of a small ball, so candidates come from six 32-bit fingerprints over the texts' distinct longer words,
+of which about 2 bits differ; a pair within 2 bits in any of the six meets in a radius-1 ball there. Candidates
+whose 192 bits are far apart are left; the others' shingle sets are compared exactly. Where more than two
+texts meet at a point, each is compared with the two that meet others most often instead of with all: the
+text that a family of near copies comes from is closest to all of them.
+
 Nulls: a null text counts as empty; a text without words has fingerprint zero, which is linked like any
 other. Rows with a null id are fingerprinted and grouped; a group's id is the least non-null one. Repeated
 rows stay repeated. Other columns are not read.
@@ -36,6 +44,10 @@ from virosieve.llm.text import column, words_of
 from virosieve.plans.durable import cut
 
 RADIUS = 3
+#: For ``similar_groups``: words in a shingle, and the least Jaccard similarity of a link.
+SIZE, SIMILARITY = 5, 0.8
+#: Ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: The three parts of the fingerprint that are left out in turn.
 _PARTS = ((1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42)
 _PIECE = 1 << 16
@@ -111,3 +123,118 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = distinct_fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+#: Tables of 32 bits for ``similar_groups``: two of each seed's hash.
+_SEEDS = (1, 2, 3)
+_LONG_WORD = 6
+_FAR = 40
+
+
+def sketch(words: list[bytes]) -> list[int]:
+    """Signed 64-bit fingerprints, one per seed, of the distinct words of six or more bytes (all, if under eight are)."""
+    kept = {w for w in words if len(w) >= _LONG_WORD}
+    kept = sorted(kept if len(kept) >= 8 else set(words))
+    if not kept:
+        return [0] * len(_SEEDS)
+    digest, found = xxhash.xxh64_intdigest, []
+    for seed in _SEEDS:
+        ones = np.zeros(64, np.int64)
+        for start in range(0, len(kept), _PIECE):
+            hashes = np.array([digest(w, seed) for w in kept[start : start + _PIECE]], dtype=">u8")
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(kept)).view(">i8")[0]))
+    return found
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``(id, key, f0, f1, f2)``; the key tells word sequences apart."""
+    names = ["id", "key", *(f"f{i}" for i in range(len(_SEEDS)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [words_of(t.as_py()) for t in column(batch, "text")]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
+            sketches = [sketch(w) for w in split]
+            arrays = [pa.array([s[i] for s in sketches], pa.int64()) for i in range(len(_SEEDS))]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(keys, pa.binary()), *arrays], names=names)
+
+    return docs.mapInArrow(run, "id long, key binary, " + ", ".join(f"f{i} long" for i in range(len(_SEEDS))))
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``(unit, hashes)``: the distinct shingles' 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.array([xxhash.xxh64_intdigest(s) for s in set(shingles(words_of(t.as_py()), size))], np.uint64).view(np.int64) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "unit"), pa.array(sets, pa.list_(pa.int64()))], names=["unit", "hashes"])
+
+    return docs.mapInArrow(run, "unit long, hashes array<long>")
+
+
+def _candidates(units: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of keys that meet in a ball of some table and are not far apart over all bits."""
+    low = F.lit((1 << 32) - 1)
+    ball = [0, *(1 << i for i in range(32))]
+    sketch_columns = [f"f{i}" for i in range(len(_SEEDS))]
+    emitted = None
+    for number in range(2 * len(_SEEDS)):
+        value = F.col(f"f{number // 2}")
+        value = (F.shiftrightunsigned(value, 32) if number % 2 else value).bitwiseAND(low)
+        one = units.select("unit", F.lit(number).alias("table"), _ball(ball, value).alias("at"))
+        emitted = one if emitted is None else emitted.union(one)
+    met = Window.partitionBy("table", "at")
+    shared = cut(emitted.withColumn("n", F.count(F.lit(1)).over(met)).filter("n > 1"), "variants")
+    pairs = shared.filter("n = 2").groupBy("table", "at").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).select("u", "v")
+    often = shared.groupBy("unit").agg(F.count(F.lit(1)).alias("often"))
+    crowd = shared.filter("n > 2").join(often, "unit")
+    first = Window.partitionBy("table", "at").orderBy(F.desc("often"), "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crowd = crowd.select("unit", F.first("unit").over(first).alias("a"), F.nth_value("unit", 2).over(first).alias("b"))
+    starred = crowd.select(F.col("unit").alias("u"), F.explode(F.array("a", "b")).alias("v")).filter("u <> v")
+    pairs = pairs.union(starred).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sides = [units.select(F.col("unit").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sketch_columns]) for name in "uv"]
+    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in sketch_columns), F.lit(0))
+    return pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= _FAR).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """``(id, component_id)`` per row: component_id is the least id of the texts linked by their shingles' similarity."""
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = cut(_sketches(texts), "sketches")
+    sketch_columns = [f"f{i}" for i in range(len(_SEEDS))]
+    # one unit for each word sequence; its number is a hash of the key, and its text that of the least id
+    units = rows.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in sketch_columns])
+    units = cut(units.withColumn("unit", F.xxhash64("key")), "units")
+    pairs = cut(_candidates(units), "pairs")
+    wanted = pairs.select(F.col("u").alias("unit")).union(pairs.select(F.col("v").alias("unit"))).distinct()
+    chosen = units.join(wanted, "unit", "left_semi").filter("first is not null").select(F.col("first").alias("id"), "unit")
+    few = chosen.count() <= BROADCAST_ROWS
+    own = texts.join(F.broadcast(chosen) if few else chosen, "id").select("unit", "text")
+    sets = _shingle_sets(own, size)
+    sets = cut(sets.groupBy("unit").agg(F.max_by("hashes", F.size("hashes")).alias("hashes")), "shingles")
+    left, right = (sets.select(F.col("unit").alias(name), F.col("hashes").alias(f"{name}_set")) for name in "uv")
+    both = pairs.join(left, "u").join(right, "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    linked = both.filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+    roots = component_roots(linked)
+    named = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("id", "component_id")
+
+
+def distinct_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts, that of the least id, with its own columns.
+
+    Rows with a null id stay. Of several rows with one id, one stays if any does.
+    """
+    grouped = cut(similar_groups(docs, id_column, text_column, size, similarity), "groups")
+    gone = grouped.filter("id <> component_id").select("id").distinct()
+    repeated = grouped.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
+    key = F.col(id_column).cast("long")
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda df: df)
+    kept = docs.join(hint(gone), key == gone["id"], "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, key == repeated["id"], "left_semi").dropDuplicates([id_column])
+        kept = kept.join(repeated, key == repeated["id"], "left_anti").union(again)
+    return kept
