@@ -213,4 +213,6 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def kept_rows(docs: DataFrame, limits: Limits = DEFAULT, **columns: str) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return judged(docs, limits=limits, **columns).filter("kept").select("row.*")
+    rows = judged(docs, limits=limits, **columns)
+    # a verdict that also names the row's place isn't pushed below, where its steps would be expanded into one another
+    return rows.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept")).filter("kept").select("row.*")

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from virosieve.llm.text import column, small_batches
 
@@ -216,7 +217,7 @@ def encoded(docs: DataFrame, model_path: str, text_column: str = "text", with_id
     packed = packed.withColumn("text", F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit("")))
     schema = packed.select("row").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
