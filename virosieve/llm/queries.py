@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import chat, decontaminate, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
+from virosieve.llm import chat, decontaminate, language_id, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
 from virosieve.llm.text import table, tokenizer_path
 from virosieve.plans.durable import cut, fresh_path
 
@@ -46,6 +46,14 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", quality_mil.held_out("row.doc_id").alias("held_out"), "score", predicted)
 
 
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, ~language_id.held_out("id"))
+    rows = language_id.predicted(docs.select("doc_id", "text"), model, with_spans=False)
+    return rows.select("row.doc_id", language_id.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, size and checksum of every document's token ids, read back from the files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +93,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op3_url_association_rules": op3_url_association_rules,
         "op4_attention_quality": op4_attention_quality,
+        "op5_language_spans": op5_language_spans,
         "op6_token_files": op6_token_files,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
