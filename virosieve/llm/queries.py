@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import chat, decontaminate, language_id, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
+from virosieve.llm import chat, decontaminate, language_id, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
 from virosieve.llm.text import table, tokenizer_path
 from virosieve.plans.durable import cut, fresh_path
 
@@ -88,8 +88,15 @@ def op9_distribution_quality_rules(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.select(F.col("row.doc_id").alias("doc_id"), *counts)
 
 
+def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, base score and model score of every document, learned from four fifths of them."""
+    rows = lm_score.scored(table(spark, sf_dir, "documents"), lm_score.held_out())
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op10_pitman_yor_scores": op10_pitman_yor_scores,
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op3_url_association_rules": op3_url_association_rules,
         "op4_attention_quality": op4_attention_quality,
