@@ -147,7 +147,7 @@ class Model:
         sums = np.bincount(owner * size + labels, weights=letters[code], minlength=len(texts) * size).reshape(-1, size)
         best, total = sums.argmax(axis=1), np.maximum(lettered, 1)
         cuts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])])) if len(owner) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(owner)) - 1
+        ends = np.append(cuts[1:], len(owner))[: len(cuts)] - 1
         spans: list[list] = [[] for _ in range(len(texts))]
         for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
             spans[owner[a]].append((self.languages[labels[a]], int(place[a]), int(place[b]) + 1))
