@@ -6,7 +6,6 @@ from pyspark.sql import Observation, functions as F
 from virosieve.operators import ingest_annotations as ia, ingest_changes as ic, ingest_lineages as il
 from virosieve.operators import ingest_samples as isa, ingest_scores as isc, validate
 from virosieve.sources.sinks import write_tables
-from virosieve.streaming.drop_folder import merge_edge_files
 from virosieve.tables import GEO_COLUMNS, Tables
 
 
@@ -192,6 +191,23 @@ def test_load_samples(spark):
     assert str(got["S1"].collection_end_date) == "2024-03-31"
 
 
+def test_repeated_accessions(spark):
+    schema = "id long, accession string, host string, geo_location_id long"
+    geo = "id long, " + ", ".join(f"{c} string" for c in GEO_COLUMNS)
+    base = Tables({"samples": frame(spark, schema, (5, "S1", "cow", None)), "geo_locations": frame(spark, geo)})
+    names = ", ".join(f"{c} string" for c in GEO_COLUMNS)
+    runs = frame(
+        spark, f"accession string, host string, {names}, input_order int, malformed boolean",
+        ("S1", "pig", *[None] * len(GEO_COLUMNS), 1, False), ("S1", "hen", *[None] * len(GEO_COLUMNS), 3, False),
+        ("S2", "pig", *[None] * len(GEO_COLUMNS), 2, False), ("S2", "elk", *[None] * len(GEO_COLUMNS), 9, False),
+        ("S2", "bad", *[None] * len(GEO_COLUMNS), 10, True),
+    )
+    loaded = isa.load_samples(base, runs).samples
+    assert rows(loaded, "id", "accession", "host") == [(5, "S1", "hen"), (6, "S2", "elk")]
+    with pytest.raises(ValueError, match="S1"):
+        isa.load_samples(base, runs.drop("input_order"), bulk=True)
+
+
 def test_scores_last_value_wins(spark):
     stored = frame(spark, "phenotype_metric_id long, amino_acid_id long, value double", (1, 1, 5.0), (1, 2, 6.0), (1, 3, 7.0))
     new = frame(
@@ -314,21 +330,3 @@ def test_closed_range_touches_the_next(spark):
         (1, 0, 50, False), (1, 50, 100, False), (2, 0, 50, True), (2, 50, 100, False), (3, 0, 90, False), (3, 10, 20, False), (3, 95, 99, False),
     )
     assert rows(validate.check_bin_overlap(ranges), "change_id", "lo") == [(2, 0), (2, 50), (3, 0), (3, 10)]
-
-
-def test_drop_folder_stream(spark, raw, base, tmp_path):
-    columns = [F.col(c).cast("string").alias(h) for c, h in _mutation_headers().items()]
-    raw[0].select(*columns).coalesce(1).write.csv(str(tmp_path / "drop"), sep="\t", header=True)
-    loaded = ic.load_changes(base, *raw, str(tmp_path / "base"))
-    for _ in range(2):  # the second run finds no new file
-        query = merge_edge_files(
-            spark, str(tmp_path / "drop"), list(_mutation_headers().values()), loaded, str(tmp_path / "edges"), str(tmp_path / "progress")
-        )
-        query.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "edges")).select("change_id", "sample_id").distinct()) == rows(loaded.cns_nt)
-
-
-def _mutation_headers():
-    from virosieve.sources.changes import MUTATION_COLUMNS
-
-    return MUTATION_COLUMNS

@@ -4,12 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from virosieve.plans.closure import transitive_closure
+from virosieve.plans.closure import reachable, transitive_closure
 from virosieve.plans.durable import cut, shared_folder
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.plans.joins import join_null_safe
 from virosieve.plans.quantiles import QUARTILES, exact_quantiles, few_valued_quantiles
-from virosieve.plans.sizing import input_bytes, reads_little
 
 NAMES = ["q1", "median", "q3"]
 
@@ -36,26 +35,36 @@ def expected(skewed, q, discrete):
 
 
 @pytest.mark.parametrize("discrete", [False, True])
-@pytest.mark.parametrize("distributed", [False, True])
-def test_exact_quantiles(skewed, discrete, distributed):
+def test_exact_quantiles(skewed, discrete):
     q = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     names = [f"c{i}" for i in range(len(q))]
-    rows = exact_quantiles(skewed, ["g"], "v", q, names, discrete, distributed).collect()
+    rows = exact_quantiles(skewed, ["g"], "v", q, names, discrete).collect()
     want = expected(skewed, q, discrete)
     assert len(rows) == len(want)
     for r in rows:
         assert [r[n] for n in names] == pytest.approx(want[r.g], abs=1e-9), r.g
 
 
-def test_ungrouped_distributed_quantile(skewed):
-    a = exact_quantiles(skewed, [], "v", QUARTILES, NAMES, distributed=True).first()
-    b = exact_quantiles(skewed, [], "v", QUARTILES, NAMES, distributed=False).first()
-    assert list(a) == pytest.approx(list(b))
+def test_ungrouped_quantile(skewed):
+    values = skewed.toPandas().v.dropna().to_numpy()
+    assert list(exact_quantiles(skewed, [], "v", QUARTILES, NAMES).first()) == pytest.approx(list(np.quantile(values, QUARTILES)))
+
+
+def test_a_group_spans_ranges_and_no_plan_holds_it(skewed, spark):
+    found = exact_quantiles(skewed, ["g"], "v", QUARTILES, NAMES)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "collect_" not in plan and "array" not in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = {r.g: list(r)[1:] for r in exact_quantiles(skewed, ["g"], "v", QUARTILES, NAMES).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spread == {r.g: list(r)[1:] for r in found.collect()}
 
 
 def test_no_rows_give_no_group(skewed):
     none = skewed.filter("g = 'nobody'")
-    assert exact_quantiles(none, ["g"], "v", QUARTILES, NAMES, distributed=True).count() == 0
+    assert exact_quantiles(none, ["g"], "v", QUARTILES, NAMES).count() == 0
 
 
 def test_few_valued_quantiles(skewed):
@@ -104,10 +113,11 @@ def test_null_safe_join(spark):
     assert [tuple(r) for r in join_null_safe(a, b, ["k", "n"], "left_anti").collect()] == [("y", 1)]
 
 
-def test_sizes_come_from_the_files(spark, tables):
-    assert 0 < input_bytes(tables.alleles) < 10_000_000
-    assert reads_little(tables.alleles)
-    assert not reads_little(tables.alleles, limit=10)
+def test_reachable_nodes(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "parent_id long, child_id long")
+    roots = spark.createDataFrame([(2,)], "n long")
+    assert sorted(r.n for r in reachable(edges, roots, "n").collect()) == [1, 2, 3, 4]
+    assert reachable(edges, roots.limit(0), "n").count() == 0
 
 
 def test_cluster_needs_a_shared_folder(spark, monkeypatch):

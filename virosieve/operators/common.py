@@ -90,13 +90,6 @@ def ww_flag() -> Column:
     return null_count(*WASTEWATER_COLUMNS) < len(WASTEWATER_COLUMNS)
 
 
-def assigned_samples(tables: Tables, geo: bool = True) -> DataFrame:
-    """samples joined to their lineage assignments: one row per (sample, assignment)."""
-    base = tables.samples_geo if geo else tables.samples
-    calls = tables.samples_lineages.join(tables.named_lineages, "lineage_id")
-    return base.join(calls.withColumnRenamed("sample_id", "id"), "id")
-
-
 def select_samples(
     tables: Tables,
     where: Filter = None,
@@ -196,7 +189,3 @@ def with_change_names(counted: DataFrame, tables: Tables, axis: Axis, key: str =
 def intrahost_window(edges: DataFrame, low: float | None, high: float | None) -> DataFrame:
     condition = freq_overlap(low, high)
     return edges if condition is None else edges.filter(condition)
-
-
-def count_per_bin(pairs: DataFrame, date_bin: DateBin, *aggs: Column, extra=()) -> DataFrame:
-    return pairs.groupBy(*date_bin.group_columns(extra)).agg(*aggs)

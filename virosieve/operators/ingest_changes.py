@@ -134,8 +134,10 @@ def carriers_ih_amino_acid(ih_codons: DataFrame, amino_acids: DataFrame, samples
 
 
 def carrier_union_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored and new edges as one set; nothing is ever removed."""
-    return stored.unionByName(incoming.select(*stored.columns)).distinct()
+    """Stored and new edges as one set; nothing is ever removed. Stored edges are a set already: only
+    the new ones are made distinct, and those not stored yet are added."""
+    fresh = incoming.select(*stored.columns).distinct().join(stored, stored.columns, "left_anti")
+    return stored.unionByName(fresh.select(*stored.columns))
 
 
 def transpose_carriers(edges: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def clean_sample_runs(raw: DataFrame) -> DataFrame:
     or place; they are not to be loaded. ``bad_collection_date`` marks records that load without
     collection dates.
     """
-    blanked = raw.select(*[blank_to_null(F.col(c)).alias(c) for c in raw.columns])
+    order = [c for c in ("input_order",) if c in raw.columns]
+    blanked = raw.select(*[blank_to_null(F.col(c)).alias(c) for c in raw.columns if c not in order], *order)
     rows = split_geo(exclude_accessions(blanked), "geo_loc_name", exact=True)
     rows = with_collection_window(rows, "collection_date")
     numbers = {
@@ -100,6 +101,7 @@ def clean_sample_runs(raw: DataFrame) -> DataFrame:
         *GEO_COLUMNS,
         "bad_collection_date",
         malformed.alias("malformed"),
+        *order,
     )
 
 
@@ -183,11 +185,20 @@ def bulk_update_columns(rows: DataFrame) -> list[str]:
 
 
 def load_samples(tables: Tables, rows: DataFrame, bulk: bool = False) -> Tables:
-    """Load cleaned sample rows, unique by accession: new places first, then the samples. Rows marked
-    malformed are left out."""
+    """Load cleaned sample rows: new places first, then the samples. Rows marked malformed are left out.
+
+    Of several records of an accession the last in ``input_order`` counts. Rows without that column,
+    as of bulk files, must be unique by accession; the load fails otherwise.
+    """
     if "malformed" in rows.columns:
         rows = rows.filter(~F.col("malformed"))
     rows = rows.drop("malformed", "bad_geo", "bad_collection_date")
+    if "input_order" in rows.columns:
+        rows = last_per_accession(rows, "input_order")
+    else:
+        repeated = rows.groupBy("accession").count().filter("count > 1").select("accession").take(5)
+        if repeated:
+            raise ValueError(f"repeated accessions, such as {[r['accession'] for r in repeated]}")
     # written before samples refer to its ids
     geo = cut(geo_dimension_upsert(tables.geo_locations, rows), "places")
     placed = attach_geo_ids(rows, geo)

@@ -9,7 +9,8 @@ from virosieve.operators.common import (
     AA, Axis, Filter, as_filter, change_axis, filtered, lineage_samples, resolves, select_samples,
 )
 from virosieve.operators.variants import _one_change, counts_by_score
-from virosieve.plans.joins import own_shuffle
+from virosieve.plans.durable import cut
+from virosieve.plans.joins import join_null_safe, own_shuffle
 from virosieve.tables import Tables
 
 # Widest collection window, in days, for first-seen comparisons.
@@ -108,9 +109,11 @@ def _first_seen(tables: Tables, lineage: str, system: str) -> DataFrame:
         )
         return per_id.join(catalog, "change_id").groupBy(*AA.columns).agg(F.min(name).alias(name))
 
-    return first(tables.cns_aa, "mutations_start_date").join(
-        first(tables.ih_aa, "variants_start_date"), AA.columns
-    )
+    # written once: it is joined at the end, and before that its changes alone let intra-host edges in
+    consensus = cut(first(tables.cns_aa, "mutations_start_date"), "first-seen")
+    candidates = join_null_safe(catalog, consensus.select(*AA.columns), AA.columns, "left_semi").select("change_id")
+    within = tables.ih_aa.join(candidates, "change_id", "left_semi")
+    return consensus.join(first(within, "variants_start_date"), AA.columns)
 
 
 def _lag(seen: DataFrame, earlier: str, later: str) -> DataFrame:

@@ -144,11 +144,16 @@ def metric_load_variants_by_date(tables: Tables, metric: str, date_bin: DateBin
     """Score load of intra-host changes per bin. A change a sample shows in two frequency bins counts
     once."""
     binned = binned_samples(tables, date_bin, where, max_span_days=max_span_days, lineages="inner")
-    per_sample = (
+    # scores and dates cut the edges before any of them is made distinct
+    scored = (
         tables.ih_aa.select("change_id", "sample_id")
-        .distinct()
         .join(_scores(tables, metric), "change_id")
-        .groupBy("sample_id")
+        .join(binned.select("sample_id"), "sample_id", "left_semi")
+        .groupBy("sample_id", "change_id")
+        .agg(F.max("value").alias("value"))
+    )
+    per_sample = (
+        scored.groupBy("sample_id")
         .agg(F.sum("value").alias("load"), F.count("*").alias("n_aa"))
         .join(binned, "sample_id")
     )

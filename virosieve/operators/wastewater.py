@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, max_span_filter, mid_collection_date
 from virosieve.operators.common import Filter, as_filter, resolves, ww_flag
 from virosieve.operators.lineages import call_rows
-from virosieve.plans.closure import transitive_closure
+from virosieve.plans.closure import reachable
 from virosieve.tables import GEO_COLUMNS, Tables
 
 
@@ -27,10 +27,8 @@ def ww_abundances_by_sample(tables: Tables, where: Filter = None) -> DataFrame:
 
 def _lineage_family(tables: Tables, parent: str) -> DataFrame:
     """Ids of the lineages named ``parent`` and of all their descendants."""
-    roots = tables.lineages.filter(F.col("lineage_name") == parent).select(F.col("id").alias("parent_id"))
-    pairs = transitive_closure(tables.lineages_immediate_children)
-    below = pairs.join(roots, "parent_id", "left_semi").select(F.col("child_id").alias("lineage_id"))
-    return roots.select(F.col("parent_id").alias("lineage_id")).union(below).distinct()
+    roots = tables.lineages.filter(F.col("lineage_name") == parent).select(F.col("id").alias("lineage_id"))
+    return reachable(tables.lineages_immediate_children, roots, "lineage_id")
 
 
 def ww_average_abundance(tables: Tables, geo_bin: str, lineage: str | None = None, where: Filter = None,

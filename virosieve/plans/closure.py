@@ -1,28 +1,41 @@
-"""Transitive closure of an edge table by repeated doubling."""
+"""Transitive closure of an edge table, and what can be reached from given nodes."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.plans.durable import cut
 
 
+def _joined(left: DataFrame, right: DataFrame, parent: str, child: str) -> DataFrame:
+    first = left.select(F.col(parent).alias("__from"), F.col(child).alias("__via"))
+    second = right.select(F.col(parent).alias("__via"), F.col(child).alias("__to"))
+    return first.join(second, "__via").select(F.col("__from").alias(parent), F.col("__to").alias(child))
+
+
 def transitive_closure(edges: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     """All distinct (ancestor, descendant) pairs.
 
-    Each round joins the pairs with themselves, so paths double in length and the number of rounds
-    is the logarithm of the depth. Pairs are kept distinct, so diamonds stay one row and a cycle
-    ends with its members reaching themselves instead of running forever. Every round is written
-    out, which keeps the plan of the next one short.
+    Each round joins only the pairs found in the round before with all pairs, on either side, so
+    paths about double in length and the number of rounds is the logarithm of the depth. Only pairs not seen
+    before go on, so diamonds stay one row and a cycle ends with its members reaching themselves.
+    Every round's new pairs are written once; the result is the union of the rounds.
     """
-    pairs = cut(edges.select(parent, child).distinct(), "closure")
-    size = pairs.count()
-    while True:
-        left = pairs.select(F.col(parent).alias("__from"), F.col(child).alias("__via"))
-        right = pairs.select(F.col(parent).alias("__via"), F.col(child).alias("__to"))
-        longer = left.join(right, "__via").select(F.col("__from").alias(parent), F.col("__to").alias(child))
-        grown = cut(pairs.unionByName(longer).distinct(), "closure")
-        grown_size = grown.count()
-        if grown_size == size:
-            return grown
-        pairs, size = grown, grown_size
+    found = [cut(edges.select(parent, child).distinct(), "closure")]
+    while not found[-1].isEmpty():
+        seen = reduce(DataFrame.unionByName, found)
+        longer = _joined(found[-1], seen, parent, child).unionByName(_joined(seen, found[-1], parent, child))
+        found.append(cut(longer.distinct().join(seen, [parent, child], "left_anti"), "closure"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def reachable(edges: DataFrame, roots: DataFrame, node: str, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+    """``roots(node)`` and all nodes below them, once each; a round joins the newest nodes with the edges."""
+    found = [cut(roots.select(node).distinct(), "reached")]
+    while not found[-1].isEmpty():
+        seen = reduce(DataFrame.unionByName, found)
+        below = found[-1].join(edges, F.col(node) == F.col(parent)).select(F.col(child).alias(node)).distinct()
+        found.append(cut(below.join(seen, node, "left_anti"), "reached"))
+    return reduce(DataFrame.unionByName, found)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from virosieve.plans.durable import cut
+
 
 def assign_ids(rows: DataFrame, keys, after: Column, id_name: str = "id") -> DataFrame:
     """Number ``rows`` (unique on ``keys``) ``after + 1, after + 2, ...`` without gaps.
@@ -13,6 +15,7 @@ def assign_ids(rows: DataFrame, keys, after: Column, id_name: str = "id") -> Dat
     single-task step sums at most 4096 counts.
     """
     keys = list(keys)
+    rows = cut(rows, "new-keys")  # they are read twice
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     dealt = rows.withColumn("__group", F.substring(F.md5(text), 1, 3))
     counts = dealt.groupBy("__group").agg(F.count("*").alias("__n"))

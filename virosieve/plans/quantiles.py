@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from virosieve.plans.durable import cut
 from virosieve.plans.joins import join_null_safe
-from virosieve.plans.sizing import reads_little
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -28,79 +27,37 @@ def few_valued_quantiles(df: DataFrame, keys, value: str, probs: Sequence[float]
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: Sequence[float], names: Sequence[str],
-                    discrete: bool = False, distributed: bool | None = None) -> DataFrame:
+                    discrete: bool = False) -> DataFrame:
     """Quantiles of an unrestricted value, interpolated or ``discrete`` (the value at that rank).
 
-    Where everything the plan reads is known to be small, the built-in aggregates do. Otherwise each
-    group is cut into value ranges, the ranges holding the wanted ranks are found from their counts,
-    and only inside these are rows ordered. The range bounds are written out first, since they must
-    not change when a lost task is computed again.
+    Equal values are counted, and the counts lie range-partitioned and sorted by (keys, value), so a
+    large group spans several partitions. A row's first rank is the number of the group's rows in
+    earlier partitions plus those before it in its own; the rows that hold a wanted rank are kept.
+    One row per (partition, group) tells the earlier partitions' numbers. The ranged counts are
+    written out, since a partition must not change when a lost task is computed again.
     """
     keys = list(keys)
-    present = df.filter(F.col(value).isNotNull())
-    if distributed is None:
-        distributed = not reads_little(df)
-    if not distributed:
-        return _built_in(present, keys, value, probs, names, discrete)
-    return _by_ranges(present, keys, value, probs, names, discrete)
-
-
-def _built_in(df, keys, value, probs, names, discrete):
-    if discrete:
-        aggs = [
-            F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{value}`)").alias(name)
-            for p, name in zip(probs, names)
-        ]
-        return df.groupBy(*keys).agg(*aggs)
-    out = df.groupBy(*keys).agg(F.percentile(value, list(probs)).alias("__q"))
-    return out.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(names)])
-
-
-# Each group is cut into the square of this many ranges.
-_SIDE = 32
-
-
-def _range_index(value: Column) -> Column:
-    """Number of bounds below the value, found in two steps of at most 32 comparisons."""
-    block = F.size(F.filter("__block_ends", lambda b: b < value))
-    inside = F.slice("__bounds", block * _SIDE + 1, F.lit(_SIDE))
-    return block * _SIDE + F.size(F.filter(inside, lambda b: b < value))
-
-
-def _by_ranges(df, keys, value, probs, names, discrete):
     # a constant key lets the ungrouped case use the same joins
     work_keys = keys or ["__all"]
+    present = df.filter(F.col(value).isNotNull())
     if not keys:
-        df = df.withColumn("__all", F.lit(1))
-    counted = df.groupBy(*work_keys, value).agg(F.count("*").alias("__n"))
-
-    # over distinct values, so the ranges hold about equally many rows
-    n_ranges = _SIDE * _SIDE
-    inner = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = counted.groupBy(*work_keys).agg(F.percentile_approx(value, inner, 10 * n_ranges).alias("__bounds"))
-    ends = F.transform(F.sequence(F.lit(_SIDE), F.lit(n_ranges - 1), F.lit(_SIDE)), lambda i: F.get("__bounds", i - 1))
-    bounds = cut(bounds.withColumn("__block_ends", ends), "range-bounds")
-    ranged = join_null_safe(counted, bounds, work_keys).select(
+        present = present.withColumn("__all", F.lit(1))
+    counted = present.groupBy(*work_keys, value).agg(F.count("*").alias("__n"))
+    order = [*[F.col(k).asc_nulls_first() for k in work_keys], F.col(value).asc()]
+    ranged = cut(counted.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+    in_parts = Window.partitionBy(*work_keys).orderBy("__part")
+    offsets = ranged.groupBy(*work_keys, "__part").agg(F.sum("__n").alias("__size"))
+    offsets = offsets.select(
         *work_keys,
-        value,
-        "__n",
-        _range_index(F.col(value)).alias("__range"),
-    )
-
-    # at most 1024 rows per group here
-    in_order = Window.partitionBy(*work_keys).orderBy("__range")
-    whole = Window.partitionBy(*work_keys)
-    sizes = (
-        ranged.groupBy(*work_keys, "__range")
-        .agg(F.sum("__n").alias("__size"))
-        .select(
-            *work_keys,
-            "__range",
-            "__size",
-            (F.sum("__size").over(in_order) - F.col("__size")).alias("__before"),
-            F.sum("__size").over(whole).alias("__total"),
-        )
+        "__part",
+        (F.sum("__size").over(in_parts) - F.col("__size")).alias("__before"),
+        F.sum("__size").over(Window.partitionBy(*work_keys)).alias("__total"),
     )
+    in_part = Window.partitionBy(*work_keys, "__part").orderBy(value)
+    running = ranged.withColumn("__running", F.sum("__n").over(in_part) - F.col("__n"))
+    placed = join_null_safe(running, offsets, [*work_keys, "__part"])
+    first = F.col("__before") + F.col("__running")
 
     def ranks(p: float) -> tuple[Column, Column]:
         if discrete:
@@ -109,32 +66,16 @@ def _by_ranges(df, keys, value, probs, names, discrete):
         place = (F.col("__total") - 1) * F.lit(float(p))
         return F.floor(place), F.ceil(place)
 
-    def holds(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
+    def holds(rank: Column) -> Column:
+        return (rank >= first) & (rank < first + F.col("__n"))
 
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in ranks(p):
-            wanted = wanted | holds(rank, F.col("__before"), F.col("__size"))
-    targets = sizes.filter(wanted).drop("__size")
-
-    in_range = Window.partitionBy(*work_keys, "__range").orderBy(value)
-    placed = join_null_safe(ranged, targets, [*work_keys, "__range"]).withColumn(
-        "__start", F.col("__before") + F.sum("__n").over(in_range) - F.col("__n")
-    )
-    ends = []
-    for i, p in enumerate(probs):
-        low, high = ranks(p)
-        for side, rank in (("lo", low), ("hi", high)):
-            hit = holds(rank, F.col("__start"), F.col("__n"))
-            ends.append(F.max(F.when(hit, F.col(value))).alias(f"__{side}{i}"))
-    found = placed.groupBy(*work_keys).agg(F.max("__total").alias("__total"), *ends)
-    out = []
+    wanted, ends, out = F.lit(False), [], []
     for i, (p, name) in enumerate(zip(probs, names)):
+        for side, rank in zip(("lo", "hi"), ranks(p)):
+            wanted = wanted | holds(rank)
+            ends.append(F.max(F.when(holds(rank), F.col(value))).alias(f"__{side}{i}"))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        if discrete:
-            out.append(lo.alias(name))
-        else:
-            place = (F.col("__total") - 1) * F.lit(float(p))
-            out.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+        place = (F.col("__total") - 1) * F.lit(float(p))
+        out.append((lo if discrete else lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    found = placed.filter(wanted).groupBy(*work_keys).agg(F.max("__total").alias("__total"), *ends)
     return found.select(*keys, *out)

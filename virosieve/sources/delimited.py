@@ -16,7 +16,10 @@ class HeaderError(ValueError):
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], suffix: str = "") -> list[str]:
-    """Files named by paths, globs or directories, on whatever file system they lie."""
+    """Files named by paths, globs or directories with their sub-folders, on whatever file system they lie.
+
+    Hidden files and folders are left out; an empty file is an error, as it lacks a header.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
@@ -27,11 +30,15 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], suffix: str = ""
         if matches is None or len(matches) == 0:
             raise FileNotFoundError(path)
         for status in matches:
-            entries = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            for entry in entries:
-                name = entry.getPath().getName()
-                hidden = name.startswith((".", "_"))
-                if not entry.isDirectory() and entry.getLen() > 0 and not hidden and name.endswith(suffix):
+            todo = [status]
+            while todo:
+                entry = todo.pop()
+                if entry.isDirectory():
+                    below = fs.listStatus(entry.getPath())
+                    todo += [e for e in below if not e.getPath().getName().startswith((".", "_"))]
+                elif entry.getPath().getName().endswith(suffix):
+                    if entry.getLen() == 0:
+                        raise HeaderError(f"{entry.getPath().toString()} is empty")
                     found.append(entry.getPath().toString())
     return sorted(found)
 

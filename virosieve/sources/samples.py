@@ -73,9 +73,10 @@ NO_ORGANISM = "NA"
 
 
 def read_sample_runs(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
-    """Sample run table, comma or tab separated; further columns are ignored."""
+    """Sample run table, comma or tab separated; further columns are ignored. ``input_order`` stays, since the
+    last record of an accession counts when it is loaded."""
     raw = read_delimited(spark, paths, sep, RUN_COLUMNS.values())
-    return clean_sample_runs(renamed(raw, RUN_COLUMNS).drop("input_order"))
+    return clean_sample_runs(renamed(raw, RUN_COLUMNS))
 
 
 def _bulk(spark, paths, columns, delimiter, organism) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -82,19 +83,24 @@ def read_scores(spark: SparkSession, paths, layout: str | ScoreLayout) -> DataFr
     """Long scores: change columns, ``phenotype_metric_name``, ``phenotype_metric_assay_type``,
     ``value``, ``input_order``.
 
-    Records without a readable change and cells without a readable number are left out. All files
-    of one call must hold the same metrics.
+    Records without a readable change and cells without a readable number are left out. Files may hold
+    different metrics; each file gives those it has, and one without any is an error.
     """
     layout = LAYOUTS[layout] if isinstance(layout, str) else layout
-    site = [layout.position, layout.ref, layout.alt, *([layout.feature_column] if layout.feature_column else [])]
     headers = read_headers(spark, list_files(spark, paths), layout.sep)
-    present = {
-        name: header
-        for name, header in layout.metrics.items()
-        if layout.all_metrics or all(header in names for names in headers.values())
-    }
-    if not present:
-        raise HeaderError(f"no metric column among {sorted(layout.metrics.values())}")
+    groups: dict[tuple[str, ...], dict] = {}
+    for path, names in headers.items():
+        present = tuple(n for n, header in layout.metrics.items() if layout.all_metrics or header in names)
+        if not present:
+            raise HeaderError(f"{path}: no metric column among {sorted(layout.metrics.values())}")
+        groups.setdefault(present, {})[path] = names
+    return reduce(DataFrame.unionByName, [_long_scores(spark, paths, layout, metrics, files) for metrics, files in groups.items()])
+
+
+def _long_scores(spark: SparkSession, paths, layout: ScoreLayout, metrics: tuple[str, ...], headers: dict) -> DataFrame:
+    """The scores of the files that hold exactly these metrics."""
+    site = [layout.position, layout.ref, layout.alt, *([layout.feature_column] if layout.feature_column else [])]
+    present = {name: layout.metrics[name] for name in metrics}
     raw = read_delimited(spark, paths, layout.sep, [*site, *present.values()], headers=headers)
 
     position = blank_to_null(F.col(layout.position))

@@ -173,9 +173,7 @@ def change_oracles() -> dict[str, str]:
     o["carriers_cns_amino_acid"] = edges("ok_mutations", "full_amino_acids", aa_key, "r.ref_aa IS NOT NULL")
     o["carriers_ih_allele"] = edges("ok_ih_nt", "full_alleles", nt_key, freq="gapped_freq")
     o["carriers_ih_amino_acid"] = edges("ok_ih_codons", "full_amino_acids", "gff_feature, position_aa, alt_codon", freq="alt_freq")
-    o["carrier_union_merge"] = sql(
-        "SELECT change_id, sample_id FROM cns_edges WHERE sample_id % 2 = 0 OR sample_id % 3 = 0"
-    )
+    o["carrier_union_merge"] = sql("SELECT change_id, sample_id FROM cns_edges")
     o["transpose_carriers"] = sql("SELECT sample_id, change_id FROM cns_edges")
     o["carrier_bitmaps"] = sql(
         "SELECT change_id, CASE WHEN sample_id > 0 THEN (sample_id - 1) // 32768 + 1 ELSE 0 END AS bucket, count(*) AS n "

@@ -133,6 +133,12 @@ def query_oracles() -> dict[str, str]:
     for field, table in (("host", "samples"), ("region", "alleles"), ("admin1_name", "geo_locations"),
                          ("lineage_system_name", "lineage_systems")):
         o[f"distinct_values_{field}"] = sql(f"SELECT DISTINCT {field} AS value FROM {table} WHERE {field} IS NOT NULL")
+    # worked out by hand for the names NATION_0 to NATION_24 and the search nasion_2: twice the letters in
+    # common, "na", "ion_" and maybe the 2, over the letters of both
+    o["distinct_values_search"] = sql(
+        "SELECT DISTINCT admin1_name AS value, 2.0 * (6 + CASE WHEN substr(admin1_name, 8) LIKE '%2%' THEN 1 ELSE 0 END) "
+        "/ (8 + length(admin1_name)) AS score FROM geo_locations WHERE admin1_name IS NOT NULL"
+    )
     o["distinct_values"] = sql(
         f"SELECT DISTINCT admin1_name AS value FROM sg WHERE admin1_name IS NOT NULL AND ({SAMPLE_WHERE})"
     )

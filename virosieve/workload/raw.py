@@ -74,7 +74,7 @@ RAW = {
     "stored_edges": """
   SELECT change_id, sample_id FROM cns_edges WHERE sample_id % 2 = 0""",
     "incoming_edges": """
-  SELECT change_id, sample_id FROM cns_edges WHERE sample_id % 3 = 0""",
+  SELECT change_id, sample_id FROM cns_edges WHERE sample_id % 3 = 0 OR sample_id % 2 = 1""",
     # --- text cells
     "raw_dates": """
   SELECT o_orderkey AS id, o_orderkey % 9 AS kind, cast(o_orderdate AS date) AS d,
@@ -114,7 +114,7 @@ RAW = {
   SELECT id, accession, host, organism, platform, collection_start_date, collection_end_date FROM samples WHERE id % 3 <> 0""",
     "incoming_samples": """
   SELECT accession, concat('new ', host) AS host, CASE WHEN id % 4 = 0 THEN organism END AS organism,
-         collection_start_date, collection_end_date FROM samples WHERE id % 2 = 0""",
+         collection_start_date, collection_end_date FROM samples WHERE id % 2 = 0 OR id % 3 = 0""",
     "raw_scores": """
   SELECT gff_feature, position_aa, ref_aa, alt_aa, CASE WHEN id % 2 = 0 THEN 'price' ELSE 'novel' END AS phenotype_metric_name,
          'DMS' AS phenotype_metric_assay_type, cast(id % 100 AS double) AS value, id AS input_order FROM amino_acids WHERE id % 3 <> 0
@@ -131,7 +131,7 @@ RAW = {
          CASE WHEN l_suppkey % 4 = 0 THEN concat('Q', cast(l_suppkey AS string))
               ELSE concat('R', cast(n_regionkey AS string), '.', cast(n_nationkey AS string), '.', cast(s_suppkey AS string)) END AS lineage_name,
          max(l_discount) AS abundance, l_linenumber AS input_order
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber <= 3
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   GROUP BY l_orderkey, l_suppkey, s_suppkey, n_regionkey, n_nationkey, l_linenumber""",
     "raw_hierarchy": """
   SELECT concat('R', cast(n_regionkey AS string)) AS parent_name, concat('R', cast(n_regionkey AS string), '.', cast(n_nationkey AS string), '*') AS child_name
