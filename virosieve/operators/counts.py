@@ -168,7 +168,7 @@ def count_mutations_by_column(tables: Tables, column: str, axis: str = "aa", whe
     edges = tables[axis.consensus]
     if as_filter(where) is not None:
         chosen = select_samples(tables, where).select(F.col("id").alias("sample_id"))
-        edges = edges.join(chosen, "sample_id", "left_semi")
+        edges = tables.edges_of_samples(axis.consensus).join(chosen, "sample_id", "left_semi")
     return _sum_by_catalog_column(edges, tables, axis, column).orderBy(F.desc("n"), column)
 
 
@@ -229,10 +229,17 @@ def count_mutations_by_collection_date(tables: Tables, date_bin: DateBin = MONTH
                 # about the change alone: fewer changes meet the edges
                 edges = edges.join(catalog.filter(condition).select("change_id"), "change_id", "left_semi")
             else:
-                # mixes both: decide per (change, sample)
-                rows = edges.join(catalog, "change_id").join(scope.withColumnRenamed("id", "sample_id"), "sample_id")
-                edges = rows.filter(condition).select("change_id", "sample_id").distinct()
+                # mixes both: decide per (change, sample), with the tables that the filter mentions
+                named = edges.join(catalog, "change_id")
+                for fans_out, samples in ((False, tables.samples), (False, tables.samples_geo), (True, scope)):
+                    rows = named.join(samples.withColumnRenamed("id", "sample_id"), "sample_id")
+                    if fans_out or resolves(rows, condition):
+                        break
+                edges = rows.filter(condition).select("change_id", "sample_id")
+                edges = edges.distinct() if fans_out else edges
             where = None
+        elif resolves(tables.samples_geo, condition):
+            edges = tables.edges_of_samples(axis.consensus)
     binned = binned_samples(tables, date_bin, where, max_span_days=max_span_days, lineages="left")
     return _changes_by_date(tables, axis, edges, binned, date_bin)
 

@@ -196,7 +196,7 @@ def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_cod
         merged = carrier_union_merge(tables[name], incoming) if name in tables else incoming
         edges[name] = keep(by_change(merged), name)
     for name in ("cns_nt", "cns_aa"):
-        keep(by_sample(transpose_carriers(edges[name])), f"{name}_by_sample")
+        edges[f"{name}_by_sample"] = keep(by_sample(transpose_carriers(edges[name])), f"{name}_by_sample")
     return tables.replace(alleles=alleles, amino_acids=amino_acids, **edges)
 
 

@@ -28,7 +28,7 @@ def mutations_by_sample(tables: Tables, where: Filter, axis: str = "nt") -> Data
     """The same rows for the samples that pass a sample filter."""
     axis = change_axis(axis)
     chosen = select_samples(tables, where).select(F.col("id").alias("sample_id"))
-    edges = tables[axis.consensus].join(chosen, "sample_id", "left_semi")
+    edges = tables.edges_of_samples(axis.consensus).join(chosen, "sample_id", "left_semi")
     return _mutation_rows(edges.join(axis.named(tables), "change_id"), axis)
 
 
@@ -110,7 +110,7 @@ def _first_seen(tables: Tables, lineage: str, system: str) -> DataFrame:
         return per_id.join(catalog, "change_id").groupBy(*AA.columns).agg(F.min(name).alias(name))
 
     # written once: it is joined at the end, and before that its changes alone let intra-host edges in
-    consensus = cut(first(tables.cns_aa, "mutations_start_date"), "first-seen")
+    consensus = cut(first(tables.edges_of_samples("cns_aa"), "mutations_start_date"), "first-seen")
     candidates = join_null_safe(catalog, consensus.select(*AA.columns), AA.columns, "left_semi").select("change_id")
     within = tables.ih_aa.join(candidates, "change_id", "left_semi")
     return consensus.join(first(within, "variants_start_date"), AA.columns)

@@ -5,6 +5,9 @@ Carrier sets are *edge tables*, one row per (change, sample):
 * ``cns_nt`` / ``cns_aa``  consensus:   ``change_id, sample_id``
 * ``ih_nt``  / ``ih_aa``   intra-host:  ``change_id, sample_id, freq_bin``
 
+``cns_nt_by_sample`` and ``cns_aa_by_sample``, if given, hold the consensus edges clustered by sample;
+operators that start from samples read them.
+
 Set algebra on carrier sets is then ordinary relational work (semi-joins, distinct, counts) that
 Spark can partition on either key; no row ever holds the carriers of a whole change.
 """
@@ -25,6 +28,8 @@ TABLE_NAMES = (
     "cns_aa",
     "ih_nt",
     "ih_aa",
+    "cns_nt_by_sample",
+    "cns_aa_by_sample",
     "lineage_systems",
     "lineages",
     "lineages_immediate_children",
@@ -85,6 +90,11 @@ class Tables:
         """A copy with some tables exchanged, e.g. after an ingest step."""
         return Tables({**self._frames, **frames})
 
+    def edges_of_samples(self, name: str) -> DataFrame:
+        """Edges for an operator that starts from samples: the layout clustered by sample, where there is one."""
+        clustered = f"{name}_by_sample"
+        return self[clustered].select("change_id", "sample_id") if clustered in self else self[name]
+
     @cached_property
     def samples_geo(self) -> DataFrame:
         """samples left-joined to their place; the place columns keep their own names."""

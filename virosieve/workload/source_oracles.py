@@ -81,6 +81,28 @@ def source_oracles() -> dict[str, str]:
     o["src_scores_wide"] = scores({"stability": "stability", "mouse_sera_escape": "escape"}, "'XAJ25415.1'", "DMS")
     o["src_scores_wide_sc2"] = scores({"delta_bind": "stability"}, "gff_feature", "DMS")
     o["src_scores_evescape"] = scores({"evescape": "stability", "evescape_sigmoid": "escape"}, "'XAJ25415.1'", "EVEscape")
+    ha = "'XAJ25415.1'"
+    o["src_scores_ha_tsv"] = scores({"stability": "stability", "ferret_sera_escape": "escape"}, ha, "DMS")
+    new = {"sa26_usage_increase_new": "stability", "entry_in_sa26_and_sa23_293t_cells": "escape"}
+    o["src_scores_ha_csv_new"] = scores(new, ha, "DMS")
+    o["src_scores_ha_csv_neuac_neugc"] = scores({"entry_in_neuac": "stability", "neugc_usage_increase": "escape"}, ha, "DMS")
+    o["src_scores_pb2_csv"] = scores({"mutdiffsel": "stability"}, "'XAJ25426.1'", "DMS")
+    o["src_scores_sc2_evescape_csv"] = scores({"evescape": "stability"}, "gff_feature", "EVEscape")
+    # a second file holds one of the two metrics
+    o["src_scores_differing_metrics"] = f"({o['src_scores_wide']}) UNION ALL ({scores({'stability': 'stability'}, ha, 'DMS')})"
+    o["load_samples"] = sql(
+        "SELECT accession, center_name FROM (SELECT accession, nullif(center_name, '') AS center_name FROM file_runs "
+        f"WHERE NOT coalesce({malformed}, false) UNION ALL SELECT s.accession, 'old' FROM samples s WHERE s.id % 3 = 0 "
+        f"AND s.accession NOT IN (SELECT accession FROM file_runs WHERE NOT coalesce({malformed}, false)))"
+    )
+    loaded = "SELECT b.* FROM file_bulk b JOIN samples s USING (accession) WHERE s.collection_start_date IS NOT NULL"
+    o["load_samples_bulk"] = sql(
+        "SELECT b.accession, b.isolate, "
+        "CASE WHEN s.id IS NOT NULL THEN 'site' ELSE b.ww_site_id END AS ww_site_id "
+        f"FROM ({loaded}) b LEFT JOIN (SELECT * FROM samples WHERE id % 3 = 0) s ON s.accession = b.accession "
+        "UNION ALL SELECT s.accession, 'old', 'site' FROM samples s WHERE s.id % 3 = 0 "
+        f"AND s.accession NOT IN (SELECT accession FROM ({loaded}))"
+    )
     o["src_annotations"] = sql("SELECT * FROM raw_markers")
     o["sink_tables"] = sql("SELECT * FROM stored_edges UNION ALL SELECT * FROM incoming_edges")
     o["sink_conflict_report"] = change_oracles()["allele_ref_conflicts"]

@@ -7,9 +7,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from virosieve.operators import ingest_changes
+from virosieve.operators import ingest_changes, ingest_samples
 from virosieve.plans.durable import fresh_path
 from virosieve.sources import annotations, changes, lineages, samples, scores, sinks
+from virosieve.workload import binding
 from virosieve.workload.queries import Query, portable
 from virosieve.workload.raw import raw_frame
 
@@ -147,6 +148,56 @@ def source_queries() -> dict[str, Query]:
         path = score_file(spark, sf_dir, "evescape_csv", {**site, "stability": "evescape", "escape": "evescape_sigmoid"})
         return scores.read_scores(spark, path, "evescape_csv").drop("input_order")
 
+    # file_scores under each further layout: model column -> header
+    layouts = {
+        "ha_tsv": {"stability": "stability", "escape": "ferret sera escape"},
+        "ha_csv_new": {"stability": "SA26 usage increase", "escape": "entry in SA26 and SA23 293T cells"},
+        "ha_csv_neuac_neugc": {"stability": "entry in 293 cells", "escape": "NeuGc usage increase"},
+        "pb2_csv": {"stability": "mutdiffsel"},
+        "sc2_evescape_csv": {"stability": "evescape", "gff_feature": "GFF_FEATURE"},
+    }
+
+    def layout_query(layout: str, metrics: Mapping[str, str]):
+        kind = scores.LAYOUTS[layout]
+        site = {"position_aa": kind.position, "ref_aa": kind.ref, "alt_aa": kind.alt}
+
+        @source(f"src_scores_{layout}")
+        def _(spark, sf_dir):
+            path = score_file(spark, sf_dir, layout, {**site, **metrics})
+            return scores.read_scores(spark, path, layout).drop("input_order")
+
+    for layout, metrics in layouts.items():
+        layout_query(layout, metrics)
+
+    @source("src_scores_differing_metrics")
+    def _(spark, sf_dir):
+        site = {"position_aa": "sequential_site", "ref_aa": "wildtype", "alt_aa": "mutant"}
+        paths = [
+            score_file(spark, sf_dir, "ha_csv", {**site, "stability": "stability", "escape": "mouse sera escape"}),
+            score_file(spark, sf_dir, "ha_csv", {**site, "stability": "stability"}),
+        ]
+        return scores.read_scores(spark, paths, "ha_csv").drop("input_order")
+
+    @source("load_samples")
+    def _(spark, sf_dir):
+        # the run table twice in one file, first with another center: the last record of an accession counts
+        runs = raw_frame(spark, sf_dir, "file_runs")
+        both = runs.withColumn("center_name", F.lit("first")).withColumn("place", F.lit(0)).unionByName(runs.withColumn("place", F.lit(1)))
+        path = write_file(both.orderBy("place").coalesce(1), samples.RUN_COLUMNS, ",")
+        base = binding.tables(spark, sf_dir)
+        known = base.samples.filter("id % 3 = 0").select("id", "accession", F.lit("old").alias("center_name"), "geo_location_id")
+        loaded = ingest_samples.load_samples(base.replace(samples=known), samples.read_sample_runs(spark, path, ","))
+        return loaded.samples.select("accession", "center_name")
+
+    @source("load_samples_bulk")
+    def _(spark, sf_dir):
+        path = write_file(raw_frame(spark, sf_dir, "file_bulk"), samples.BULK_COLUMNS, "\t")
+        base = binding.tables(spark, sf_dir)
+        columns = "id, accession, host, 'old' AS isolate, 'site' AS ww_site_id, organism, is_retracted, collection_start_date, collection_end_date, geo_location_id"
+        known = base.samples.filter("id % 3 = 0").selectExpr(*columns.split(", "))
+        loaded = ingest_samples.load_samples(base.replace(samples=known), samples.read_bulk_wastewater(spark, path), bulk=True)
+        return loaded.samples.select("accession", "isolate", "ww_site_id")
+
     @source("src_annotations")
     def _(spark, sf_dir):
         return annotations.read_annotations(
