@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from virosieve.llm import quality_rules
+
 OP7 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -23,5 +25,71 @@ GROUP BY conv_id
 """
 
 
+def _op9(limits: quality_rules.Limits = quality_rules.DEFAULT) -> str:
+    half = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) / 2 ELSE 0 END"
+    both = lambda p, q: f"({half(p, q)} + {half(q, p)})"
+    shown = ["[A-Z]", "[0-9]", r"[!\x22''()+,./:;=?@\[\x5C\]^_`{}~-]", "[#*$%&|<>]"]
+    classes = [f"len(regexp_extract_all(t, '{c}'))" for c in shown]
+    k = range(quality_rules.CLASSES)
+    class_terms = " + ".join(both(f"(k{i} / size)", f"r{i}") for i in k)
+    return rf"""
+WITH langs AS (
+  SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {limits.max_languages}
+), texts AS (
+  SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM langs) THEN lang ELSE '' END AS lang, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), counted AS (
+  SELECT doc_id, lang, t, words, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(coalesce(array_to_string(words, ''), '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines
+  FROM split
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n
+  FROM (SELECT doc_id, words, unnest(range(1, n_words - 1)) AS i FROM counted)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
+), shares AS (
+  SELECT doc_id, lang, CAST(length(t) AS DOUBLE) AS size, {", ".join(f"{c} AS k{i}" for i, c in enumerate(classes))},
+         length(t) - word_chars AS k4, length(t) - ({" + ".join(classes)}) - (length(t) - word_chars) AS k5
+  FROM counted
+), lowered AS (
+  SELECT doc_id, lang, lower(unnest(words)) AS word FROM counted
+), totals AS (
+  SELECT lang, count(*) AS n FROM lowered GROUP BY lang HAVING count(*) >= {limits.min_reference_words}
+), common AS (
+  SELECT lang, word, n, CAST(c AS DOUBLE) / n AS q FROM (
+    SELECT lang, word, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rank FROM lowered GROUP BY lang, word
+  ) JOIN totals USING (lang) WHERE rank <= {limits.common_words}
+), all_q AS (
+  SELECT lang, sum(q) AS all_q FROM common GROUP BY lang
+), class_reference AS (
+  SELECT lang, {", ".join(f"sum(k{i}) / sum(size) AS r{i}" for i in k)} FROM shares JOIN totals USING (lang) GROUP BY lang HAVING sum(size) > 0
+), class_distances AS (
+  SELECT doc_id, CASE WHEN size > 0 THEN sqrt(greatest(least({class_terms}, 1), 0)) END AS class_distance
+  FROM shares JOIN class_reference USING (lang)
+), runs AS (
+  SELECT doc_id, lang, q, CAST(count(*) AS DOUBLE) / any_value(n_words) AS p
+  FROM lowered JOIN common USING (lang, word) JOIN (SELECT doc_id, n_words FROM counted) USING (doc_id) GROUP BY doc_id, lang, word, q
+), seen AS (
+  SELECT doc_id, sum(p) AS p, sum(q) AS q, sum({both("p", "q")}) AS terms FROM runs GROUP BY doc_id
+), word_distances AS (
+  SELECT doc_id, CASE WHEN n_words > 0 THEN sqrt(greatest(least(coalesce(terms, 0) + (all_q - coalesce(q, 0)) / 2
+         + {both("greatest(1 - coalesce(p, 0), 0)", "greatest(1 - all_q, 0)")}, 1), 0)) END AS word_distance
+  FROM counted JOIN all_q USING (lang) LEFT JOIN seen USING (doc_id)
+), judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         n_words < {limits.min_words} OR 100 * coalesce(n_repeat_words, 0) > {limits.max_repeat_percent} * n_words AS base_failed,
+         coalesce(class_distance, 0) <= {limits.max_class_distance}
+           AND coalesce(word_distance, 0) <= {limits.max_word_distance} + 1 / sqrt(greatest(n_words, 1)) AS near
+  FROM counted LEFT JOIN repeated USING (doc_id) LEFT JOIN class_distances USING (doc_id) LEFT JOIN word_distances USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op7_chat_formatting": OP7}
+    return {"op7_chat_formatting": OP7, "op9_distribution_quality_rules": _op9()}

@@ -1,11 +1,11 @@
 """Token ids of texts as compressed files, in ascending order of the documents' ids.
 
-Texts are cut at white space, a batch's distinct words go through the tokenizer once, and ids are taken by the
-word's number: no token reaches across white space. The files (``write``) are a Parquet folder each:
+Texts are cut at white space, and words from the marks they end in; distinct ones go through the tokenizer, and
+ids are taken by number: no token reaches across these cuts. The files (``write``) are a Parquet folder each:
 
-* ``blocks``: ``part, block, doc_ids, lengths, payload``: whole documents of ``BLOCK`` ids or a little more, a
+* ``blocks``: ``part, block, first, doc_ids, lengths, payload``: whole documents of ``BLOCK`` ids or a little more, a
   longer document being a block of its own; the payload is in the format of ``rans``. Any task can decode any
-  block, and check it by its checksum.
+  block, and check it by its checksum. ``first`` counts the part's ids ahead of the block.
 * ``table``: the shared frequency of each id, from the counts of all documents.
 * ``parts``: how many ids precede each part. Parts are ranges of document ids.
 
@@ -35,60 +35,107 @@ from virosieve.plans.durable import cut
 BLOCK = 1 << 16
 END_ID = 1
 _TOGETHER = 32  # blocks coded at once
-_tokenizers: dict = {}
+#: Marks that a word may end in. They stand in no special token, and the tokenizer cuts before a run of them.
+_TAIL = ".,;:!?#$%&*"
+_CACHE = 500_000
 
 
-def _tokenizer(definition: str):
-    if definition not in _tokenizers:
+class WordTable:
+    """Ids of the words that a worker has met; it starts anew when ``_CACHE`` is reached, which costs time only."""
+
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[definition] = Tokenizer.from_str(definition)
-    return _tokenizers[definition]
+        self.library = Tokenizer.from_str(definition)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each word as little-endian unsigned 32-bit integers in a binary value."""
+        coded = pc.ascii_lower(words).dictionary_encode()  # the tokenizer lower-cases, too
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > _CACHE:
+            self.known = {"": b""}
+        known = self.known
+        fresh = [w for w in distinct if w not in known]
+        for start in range(0, len(fresh), 20_000):
+            piece = fresh[start : start + 20_000]
+            for word, found in zip(piece, self.library.encode_batch_fast(piece, add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, "<u4").tobytes()
+        return pa.array([known[w] for w in distinct], pa.large_binary()).take(coded.indices)
+
+
+_tables: dict[str, WordTable] = {}
+
+
+def _table_of(definition: str) -> WordTable:
+    if definition not in _tables:
+        _tables[definition] = WordTable(definition)
+    return _tables[definition]
 
 
 def encode_texts(definition: str, texts: pa.Array, end_id: int) -> list[np.ndarray]:
     """Ids of each text, with the end id, as unsigned 32-bit integers."""
-    tokenizer = _tokenizer(definition)
+    table = _table_of(definition)
     listed = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[ \t-\r]+")
     counts = pc.list_value_length(listed).to_numpy().astype(np.int64)
     coded = listed.flatten().dictionary_encode()
-    spelt = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    width = np.array([len(s) for s in spelt], np.int64)
-    flat = np.fromiter((i for s in spelt for i in s), np.uint32, int(width.sum()))
-    begin = np.cumsum(width) - width
-    word = coded.indices.to_numpy()
-    sizes = width[word]
-    which = np.repeat(np.arange(len(word)), sizes)
-    ids = flat[begin[word][which] + np.arange(len(which)) - (np.cumsum(sizes) - sizes)[which]]
-    per_text = np.add.reduceat(np.append(sizes, 0), np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
-    per_text = np.where(counts > 0, per_text, 0)
+    # a word and the marks it ends in are encoded apart: fewer distinct words
+    words = coded.dictionary
+    parts = [table.ids(part) for part in _apart(words)]
+    spelt = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+    at = np.frombuffer(spelt.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(counts)])] if len(spelt) else np.zeros(len(counts) + 1, np.int64)
+    ids = np.frombuffer(spelt.buffers()[2] or b"", "<u4")
     end = np.array([end_id], np.uint32)
-    return [np.concatenate([part, end]) for part in np.split(ids, np.cumsum(per_text)[:-1])] if len(counts) else []
+    return [np.concatenate([ids[a // 4 : b // 4], end]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _apart(words: pa.Array) -> list[pa.Array]:
+    """The words without the marks they end in, and these marks; whole words where another mark stands before them."""
+    ends_plain = pc.match_substring_regex(words, f"(^|[A-Za-z0-9])[{_TAIL}]+$")
+    bare = pc.if_else(ends_plain, pc.ascii_rtrim(words, _TAIL), words)
+    sizes, all_sizes = pc.binary_length(bare).to_numpy(), pc.binary_length(words).to_numpy()
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    begin = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+    width = all_sizes - sizes
+    ends = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+    at = np.repeat(begin + sizes - ends[:-1], width) + np.arange(int(ends[-1]))
+    return [bare, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(data[at].tobytes()))]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, ids)`` per row, ids as little-endian unsigned 32-bit integers in a binary value."""
+    """``(doc_id, ids)`` per row, ids as little-endian integers of ``_width`` in a binary value."""
     with open(tokenizer_path, encoding="utf-8") as file:  # a few megabytes; travels with the tasks
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
+    kind = _width(_vocabulary_size(definition.value, end_id))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 8 << 20):
-            ids = [x.astype("<u4").tobytes() for x in encode_texts(definition.value, column(batch, "text"), end_id)]
+            ids = [x.astype(kind).tobytes() for x in encode_texts(definition.value, column(batch, "text"), end_id)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
+def _vocabulary_size(definition: str, end_id: int) -> int:
+    return max(_table_of(definition).library.get_vocab_size(), end_id + 1)
+
+
+def _width(vocabulary: int) -> str:
+    """Integers between the jobs are as narrow as the vocabulary allows."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def _counts(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id below ``size`` occurs in all documents."""
+    kind = _width(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for value in column(batch, "ids"):
-                total += np.bincount(np.frombuffer(value.as_buffer(), "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["token", "n"])
 
@@ -104,38 +151,43 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_column: str = "doc
     spark = docs.sparkSession
     tokens = cut(tokenized(docs, tokenizer_path, id_column, text_column, end_id), "tokens")
     with open(tokenizer_path, encoding="utf-8") as file:
-        size = max(_tokenizer(file.read()).get_vocab_size(), end_id + 1)
+        size = _vocabulary_size(file.read(), end_id)
+    kind = _width(size)
     frequency = rans.Table.of_counts(_counts(tokens, size)).frequency.astype(np.int64)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(frequency)], "token int, frequency int").coalesce(1).write.parquet(f"{path}/table")
     held = spark.sparkContext.broadcast(frequency.astype(np.uint32))
-    names = ["part", "block", "doc_ids", "lengths", "payload"]
+    names = ["part", "block", "first", "doc_ids", "lengths", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(held.value)
-        part, number = 0, 0
+        part, number, before = 0, 0, 0
         blocks: list[tuple[list, list, list]] = []
         ids: list = []
         docs_in: list = []
         filled = 0
 
         def coded() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, before
+            sizes = [sum(map(len, b[1])) for b in blocks]
+            firsts = (before + np.cumsum(sizes) - sizes).tolist()
             payloads = rans.encode([np.concatenate(b[1]) for b in blocks], table)
             arrays = [
                 pa.array([part] * len(blocks), pa.int32()),
                 pa.array(range(number, number + len(blocks)), pa.int32()),
+                pa.array(firsts, pa.int64()),
                 pa.array([b[0] for b in blocks], pa.list_(pa.int64())),
                 pa.array([[len(x) for x in b[1]] for b in blocks], pa.list_(pa.int32())),
                 pa.array(payloads, pa.binary()),
             ]
             number += len(blocks)
+            before += sum(sizes)
             blocks.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             for doc_id, value, part in zip(column(batch, "doc_id").to_pylist(), column(batch, "ids"), column(batch, "part").to_pylist(), strict=True):
                 docs_in.append(doc_id)
-                ids.append(np.frombuffer(value.as_py(), "<u4"))
+                ids.append(np.frombuffer(value.as_py(), kind))
                 filled += len(ids[-1])
                 if filled >= BLOCK:
                     blocks.append((docs_in, ids))
@@ -148,7 +200,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_column: str = "doc
             yield coded()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, "part int, block int, doc_ids array<long>, lengths array<int>, payload binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, "part int, block int, first long, doc_ids array<long>, lengths array<int>, payload binary").write.parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
     sums = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -158,14 +210,11 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_column: str = "doc
 
 def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of each document, or ``ids_crc32`` in place of ids, from the files."""
-    rows = spark.read.parquet(f"{path}/table").orderBy("token").collect()  # the vocabulary
-    held = spark.sparkContext.broadcast(np.array([r["frequency"] for r in rows], np.uint32))
+    table = spark.read.parquet(f"{path}/table").orderBy("token").collect()  # the vocabulary
+    held = spark.sparkContext.broadcast(np.array([r["frequency"] for r in table], np.uint32))
     blocks, parts = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/parts")
-    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
-    # ids before a block: those of earlier parts, and of earlier blocks of its part (one narrow row a block)
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    narrow = blocks.select("part", "block", size.alias("n")).withColumn("inside", F.coalesce(inside, F.lit(0).cast("long")))
-    starts = narrow.join(parts, "part").select("part", "block", (F.col("start") + F.col("inside")).alias("start"))
+    # one row for each part, which is a partition of the writer: at most as many as its tasks
+    rows = blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("first")).drop("first")
     names = ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +236,4 @@ def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     last = "ids_crc32 long" if digests else "ids array<int>"
-    return blocks.join(starts, ["part", "block"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
