@@ -541,4 +541,15 @@ def query_oracles() -> dict[str, str]:
             "ON p.annotation_id = a.annotation_id WHERE effect_detail = 'Brand#12') "
             "GROUP BY gff_feature, ref_aa, position_aa, alt_aa"
         )
+
+    # --- the same rows by another route
+    for name, same in (
+        ("sample_counts_column", "count_samples_by_column"),
+        ("sample_counts_release_date", "count_samples_by_release_date"),
+        ("sample_counts_collection_date", "count_samples_by_collection_date"),
+        ("sample_counts_lineage", "sample_counts_by_lineage"),
+        ("sample_counts_lineage_release_date", "count_lineages_by_simple_date"),
+        ("metric_load_mutations_by_date_cached", "metric_load_mutations_by_date"),
+    ):
+        o[name] = o[same]
     return o

@@ -11,6 +11,7 @@ from virosieve.functions.dates import MONTH, WEEK, every
 from virosieve.operators import (
     annotations, counts, lineages, mutations, phenotype, samples, variants, wastewater,
 )
+from virosieve.plans.durable import fresh_path
 from virosieve.workload import binding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,15 @@ def on_tables(operator: Callable[..., DataFrame], *args, **params) -> Query:
     return run
 
 
+def _load_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score load from a cache that was written before, as after an ingest."""
+    tables = binding.tables(spark, sf_dir)
+    path = fresh_path(spark, "metric-sum-cache")
+    phenotype.write_metric_sum_cache(tables, path)
+    cached = tables.replace(metric_sum_cache=spark.read.parquet(path))
+    return portable(phenotype.metric_load_mutations_by_date(cached, "price", MONTH))
+
+
 SAMPLE_WHERE = "host = 'BUILDING' AND (country_name = 'ASIA' OR platform = '1-URGENT')"
 LINEAGE_WHERE = "host = 'BUILDING' AND (lineage_name = 'N3' OR abundance > 0.4)"
 CATALOG_WHERE_NT = "region = 'Brand-12' AND (position_nt > 25 OR ref_nt = 'A')"
@@ -66,6 +76,12 @@ def query_operators() -> dict[str, Query]:
     q["samples_by_variant_nt"] = t(samples.samples_by_variant, CATALOG_WHERE_NT, "nt", 0.2, 0.55)
     q["samples_by_variant_aa"] = t(samples.samples_by_variant, CATALOG_WHERE_AA, "aa", 0.9, None)
     q["sample_counts"] = t(counts.sample_counts, "lineage,collection_date", MONTH, SAMPLE_WHERE)
+    # the further routes of the dispatcher
+    q["sample_counts_column"] = t(counts.sample_counts, "admin1_name", MONTH, "platform <> '5-LOW'")
+    q["sample_counts_release_date"] = t(counts.sample_counts, "release_date", MONTH, "country_name = 'EUROPE'")
+    q["sample_counts_collection_date"] = t(counts.sample_counts, "collection_date", MONTH, SAMPLE_WHERE)
+    q["sample_counts_lineage"] = t(counts.sample_counts, "lineage", MONTH, SAMPLE_WHERE)
+    q["sample_counts_lineage_release_date"] = t(counts.sample_counts, "lineage,release_date", MONTH, "host = 'BUILDING'")
     q["count_samples_by_column"] = t(counts.count_samples_by_column, "admin1_name", "platform <> '5-LOW'")
     q["count_samples_by_column_host"] = t(counts.count_samples_by_column, "host")
     for unit, date_bin in (("", MONTH), ("_week", WEEK), ("_days", DAYS)):
@@ -194,6 +210,7 @@ def query_operators() -> dict[str, Query]:
         q[f"annotation_proportion_variants_by_date{unit}"] = t(
             annotations.annotation_proportion_variants_by_date, "Brand#12", date_bin, where
         )
+    q["metric_load_mutations_by_date_cached"] = _load_from_cache
     q["metric_quantile_mutations"] = t(phenotype.metric_quantile_mutations, "signed_size", 0.9)
     q["metric_quantile_variants"] = t(phenotype.metric_quantile_variants, "price", 0.25)
     q["metric_sum_cache"] = t(phenotype.metric_sum_cache)
