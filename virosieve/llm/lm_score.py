@@ -43,7 +43,7 @@ from virosieve.llm.text import column, id_remainder, small_batches
 from virosieve.plans.durable import cut
 
 ORDER = 4
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 BROADCAST_ROWS = 2_000_000
 BURN_IN, SAMPLES, MOVES = 2, 4, 3
 #: Symbols that are no characters: before a word, after a word, and the end of a text.
@@ -90,9 +90,17 @@ def key_of(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 CONTEXTS = [f"h{n}" for n in range(ORDER, 0, -1)]
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    return pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True), "<i4")
+
+
 def _chunks(docs: DataFrame, id_column: str, text_column: str, held: Column) -> DataFrame:
     rows = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     names = ["chunk", "ids", "held", "lengths", "codes", "words", "train"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +116,13 @@ def _chunks(docs: DataFrame, id_column: str, text_column: str, held: Column) ->
             codes = coded.indices.to_numpy().astype(np.int32)
             learn = ~np.repeat(np.array(held_out, bool), lengths)
             train = np.bincount(codes[learn], minlength=len(coded.dictionary))
-            values = [part << 32 | number, ids, held_out, lengths, codes, None, train]
+            values = [part << 32 | number, ids, held_out, lengths, _packed(codes), None, train]
             arrays = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
             flat = coded.dictionary.cast(pa.string())
             arrays[5] = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             listed = pc.split_pattern_regex(pc.ascii_lower(column(batch, "text").cast(pa.large_string())), "[ \t-\r]+")
             flat, owner = listed.flatten(), pc.list_parent_indices(listed).to_numpy()
             solid = pc.greater(pc.binary_length(flat), 0)
@@ -131,7 +139,7 @@ def _chunks(docs: DataFrame, id_column: str, text_column: str, held: Column) ->
         if ids:
             yield flush()
 
-    schema = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, codes array<int>, words array<string>, train array<long>"
+    schema = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, words array<string>, train array<long>"
     return rows.mapInArrow(run, schema)
 
 
@@ -151,7 +159,7 @@ def _counts(words: DataFrame) -> DataFrame:
         for batch in batches:  # a batch's memory is used again for the next: take copies
             texts += column(batch, "word").to_pylist()
             times += column(batch, "c").to_pylist()
-            if len(texts) >= 200_000:
+            if len(texts) >= 50_000:
                 yield flush()
                 texts, times = [], []
         if texts:
@@ -273,7 +281,7 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     mass = F.col("c") - DISCOUNT * F.col("tables") + served * F.pow(F.lit(10.0), "spelling")
     logp = F.when(F.col("c") > 0, F.log10(mass)).otherwise(F.lit(float(np.log10(served))) + F.col("spelling")) - float(np.log10(STRENGTH + total))
     known = seated.select("w", "c", logp.alias("logp"))
-    looked = entries.select("chunk", "at", F.xxhash64("e.words").alias("w")).join(known, "w").select(F.col("chunk").alias("owner"), "at", "c", "logp")
+    looked = entries.select("chunk", "at", F.xxhash64("e.words").alias("w")).join(known, "w").select(F.col("chunk").alias("owner"), "at", "c", F.col("logp").cast("float").alias("logp"))
     floor = np.log10(total + 0.5 * (distinct + 1))
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -284,9 +292,9 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
         c[at], logp[at] = entries["c"].to_numpy(), entries["logp"].to_numpy()
         found = [[] for _ in names]
         for i in range(len(texts)):
-            row = {n: texts[n][i].values for n in ("ids", "held", "lengths", "codes")}
+            row = {n: texts[n][i].values for n in ("ids", "held", "lengths")}
             lengths = row["lengths"].to_numpy()
-            codes = row["codes"].to_numpy()
+            codes = _unpacked(texts["codes"][i].as_py(), int(lengths.sum()))
             owner = np.repeat(np.arange(len(lengths)), lengths)
             sums = [np.bincount(owner, weights=v[codes], minlength=len(lengths)) for v in (c > 0, np.log10(c + 0.5), logp)]
             found[0] += row["ids"].to_pylist()
