@@ -40,7 +40,7 @@ def source_queries() -> dict[str, Query]:
     @source("src_samples_delimited")
     def _(spark, sf_dir):
         path = write_file(raw_frame(spark, sf_dir, "file_runs"), samples.RUN_COLUMNS, ",")
-        return samples.read_sample_runs(spark, path, ",")
+        return samples.read_sample_runs(spark, path, ",").drop("input_order")
 
     @source("src_samples_delimited_tsv")
     def _(spark, sf_dir):
