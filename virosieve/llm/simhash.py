@@ -149,7 +149,7 @@ def sketch(words: list[bytes]) -> list[int]:
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """``(id, key, f0, f1, f2)``; the key tells word sequences apart."""
-    names = ["id", "key", *(f"f{i}" for i in range(len(_SEEDS)))]
+    names = ["id", "key", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,61 +162,64 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, key binary, " + ", ".join(f"f{i} long" for i in range(len(_SEEDS))))
 
 
+_SKETCH = [f"f{i}" for i in range(len(_SEEDS))]
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(unit, hashes)``: the distinct shingles' 64-bit hashes."""
+    """``(unit, f0, f1, f2, hashes)`` of ``docs(unit, f0, f1, f2, text)``: the distinct shingles' 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.array([xxhash.xxh64_intdigest(s) for s in set(shingles(words_of(t.as_py()), size))], np.uint64).view(np.int64) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "unit"), pa.array(sets, pa.list_(pa.int64()))], names=["unit", "hashes"])
+            kept = [column(batch, c) for c in ("unit", *_SKETCH)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.list_(pa.int64()))], names=["unit", *_SKETCH, "hashes"])
 
-    return docs.mapInArrow(run, "unit long, hashes array<long>")
+    return docs.mapInArrow(run, f"unit long, {', '.join(f'{c} long' for c in _SKETCH)}, hashes array<long>")
 
 
 def _candidates(units: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of keys that meet in a ball of some table and are not far apart over all bits."""
+    """``(u, vs)``: the units that each unit is compared with, as it meets them in a ball of some table.
+
+    They are the two at each point that meet others most often, so a list has at most two for each of the
+    unit's variants, and of two units only the one that meets others less often lists the other.
+    """
     low = F.lit((1 << 32) - 1)
     ball = [0, *(1 << i for i in range(32))]
-    sketch_columns = [f"f{i}" for i in range(len(_SEEDS))]
     emitted = None
     for number in range(2 * len(_SEEDS)):
         value = F.col(f"f{number // 2}")
         value = (F.shiftrightunsigned(value, 32) if number % 2 else value).bitwiseAND(low)
         one = units.select("unit", F.lit(number).alias("table"), _ball(ball, value).alias("at"))
         emitted = one if emitted is None else emitted.union(one)
-    met = Window.partitionBy("table", "at")
-    shared = cut(emitted.withColumn("n", F.count(F.lit(1)).over(met)).filter("n > 1"), "variants")
-    pairs = shared.filter("n = 2").groupBy("table", "at").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).select("u", "v")
+    shared = emitted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("table", "at"))).filter("n > 1")
+    shared = cut(shared.select("unit", "table", "at"), "variants")
     often = shared.groupBy("unit").agg(F.count(F.lit(1)).alias("often"))
-    crowd = shared.filter("n > 2").join(often, "unit")
     first = Window.partitionBy("table", "at").orderBy(F.desc("often"), "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crowd = crowd.select("unit", F.first("unit").over(first).alias("a"), F.nth_value("unit", 2).over(first).alias("b"))
-    starred = crowd.select(F.col("unit").alias("u"), F.explode(F.array("a", "b")).alias("v")).filter("u <> v")
-    pairs = pairs.union(starred).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sides = [units.select(F.col("unit").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sketch_columns]) for name in "uv"]
-    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in sketch_columns), F.lit(0))
-    return pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= _FAR).select("u", "v")
+    ranked = shared.join(often, "unit").select("unit", F.first("unit").over(first).alias("a"), F.nth_value("unit", 2).over(first).alias("b"))
+    listed = ranked.filter("unit <> a").groupBy("unit").agg(F.collect_set("a").alias("a"), F.collect_set(F.when(F.col("unit") != F.col("b"), F.col("b"))).alias("b"))
+    return listed.select(F.col("unit").alias("u"), F.array_union("a", "b").alias("vs"))
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, component_id)`` per row: component_id is the least id of the texts linked by their shingles' similarity."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = cut(_sketches(texts), "sketches")
-    sketch_columns = [f"f{i}" for i in range(len(_SEEDS))]
     # one unit for each word sequence; its number is a hash of the key, and its text that of the least id
-    units = rows.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in sketch_columns])
+    units = rows.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in _SKETCH])
     units = cut(units.withColumn("unit", F.xxhash64("key")), "units")
-    pairs = cut(_candidates(units), "pairs")
-    wanted = pairs.select(F.col("u").alias("unit")).union(pairs.select(F.col("v").alias("unit"))).distinct()
-    chosen = units.join(wanted, "unit", "left_semi").filter("first is not null").select(F.col("first").alias("id"), "unit")
+    compared = cut(_candidates(units), "candidates")
+    wanted = compared.select(F.explode(F.array_append("vs", F.col("u"))).alias("unit")).distinct()
+    chosen = units.join(wanted, "unit", "left_semi").filter("first is not null").select(F.col("first").alias("id"), "unit", *_SKETCH)
     few = chosen.count() <= BROADCAST_ROWS
-    own = texts.join(F.broadcast(chosen) if few else chosen, "id").select("unit", "text")
-    sets = _shingle_sets(own, size)
-    sets = cut(sets.groupBy("unit").agg(F.max_by("hashes", F.size("hashes")).alias("hashes")), "shingles")
-    left, right = (sets.select(F.col("unit").alias(name), F.col("hashes").alias(f"{name}_set")) for name in "uv")
-    both = pairs.join(left, "u").join(right, "v")
+    own = texts.join(F.broadcast(chosen) if few else chosen, "id").select("unit", *_SKETCH, "text")
+    # rows that repeat an id with another text give several sets: the unit's own is the one of its sketch and most shingles
+    sets = cut(_shingle_sets(own, size).groupBy("unit", *_SKETCH).agg(F.max_by("hashes", F.size("hashes")).alias("hashes")), "shingles")
+    # a unit's set moves once for all that it is compared with
+    sides = [sets.select(F.col("unit").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in _SKETCH], F.col("hashes").alias(f"{n}_set")) for n in "uv"]
+    both = compared.join(sides[0], "u").withColumn("v", F.explode("vs")).drop("vs").join(sides[1], "v")
+    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in _SKETCH), F.lit(0))
     common = F.size(F.array_intersect("u_set", "v_set"))
-    linked = both.filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+    linked = both.filter(apart <= _FAR).filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
     roots = component_roots(linked)
     named = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
