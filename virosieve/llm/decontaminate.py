@@ -276,25 +276,25 @@ def matched(
     if question is None:
         question, answer = split_answer(F.col("text").cast("string"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("text", F.col("row").getField(text_column).cast("string"))
     rows = rows.withColumn("matches", F.array().cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"))
     schema = rows.schema
     for index in build_indexes(items, item_id, question, F.lit("") if answer is None else answer):
         held = docs.sparkSession.sparkContext.broadcast(index)  # one shard: at most SHARD items
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text", 4 << 20):
-                found = find(held.value, column(batch, "text"), threshold, overlap)
+            for batch in small_batches(batches, "row", 1 << 20, text_column):
+                texts = column(batch, "row").field(text_column).cast(pa.string())
+                found = find(held.value, texts, threshold, overlap)
                 listed = column(batch, "matches")
                 if any(found):
                     before = listed.to_pylist()
                     names = ("item_id", "score", "question_overlap", "answer_overlap")
                     after = [b + [dict(zip(names, (i, *m), strict=True)) for i, m in sorted(f.items())] for b, f in zip(before, found, strict=True)]
                     listed = pa.array(after, listed.type)
-                yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "text"), listed], names=["row", "text", "matches"])
+                yield pa.RecordBatch.from_arrays([column(batch, "row"), listed], names=["row", "matches"])
 
         rows = rows.mapInArrow(run, schema)
-    return rows.drop("text")
+    return rows
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

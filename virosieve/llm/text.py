@@ -38,12 +38,13 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Split batches so that each holds about ``most`` bytes of column ``name``, or one row."""
+def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 << 20, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Split batches so that each holds about ``most`` bytes of column ``name`` (or a field of it), or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.binary_length(column(batch, name)).fill_null(0).to_numpy(zero_copy_only=False)
+        texts = column(batch, name) if field is None else column(batch, name).field(field).cast(pa.string())
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:], strict=False):
