@@ -17,12 +17,13 @@ is linear in the number of fingerprints.
 Copies share a fingerprint, so a group of copies of any size is one fingerprint.
 
 ``near_duplicates`` links by fingerprints alone. ``similar_groups`` finds texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more. At that similarity about 10 of 64 bits over shingles differ, out of
-reach of a small ball, so candidates come from six 32-bit fingerprints over the texts' distinct longer words,
-of which about 2 bits differ; a pair within 2 bits in any of the six meets in a radius-1 ball there. Candidates
-whose 192 bits are far apart are left; the others' shingle sets are compared exactly. Where more than two
-texts meet at a point, each is compared with the two that meet others most often instead of with all: the
-text that a family of near copies comes from is closest to all of them.
+have a Jaccard similarity of 0.8 or more, all of them, by a prefix-filter join. Shingles have one order for all
+texts: those that a sample shows often come last, the rest by hash. Two sets of similarity ``t`` share one of the
+first ``n - ceil(t * n) + 1`` shingles of either, whatever the order; the sample only keeps points from crowding.
+Pairs that meet are left out if their sizes, or what follows the shared shingle, rule the similarity out; the
+others' sets are compared exactly. At first each text is compared with the least at each of its points, which is
+linear. Then all pairs at a point that these links did not already put into one group are compared as well, so
+that no pair is left out but those that are known to be in one group.
 
 Nulls: a null text counts as empty; a text without words has fingerprint zero, which is linked like any
 other. Rows with a null id are fingerprinted and grouped; a group's id is the least non-null one. Repeated
@@ -31,12 +32,13 @@ rows stay repeated. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from virosieve.llm.components import component_roots
@@ -125,105 +127,136 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-#: Tables of 32 bits for ``similar_groups``: two of each seed's hash.
-_SEEDS = (1, 2, 3)
-_LONG_WORD = 6
-_FAR = 40
+#: Texts that show which shingles are frequent (about), how often one is then met, and how many are put last at most.
+_SAMPLE, _OFTEN, _FREQUENT = 20_000, 3, 100_000
 
 
-def sketch(words: list[bytes]) -> list[int]:
-    """Signed 64-bit fingerprints, one per seed, of the distinct words of six or more bytes (all, if under eight are)."""
-    kept = {w for w in words if len(w) >= _LONG_WORD}
-    kept = sorted(kept if len(kept) >= 8 else set(words))
-    if not kept:
-        return [0] * len(_SEEDS)
-    digest, found = xxhash.xxh64_intdigest, []
-    for seed in _SEEDS:
-        ones = np.zeros(64, np.int64)
-        for start in range(0, len(kept), _PIECE):
-            hashes = np.array([digest(w, seed) for w in kept[start : start + _PIECE]], dtype=">u8")
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        found.append(int(np.packbits(2 * ones > len(kept)).view(">i8")[0]))
-    return found
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``(id, key, f0, f1, f2)``; the key tells word sequences apart."""
-    names = ["id", "key", *_SKETCH]
+def _keys(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` with a ``key`` that tells word sequences apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [words_of(t.as_py()) for t in column(batch, "text")]
-            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
-            sketches = [sketch(w) for w in split]
-            arrays = [pa.array([s[i] for s in sketches], pa.int64()) for i in range(len(_SEEDS))]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(keys, pa.binary()), *arrays], names=names)
+            keys = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("id", "text")), pa.array(keys, pa.binary())], names=["id", "text", "key"])
 
-    return docs.mapInArrow(run, "id long, key binary, " + ", ".join(f"f{i} long" for i in range(len(_SEEDS))))
+    return docs.select("id", "text").mapInArrow(run, "id long, text string, key binary")
 
 
-_SKETCH = [f"f{i}" for i in range(len(_SEEDS))]
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in set(shingles(words, size))], np.uint64).view(np.int64))
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(unit, f0, f1, f2, hashes)`` of ``docs(unit, f0, f1, f2, text)``: the distinct shingles' 64-bit hashes."""
+def _frequent(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, ascending, of the shingles that a sample of the texts has most often, and the rank of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.array([xxhash.xxh64_intdigest(s) for s in set(shingles(words_of(t.as_py()), size))], np.uint64).view(np.int64) for t in column(batch, "text")]
-            kept = [column(batch, c) for c in ("unit", *_SKETCH)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.list_(pa.int64()))], names=["unit", *_SKETCH, "hashes"])
+            found = [_hashes(words_of(t.as_py()), size) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["at"])
 
-    return docs.mapInArrow(run, f"unit long, {', '.join(f'{c} long' for c in _SKETCH)}, hashes array<long>")
+    some = texts.select("text") if rows <= _SAMPLE else texts.select("text").sample(_SAMPLE / rows, seed=1)
+    met = some.mapInArrow(run, "at long").groupBy("at").count().filter(F.col("count") >= _OFTEN)
+    ranked = met.orderBy(F.desc("count"), "at").limit(_FREQUENT).collect()
+    hashes = np.array([r["at"] for r in reversed(ranked)], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], order + 1
 
 
-def _candidates(units: DataFrame) -> DataFrame:
-    """``(u, vs)``: the units that each unit is compared with, as it meets them in a ball of some table.
+def _points(texts: DataFrame, size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(key, at, n, pos)``: the first shingles of each text in the common order; ``n`` is the size of its set."""
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["key", "at", "n", "pos"]
 
-    They are the two at each point that meet others most often, so a list has at most two for each of the
-    unit's variants, and of two units only the one that meets others less often lists the other.
-    """
-    low = F.lit((1 << 32) - 1)
-    ball = [0, *(1 << i for i in range(32))]
-    emitted = None
-    for number in range(2 * len(_SEEDS)):
-        value = F.col(f"f{number // 2}")
-        value = (F.shiftrightunsigned(value, 32) if number % 2 else value).bitwiseAND(low)
-        one = units.select("unit", F.lit(number).alias("table"), _ball(ball, value).alias("at"))
-        emitted = one if emitted is None else emitted.union(one)
-    shared = emitted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("table", "at"))).filter("n > 1")
-    shared = cut(shared.select("unit", "table", "at"), "variants")
-    often = shared.groupBy("unit").agg(F.count(F.lit(1)).alias("often"))
-    first = Window.partitionBy("table", "at").orderBy(F.desc("often"), "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = shared.join(often, "unit").select("unit", F.first("unit").over(first).alias("a"), F.nth_value("unit", 2).over(first).alias("b"))
-    listed = ranked.filter("unit <> a").groupBy("unit").agg(F.collect_set("a").alias("a"), F.collect_set(F.when(F.col("unit") != F.col("b"), F.col("b"))).alias("b"))
-    return listed.select(F.col("unit").alias("u"), F.array_union("a", "b").alias("vs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, ranks = frequent
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                keys, ats, sizes, places = [], [], [], []
+                for text in column(batch, "text").slice(start, 500):
+                    words = words_of(text.as_py())
+                    hashes = _hashes(words, size)
+                    if not len(hashes):
+                        continue
+                    rank = np.zeros(len(hashes), np.int64)
+                    if len(often):
+                        found = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+                        rank = np.where(often[found] == hashes, ranks[found], 0)
+                    # a little less than t * n, so that rounding never shortens the prefix
+                    first = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+                    ats.append(hashes[np.lexsort((hashes, rank))[:first]])
+                    keys += [xxhash.xxh3_128_digest(b" ".join(words))] * len(ats[-1])
+                    sizes.append(np.full(len(ats[-1]), len(hashes)))
+                    places.append(np.arange(len(ats[-1])))
+                if ats:
+                    values = [keys, *(np.concatenate(x) for x in (ats, sizes, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    return texts.select("text").mapInArrow(run, "key binary, at long, n int, pos int")
+
+
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets can be similar enough if the point they meet at is the first one they share."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity * (n + m - most) - 1e-6)
+
+
+def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(unit, hashes)`` of each of the units ``wanted(unit)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_hashes(words_of(t.as_py()), size) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "unit"), pa.array(sets, pa.list_(pa.int64()))], names=["unit", "hashes"])
+
+    few = wanted.count() <= BROADCAST_ROWS
+    own = _keys(texts).select(F.xxhash64("key").alias("unit"), "text").join(F.broadcast(wanted) if few else wanted, "unit")
+    return own.mapInArrow(run, "unit long, hashes array<long>").groupBy("unit").agg(F.first("hashes").alias("hashes"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets are similar enough."""
+    sides = [sets.select(F.col("unit").alias(n), F.col("hashes").alias(f"{n}_set")) for n in "uv"]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return both.filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+
+
+def _similar(texts: DataFrame, rows: int, size: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of the units that are linked to others; exact, see the module's docstring."""
+    points = _points(texts, size, similarity, _frequent(texts, rows, size)).select(F.struct(F.xxhash64("key").alias("unit"), "n", "pos").alias("m"), "at")
+    met = Window.partitionBy("at")
+    shared = points.withColumn("hub", F.min("m").over(met)).withColumn("last", F.max("m.unit").over(met))
+    shared = cut(shared.filter("last <> hub.unit").drop("last"), "points")
+    sets = cut(_shingle_sets(texts, shared.select("m.unit").distinct(), size), "shingles")
+    hubs = shared.filter("m.unit <> hub.unit").filter(_possible("m", "hub", similarity))
+    hubs = cut(hubs.select(F.col("hub.unit").alias("u"), F.col("m.unit").alias("v")).distinct(), "hubs")
+    links = cut(_alike(hubs, sets, similarity), "links")
+    roots = component_roots(links)
+
+    rooted = shared.select("at", "m", F.col("m.unit").alias("node")).join(roots, "node", "left").select("at", "m", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.withColumn("first", F.min("root").over(met)).withColumn("last", F.max("root").over(met))
+    rooted = cut(rooted.filter("first <> last").select("at", "m", "root").distinct(), "apart")
+    a, b = (rooted.select("at", F.col("m").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
+    pairs = a.join(b, "at").filter("a.unit < b.unit and a_root <> b_root").filter(_possible("a", "b", similarity))
+    pairs = pairs.select(F.col("a.unit").alias("u"), F.col("b.unit").alias("v")).distinct().join(hubs, ["u", "v"], "left_anti")
+    more = _alike(cut(pairs, "pairs"), sets, similarity)
+    return component_roots(links.union(more))
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
+    """``(id, key, root)`` per row: rows of similar texts share a root."""
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = cut(_keys(texts).select("id", "key", F.xxhash64("key").alias("unit")), "keys")
+    roots = _similar(texts, rows.count(), size, similarity)
+    return rows.join(roots, rows["unit"] == roots["node"], "left").select("id", "key", F.coalesce("root", "unit").alias("root"))
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, component_id)`` per row: component_id is the least id of the texts linked by their shingles' similarity."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = cut(_sketches(texts), "sketches")
-    # one unit for each word sequence; its number is a hash of the key, and its text that of the least id
-    units = rows.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in _SKETCH])
-    units = cut(units.withColumn("unit", F.xxhash64("key")), "units")
-    compared = cut(_candidates(units), "candidates")
-    wanted = compared.select(F.explode(F.array_append("vs", F.col("u"))).alias("unit")).distinct()
-    chosen = units.join(wanted, "unit", "left_semi").filter("first is not null").select(F.col("first").alias("id"), "unit", *_SKETCH)
-    few = chosen.count() <= BROADCAST_ROWS
-    own = texts.join(F.broadcast(chosen) if few else chosen, "id").select("unit", *_SKETCH, "text")
-    # rows that repeat an id with another text give several sets: the unit's own is the one of its sketch and most shingles
-    sets = cut(_shingle_sets(own, size).groupBy("unit", *_SKETCH).agg(F.max_by("hashes", F.size("hashes")).alias("hashes")), "shingles")
-    # a unit's set moves once for all that it is compared with
-    sides = [sets.select(F.col("unit").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in _SKETCH], F.col("hashes").alias(f"{n}_set")) for n in "uv"]
-    both = compared.join(sides[0], "u").withColumn("v", F.explode("vs")).drop("vs").join(sides[1], "v")
-    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in _SKETCH), F.lit(0))
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    linked = both.filter(apart <= _FAR).filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
-    roots = component_roots(linked)
-    named = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("id", "component_id")
+    rows = cut(_grouped(docs, id_column, text_column, size, similarity), "grouped")
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
 def distinct_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
