@@ -23,3 +23,22 @@ def test_crowded_points(spark):
     copies = [[*words[:i], "replaced", *words[i + 1 :]] for i, words in enumerate(lists[:60], 20)]
     texts = [" ".join(words) for words in (*lists, *copies)]
     assert _pairs_found(spark, texts, [(i, 400 + i) for i in range(60)]) == 60
+
+
+def test_contiguous_edits(spark):
+    # ends cut off, ends appended and blocks replaced change as many words as shingles
+    rng = np.random.default_rng(3)
+    texts, pairs = [], []
+    for size in (60, 90, 150, 300, 600):
+        for _ in range(6):
+            words = [f"lengthy{n}" for n in rng.integers(0, 50_000, size)]
+            block, at, other = round(0.1 * (size - 4)) - 4, size // 3, [f"another{n}" for n in rng.integers(0, 50_000, size)]
+            kinds = [words[: -round(0.18 * size)], [*words, *other[: round(0.2 * size)]], [*words[:at], *other[:block], *words[at + block :]]]
+            pairs += [(len(texts), len(texts) + 1 + k) for k in range(len(kinds))]
+            texts += [" ".join(w) for w in (words, *kinds)]
+    # each copy alone with its text, so that no other copy links them
+    found = 0
+    for k in range(3):
+        own = [pair for pair in pairs if (pair[1] - pair[0]) == k + 1]
+        found += _pairs_found(spark, [texts[i] for pair in own for i in pair], [(2 * i, 2 * i + 1) for i in range(len(own))])
+    assert found == len(pairs)
