@@ -42,3 +42,15 @@ def test_contiguous_edits(spark):
         own = [pair for pair in pairs if (pair[1] - pair[0]) == k + 1]
         found += _pairs_found(spark, [texts[i] for pair in own for i in pair], [(2 * i, 2 * i + 1) for i in range(len(own))])
     assert found == len(pairs)
+
+
+def test_few_long_words(spark):
+    # the copy lacks the last of eight long words
+    rng = np.random.default_rng(4)
+    texts = []
+    for number in range(40):
+        words = [f"w{n}" for n in rng.integers(100, 1000, 60)]
+        for at in range(7):
+            words[5 + 7 * at] = f"lengthy{8 * number + at}"
+        texts += [" ".join([*words, f"lengthy{8 * number + 7}"]), " ".join(words)]
+    assert _pairs_found(spark, texts, [(2 * i, 2 * i + 1) for i in range(40)]) == 40
