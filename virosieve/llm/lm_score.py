@@ -1,6 +1,7 @@
-"""Language-model scores by a hierarchical Pitman-Yor model: a restaurant of words over restaurants of letters.
+"""Language-model scores by a hierarchical Pitman-Yor model: words after words, over words, over letters.
 
-Words are drawn from one restaurant whose base distribution is a spelling. A spelling is a word's characters
+A word's context is the word before it, or the text's begin; the text's end is drawn like a word. All these
+restaurants share one parent of words, whose customers are their tables and whose base distribution is a spelling. A spelling is a word's characters
 and an end mark; a character's context is the ``ORDER`` characters before it in the word. Restaurants of
 contexts share parents: a context's parent leaves out its first character, up to the root. A text's probability
 is the product of its words' and the text end's predictive probabilities, averaged over Gibbs samples.
@@ -14,9 +15,13 @@ As Spark jobs:
 3. Contexts that end in the same character are a subtree below the root and are sampled together, one task a
    subtree, whose rows are distinct (context, character) pairs and not occurrences. Two rounds are run: the
    root is re-seated in between from all subtrees' tables. The root's dishes are characters, at most Unicode.
-4. Predictive probabilities are joined to the distinct words' characters and summed to spellings. Given these,
+4. Each chunk's distinct pairs of words that follow each other are counted over chunks. A pair met once has
+   one table; the others are seated in any task, knowing their context's number of tables, so a frequent
+   context is spread. Tables are summed to contexts and, as customers, to words.
+5. Predictive probabilities are joined to the distinct words' characters and summed to spellings. Given these,
    words are re-seated in the tasks that hold them, all knowing the restaurant's number of tables.
-5. Words are joined to the chunks' entries; each chunk then sums up its texts.
+6. Words and pairs are joined to the chunks' entries (pairs met only once, there, are not sent); each chunk then
+   sums up its texts.
 
 The probability table is broadcast if it has at most ``BROADCAST_ROWS`` rows, else joined by a shuffle.
 
@@ -35,10 +40,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Subtree
+from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Spread, Subtree
 from virosieve.llm.text import column, id_remainder, small_batches
 from virosieve.plans.durable import cut
 
@@ -48,6 +53,8 @@ BROADCAST_ROWS = 2_000_000
 BURN_IN, SAMPLES, MOVES = 2, 4, 3
 #: Symbols that are no characters: before a word, after a word, and the end of a text.
 START, STOP, END = 0, 1, 2
+#: What stands for a text's begin and end among the words' hashes.
+EDGE = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -260,6 +267,61 @@ def _seated(words: DataFrame, served: int, seed: int) -> DataFrame:
     return words.select("w", "c", "spelling").mapInArrow(run, "w long, c long, spelling double, tables double")
 
 
+def _steps(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(before, word)`` of each token, text ends included; ``n_words`` is a text's begin and its end."""
+    word = np.full(len(codes) + len(lengths), n_words, np.int64)
+    inside = np.ones(len(word), bool)
+    inside[np.cumsum(lengths.astype(np.int64) + 1) - 1] = False
+    word[inside] = codes
+    return np.concatenate([[n_words], word[:-1]]).astype(np.int64)[: len(word)], word
+
+
+def _pairs(chunks: DataFrame) -> DataFrame:
+    """``(chunk, at, a, b, n)``: each chunk's distinct pairs of hashed words in order, and their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: column(batch, n)[i].values for n in ("held", "lengths", "hashes")}
+                lengths, hashes = row["lengths"].to_numpy(), np.append(row["hashes"].to_numpy(), EDGE)
+                size = len(hashes) - 1
+                before, word = _steps(_unpacked(column(batch, "codes")[i].as_py(), int(lengths.sum())), lengths, size)
+                ids, inverse = np.unique(before * (size + 1) + word, return_inverse=True)
+                learn = ~np.repeat(row["held"].to_numpy(zero_copy_only=False).astype(bool), lengths + 1)
+                n = np.bincount(inverse[learn], minlength=len(ids))
+                chunk = np.full(len(ids), column(batch, "chunk")[i].as_py())
+                values = [chunk, np.arange(len(ids)), hashes[ids // (size + 1)], hashes[ids % (size + 1)], n]
+                for start in range(0, len(ids), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[start : start + 100_000], pa.int64()) for v in values], names=["chunk", "at", "a", "b", "n"])
+
+    found = chunks.select("chunk", "held", "lengths", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return found.mapInArrow(run, "chunk long, at long, a long, b long, n long")
+
+
+def _pair_seats(met: DataFrame, words: DataFrame, n_texts: int, total: int, seed: int) -> DataFrame:
+    """``(a, b, c, tables)`` of the pairs met more than once: their mean number of tables over Gibbs samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            if batch.num_rows:
+                c, base = column(batch, "c").to_numpy(), column(batch, "base").to_numpy()
+                part = Spread(column(batch, "dishes").to_numpy(), np.random.default_rng([seed, number]))
+                part.seat(c, base)
+                tables = np.zeros(len(c))
+                for step in range(BURN_IN + SAMPLES):
+                    for _ in range(MOVES):
+                        part.move(base)
+                    tables += part.tables if step >= BURN_IN else 0
+                yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in "abc"), pa.array(tables / SAMPLES)], names=["a", "b", "c", "tables"])
+
+    own = met.filter("first")
+    dishes = own.groupBy("a").agg(F.count(F.lit(1)).alias("dishes"))
+    base = words.filter("c > 0").select(F.col("w").alias("b"), (F.col("c") / float(max(total, 1))).alias("base"))
+    base = base.union(met.sparkSession.createDataFrame([(EDGE, n_texts / max(total, 1))], "b long, base double"))
+    rows = own.filter("c > 1").join(base, "b").join(dishes, "a")
+    return rows.select("a", "b", "c", "dishes", "base").mapInArrow(run, "a long, b long, c long, tables double")
+
+
 def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column: str = "text", seed: int = 5) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
@@ -272,38 +334,72 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_texts = chunks.select(F.size(F.filter("held", lambda h: ~h)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     total, distinct = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
+
+    same = Window.partitionBy("a", "b")
+    met = _pairs(chunks).withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("chunk")) == 1)
+    met = cut(met.filter("c > 0"), "pairs")
+    pair_seats = cut(_pair_seats(met, words, n_texts, total, seed), "pair-seats")
+    once = met.filter("first and c = 1").select("a", "b", "c", F.lit(1.0).alias("tables"))
+    seats = once.union(pair_seats)
+    contexts = cut(seats.groupBy("a").agg(F.sum("tables").alias("tables"), F.sum("c").alias("customers")), "contexts")
+    customers = cut(seats.groupBy("b").agg(F.round(F.sum("tables")).cast("long").alias("k")), "customers")
+    edge = contexts.filter(F.col("a") == EDGE).first()
+    edge = (edge["tables"], edge["customers"]) if edge else (0.0, 0)
+    ends = customers.filter(F.col("b") == EDGE).first()
+    ends, all_customers = ends["k"] if ends else 0, customers.agg(F.sum("k")).first()[0] or 0
+
     table = probabilities(words.select("word", F.least("c", F.lit(1).cast("long")).alias("c")), min(n_texts, 1), seed)
     end_key = int(key_of(np.array(_end_contexts()[:1]), np.array([END]))[0])
     end_spelt = float(table.filter(F.col("key") == end_key).first()["p"])
-    seated = cut(_seated(words.select("w", "c").join(_word_scores(words, table), "w"), distinct, seed), "seats")
+    drawn = words.select("w").join(customers, F.col("w") == F.col("b"), "left").select("w", F.coalesce("k", F.lit(0)).cast("long").alias("c"))
+    seated = cut(_seated(drawn.join(_word_scores(words, table), "w"), distinct, seed), "seats")
     served = DISCOUNT * ((seated.agg(F.sum("tables")).first()[0] or 0) + (n_texts > 0)) + STRENGTH
-    end_p = float(np.log10((n_texts - DISCOUNT * (n_texts > 0) + served * end_spelt) / (STRENGTH + total)))
+    end_p = float(np.log10((ends - DISCOUNT * (n_texts > 0) + served * end_spelt) / (STRENGTH + all_customers)))
     mass = F.col("c") - DISCOUNT * F.col("tables") + served * F.pow(F.lit(10.0), "spelling")
-    logp = F.when(F.col("c") > 0, F.log10(mass)).otherwise(F.lit(float(np.log10(served))) + F.col("spelling")) - float(np.log10(STRENGTH + total))
-    known = seated.select("w", "c", logp.alias("logp"))
-    looked = entries.select("chunk", "at", F.xxhash64("e.words").alias("w")).join(known, "w").select(F.col("chunk").alias("owner"), "at", "c", F.col("logp").cast("float").alias("logp"))
+    logp = F.when(F.col("c") > 0, F.log10(mass)).otherwise(F.lit(float(np.log10(served))) + F.col("spelling")) - float(np.log10(STRENGTH + all_customers))
+    known = seated.select("w", logp.alias("logp")).join(words.select("w", "c"), "w").join(contexts.withColumnRenamed("a", "w"), "w", "left")
+    known = known.select("w", "c", "logp", F.coalesce("tables", F.lit(0.0)).alias("tables"), F.coalesce("customers", F.lit(0)).cast("long").alias("customers"))
+    looked = entries.select("chunk", "at", F.xxhash64("e.words").alias("w")).join(known, "w")
+    looked = looked.select(F.col("chunk").alias("owner"), F.col("at").cast("long").alias("at"), "c", F.col("logp").cast("float").alias("logp"), F.col("tables").cast("float").alias("tables"), "customers")
+    # a pair's place counts down from -1, and its mass stands for logp; a pair met once, in this chunk, is known there
+    sent = met.filter("c > 1 or n = 0").select("chunk", "at", "a", "b", "c").join(pair_seats.select("a", "b", "tables"), ["a", "b"], "left")
+    mass = F.col("c") - DISCOUNT * F.coalesce("tables", F.lit(1.0))
+    sent = sent.select(F.col("chunk").alias("owner"), (-1 - F.col("at")).alias("at"), F.lit(0).cast("long").alias("c"), mass.cast("float").alias("logp"), F.lit(0.0).cast("float").alias("tables"), F.lit(0).cast("long").alias("customers"))
+    looked = looked.union(sent)
     floor = np.log10(total + 0.5 * (distinct + 1))
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        size = len(entries)
-        at = entries["at"].to_numpy()
-        c, logp = np.zeros(size), np.zeros(size)
-        c[at], logp[at] = entries["c"].to_numpy(), entries["logp"].to_numpy()
+        place, value = entries["at"].to_numpy(), entries["logp"].to_numpy().astype(float)
+        of_word = place >= 0
+        at, size = place[of_word], int(of_word.sum())
+        c, logp, tables, customers = np.zeros(size), np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+        c[at], logp[at] = entries["c"].to_numpy()[of_word], value[of_word]
+        tables[at], customers[at] = entries["tables"].to_numpy()[of_word], entries["customers"].to_numpy()[of_word]
+        logp[size], tables[size], customers[size] = end_p, *edge
         found = [[] for _ in names]
         for i in range(len(texts)):
             row = {n: texts[n][i].values for n in ("ids", "held", "lengths")}
             lengths = row["lengths"].to_numpy()
             codes = _unpacked(texts["codes"][i].as_py(), int(lengths.sum()))
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            sums = [np.bincount(owner, weights=v[codes], minlength=len(lengths)) for v in (c > 0, np.log10(c + 0.5), logp)]
+            before, word = _steps(codes, lengths, size)
+            ids, inverse = np.unique(before * (size + 1) + word, return_inverse=True)
+            learn = ~np.repeat(row["held"].to_numpy(zero_copy_only=False).astype(bool), lengths + 1)
+            masses = (1 - DISCOUNT) * (np.bincount(inverse[learn], minlength=len(ids)) > 0)
+            masses[-1 - place[~of_word]] = value[~of_word]
+            first, then = ids // (size + 1), ids % (size + 1)
+            left = np.log10(STRENGTH + DISCOUNT * tables[first]) + logp[then]
+            steps = np.where(masses > 0, np.log10(np.where(masses > 0, masses, 1) + np.power(10.0, left)), left) - np.log10(STRENGTH + customers[first])
+            sums = [np.bincount(owner, weights=v[codes], minlength=len(lengths)) for v in (c > 0, np.log10(c + 0.5))]
+            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 1), weights=steps[inverse], minlength=len(lengths))
             found[0] += row["ids"].to_pylist()
             found[1] += row["held"].to_pylist()
             found[2] += (lengths.astype(np.int64) + 1).tolist()
             found[3] += (sums[0].astype(np.int64) + int(n_texts > 0)).tolist()
             found[4] += [int(total)] * len(lengths)
             found[5] += (sums[1] + np.log10(n_texts + 0.5) - (lengths + 1) * floor).tolist()
-            found[6] += (sums[2] + end_p).tolist()
+            found[6] += score.tolist()
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], names=names)
 

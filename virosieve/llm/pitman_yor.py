@@ -97,6 +97,17 @@ class Share(Restaurants):
         return np.full(1, self.served)
 
 
+class Spread(Restaurants):
+    """One dish each of many restaurants that are spread over tasks; ``served`` is the number of tables of each."""
+
+    def __init__(self, served: np.ndarray, rng: np.random.Generator):
+        super().__init__(np.arange(len(served)), len(served), rng)
+        self.served = served
+
+    def _sum(self, values: np.ndarray) -> np.ndarray:
+        return self.served
+
+
 class Subtree:
     """The levels of restaurants whose contexts end in one symbol, from the longest contexts to that symbol alone."""
 
