@@ -54,3 +54,15 @@ def test_few_long_words(spark):
             words[5 + 7 * at] = f"lengthy{8 * number + at}"
         texts += [" ".join([*words, f"lengthy{8 * number + 7}"]), " ".join(words)]
     assert _pairs_found(spark, texts, [(2 * i, 2 * i + 1) for i in range(40)]) == 40
+
+
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(5)
+    first, second, third = ([f"lengthy{n}" for n in rng.integers(0, 50_000, 200)] for _ in range(3))
+    near = [*first[:100], "replaced", *first[101:]]
+    # id 2 has a near copy of id 1's text, and two rows of a text of its own; 3 and 4 are linked only by a row without id
+    rows = [(1, first), (2, near), (2, second), (2, second), (3, third), (None, third[:-20]), (4, third[25:-20])]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.distinct_rows(df).collect())
+    assert kept == sorted([(0, rows[5][1]), (1, rows[0][1]), (2, rows[2][1]), (3, rows[4][1])])

@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from virosieve.llm.components import component_roots
 from virosieve.llm.text import column, words_of
@@ -131,15 +132,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 _SAMPLE, _OFTEN, _FREQUENT = 20_000, 3, 100_000
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` with a ``key`` that tells word sequences apart."""
+def _keys(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs(id, text)``, and columns ``more``, with a ``key`` that tells word sequences apart."""
+    names = ["id", "text", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("id", "text")), pa.array(keys, pa.binary())], names=["id", "text", "key"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(keys, pa.binary())], names=[*names, "key"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, text string, key binary")
+    picked = docs.select(*names)
+    return picked.mapInArrow(run, StructType([*picked.schema.fields, StructField("key", BinaryType())]))
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -262,15 +265,20 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def distinct_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts, that of the least id, with its own columns.
 
-    Rows with a null id stay. Of several rows with one id, one stays if any does.
+    Rows with a null id stay. Rows that share an id are told apart by their words; of those that share both, one stays.
     """
-    grouped = cut(similar_groups(docs, id_column, text_column, size, similarity), "groups")
-    gone = grouped.filter("id <> component_id").select("id").distinct()
-    repeated = grouped.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
-    key = F.col(id_column).cast("long")
+    grouped = cut(_grouped(docs, id_column, text_column, size, similarity).filter("id is not null"), "groups")
+    least = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("kept"))
+    rows = cut(grouped.join(least, "root").select("id", "key", (F.struct("id", "key") != F.col("kept")).alias("gone")), "judged")
+    repeated = cut(rows.groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    gone = cut(rows.filter("gone").select("id").join(repeated, "id", "left_anti"), "gone")
+    number = F.col(id_column).cast("long")
     hint = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda df: df)
-    kept = docs.join(hint(gone), key == gone["id"], "left_anti")
+    kept = docs.join(hint(gone), number == gone["id"], "left_anti")
     if not repeated.isEmpty():
-        again = kept.join(repeated, key == repeated["id"], "left_semi").dropDuplicates([id_column])
-        kept = kept.join(repeated, key == repeated["id"], "left_anti").union(again)
+        again = kept.join(repeated, number == repeated["id"], "left_semi")
+        own = again.select(F.struct("*").alias("row"), number.alias("id"), F.col(text_column).cast("string").alias("text"))
+        stay = rows.filter("not gone").join(repeated, "id", "left_semi").select("id", "key").distinct()
+        own = _keys(own, "row").dropDuplicates(["id", "key"]).join(stay, ["id", "key"], "left_semi")
+        kept = kept.join(repeated, number == repeated["id"], "left_anti").union(own.select("row.*"))
     return kept
