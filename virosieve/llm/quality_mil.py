@@ -162,7 +162,7 @@ def held_out(id_column: str = "doc_id"):
     return id_remainder(id_column, 3) == 1
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_column: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with their own columns."""
-    model = fit(docs, labels, ~held_out("id"), text_column=text_column, **columns)
+def kept_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_column: str = "text", examples: DataFrame | None = None, **columns: str) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with their own columns; learns from ``examples``, or ``docs``."""
+    model = fit(docs if examples is None else examples, labels, ~held_out("id"), text_column=text_column, **columns)
     return scored(docs, model, text_column).filter(F.col("score") >= least).select("row.*")
