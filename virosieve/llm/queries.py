@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import chat, decontaminate, language_id, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
+from virosieve.llm import chat, decontaminate, language_id, licenses, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
 from virosieve.llm.text import table, tokenizer_path
 from virosieve.plans.durable import cut, fresh_path
 
@@ -94,6 +94,23 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base places, labels and confidence of every document's licence statements."""
+    rows = licenses.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["kind"] == "base")
+    starts = F.transform(base, lambda p: p["start"])
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels(F.col("places"), "base").alias("base_labels"),
+        licenses.labels(F.col("places"), *licenses.WEIGHTS).alias("labels"),
+        licenses.confidence(F.col("places")).alias("score"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op10_pitman_yor_scores": op10_pitman_yor_scores,
@@ -105,5 +122,6 @@ def llm_queries() -> dict[str, Query]:
         "op7_chat_formatting": op7_chat_formatting,
         "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op13_license_scan": op13_license_scan,
         "op9_distribution_quality_rules": op9_distribution_quality_rules,
     }
