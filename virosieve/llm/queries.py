@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import chat, decontaminate, language_id, licenses, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
+from virosieve.llm import chat, decontaminate, hard_negatives, language_id, licenses, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
 from virosieve.llm.text import table, tokenizer_path
 from virosieve.plans.durable import cut, fresh_path
 
@@ -94,6 +94,14 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its best positives, all vectors being searched."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label, F.col("embedding").alias("vector"))
+    found = hard_negatives.mined(rows, F.col("id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, base places, labels and confidence of every document's licence statements."""
     rows = licenses.scanned(table(spark, sf_dir, "documents"))
@@ -122,6 +130,7 @@ def llm_queries() -> dict[str, Query]:
         "op7_chat_formatting": op7_chat_formatting,
         "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_license_scan": op13_license_scan,
         "op9_distribution_quality_rules": op9_distribution_quality_rules,
     }
