@@ -91,6 +91,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP11 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)
+), starts AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+), phrases AS (
+  SELECT lang, size, words[i:i + size - 1] AS w FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE i + size - 1 <= len(words)
+), counts AS (
+  SELECT lang, size, w, count(*) AS f FROM phrases GROUP BY lang, size, w HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.size, c.w, c.f AS a, k, x.f AS l, y.f AS r, CAST(n AS BIGINT) AS n,
+         CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts) c JOIN totals USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.w = c.w[1:k]
+  JOIN counts y ON y.lang = c.lang AND y.w = c.w[k + 1:c.size]
+), candidates AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, a AS longer, w[s:s + z - 1] AS w FROM (SELECT *, unnest(range(2, size)) AS z FROM candidates), (SELECT unnest([1, 2, 3, 4]) AS s)
+  WHERE s + z - 1 <= size
+)
+SELECT lang, row_number() OVER best AS rank, array_to_string(w, ' ') AS phrase, a, l, r, n, score
+FROM candidates c
+WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = c.lang AND i.w = c.w AND 100 * i.longer >= 100 * c.a)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' '))
+QUALIFY row_number() OVER best <= 2000
+"""
+
 OP12 = """
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -114,4 +149,4 @@ QUALIFY row_number() OVER best <= 10
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op12_hard_negatives": OP12, "op7_chat_formatting": OP7, "op9_distribution_quality_rules": _op9()}
+    return {"op11_collocations": OP11, "op12_hard_negatives": OP12, "op7_chat_formatting": OP7, "op9_distribution_quality_rules": _op9()}

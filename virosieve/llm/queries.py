@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosieve.llm import chat, decontaminate, hard_negatives, language_id, licenses, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
+from virosieve.llm import chat, collocations, decontaminate, hard_negatives, language_id, licenses, lm_score, quality_mil, quality_rules, sentencepiece_bpe, simhash, token_files, url_filter
 from virosieve.llm.text import table, tokenizer_path
 from virosieve.plans.durable import cut, fresh_path
 
@@ -94,6 +94,11 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector and its best positives, all vectors being searched."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
@@ -130,6 +135,7 @@ def llm_queries() -> dict[str, Query]:
         "op7_chat_formatting": op7_chat_formatting,
         "op8_sentencepiece_round_trip": op8_sentencepiece_round_trip,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op11_collocations": op11_collocations,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_license_scan": op13_license_scan,
         "op9_distribution_quality_rules": op9_distribution_quality_rules,
