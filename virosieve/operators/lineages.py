@@ -14,7 +14,6 @@ from virosieve.operators.common import (
 )
 from virosieve.plans.closure import transitive_closure
 from virosieve.plans.quantiles import QUARTILES, exact_quantiles
-from virosieve.plans.joins import join_null_safe
 from virosieve.tables import Tables
 
 # Prevalence thresholds and the plain nucleotides.
@@ -68,15 +67,11 @@ def _summary(rows: DataFrame, keys: list[str], tables: Tables) -> DataFrame:
     """Count, extremes and quartiles of abundance per key; grouped by lineage id and named at the
     end."""
     keys = [*keys, "lineage_id"]
-    rows = rows.select(*keys, "abundance")
-    plain = rows.groupBy(*keys).agg(
-        F.count("*").alias("sample_count"),
-        F.min("abundance").alias("abundance_min"),
-        F.max("abundance").alias("abundance_max"),
-    )
-    quartiles = exact_quantiles(rows, keys, "abundance", QUARTILES, ["abundance_q1", "abundance_median", "abundance_q3"])
-    names = tables.named_lineages.select("lineage_id", "lineage_name", "lineage_system_name")
-    out = join_null_safe(plain, quartiles, keys, "left").join(names, "lineage_id")
+    out = exact_quantiles(
+        rows.select(*keys, "abundance"), keys, "abundance", QUARTILES,
+        ["abundance_q1", "abundance_median", "abundance_q3"],
+        summary=["sample_count", "abundance_min", "abundance_max"],
+    ).join(tables.named_lineages.select("lineage_id", "lineage_name", "lineage_system_name"), "lineage_id")
     return out.select(
         *[k for k in keys if k != "lineage_id"], "lineage_name", "lineage_system_name", "sample_count",
         "abundance_min", "abundance_q1", "abundance_median", "abundance_q3", "abundance_max",
@@ -132,7 +127,7 @@ def mutation_incidence(tables: Tables, lineage: str, system: str, axis: str = "a
     members = lineage_samples(tables, lineage, system, where)
     sample_count = members.select(F.count("*")).scalar()
     per_change = (
-        tables[axis.consensus]
+        tables.edges_of_samples(axis.consensus)
         .join(members, "sample_id", "left_semi")
         .groupBy("change_id")
         .agg(F.count("*").alias("count"))
@@ -156,7 +151,8 @@ def mutation_profile(tables: Tables, lineage: str, system: str, where: Filter =
     plain = NT.named(tables).filter(F.col("ref_nt").isin(*NUCLEOTIDES) & F.col("alt_nt").isin(*NUCLEOTIDES))
     keys = ["region", "ref_nt", "alt_nt"]
     counted = (
-        tables.cns_nt.join(members, "sample_id", "left_semi")
+        tables.edges_of_samples("cns_nt")
+        .join(members, "sample_id", "left_semi")
         .groupBy("change_id")
         .agg(F.count("*").alias("n"))
         .join(plain.select("change_id", *keys), "change_id")

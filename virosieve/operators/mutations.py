@@ -8,14 +8,11 @@ from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, MONTH, DateBin, max
 from virosieve.operators.common import (
     AA, Axis, Filter, as_filter, change_axis, filtered, lineage_samples, resolves, select_samples,
 )
+from virosieve.operators.upkeep import CONSENSUS, FIRST_SEEN_MAX_SPAN_DAYS, INTRAHOST
 from virosieve.operators.variants import _one_change, counts_by_score
-from virosieve.plans.durable import cut
-from virosieve.plans.joins import join_null_safe, own_shuffle
+from virosieve.plans.joins import own_shuffle
 from virosieve.tables import Tables
 
-# Widest collection window, in days, for first-seen comparisons.
-FIRST_SEEN_MAX_SPAN_DAYS = 30
-
 
 def mutations(tables: Tables, where: Filter, axis: str = "nt") -> DataFrame:
     """(sample, change) rows for a catalog filter."""
@@ -93,27 +90,31 @@ def mutation_counts_by_score(tables: Tables, region: str, metric: str, include_r
 
 def _first_seen(tables: Tables, lineage: str, system: str) -> DataFrame:
     """First collection start of every amino-acid change in consensus and intra-host carriers of one
-    lineage, for changes that have both."""
-    members = lineage_samples(
-        tables, lineage, system, also=[max_span_filter(FIRST_SEEN_MAX_SPAN_DAYS)], keep=["collection_start_date"]
-    )
-    catalog = AA.named(tables).select("change_id", *AA.columns)
-
-    def first(edges: DataFrame, name: str) -> DataFrame:
-        # the minimum per change id first: a change has as many rows as carriers until then
-        per_id = (
-            edges.select("change_id", "sample_id")
-            .join(members, "sample_id")
-            .groupBy("change_id")
-            .agg(F.min("collection_start_date").alias(name))
+    lineage, for changes that have both.
+
+    From the ``first_seen`` table where there is one; no edges are read then. Otherwise from the edges
+    of the lineage's samples: both sides meet them in one join, and are reduced to one row per change
+    id before names come in.
+    """
+    if "first_seen" in tables:
+        wanted = tables.named_lineages.filter((F.col("lineage_name") == lineage) & (F.col("lineage_system_name") == system))
+        rows = tables.first_seen.join(wanted.select("lineage_id"), "lineage_id", "left_semi")
+    else:
+        members = lineage_samples(
+            tables, lineage, system, also=[max_span_filter(FIRST_SEEN_MAX_SPAN_DAYS)], keep=["collection_start_date"]
         )
-        return per_id.join(catalog, "change_id").groupBy(*AA.columns).agg(F.min(name).alias(name))
-
-    # written once: it is joined at the end, and before that its changes alone let intra-host edges in
-    consensus = cut(first(tables.edges_of_samples("cns_aa"), "mutations_start_date"), "first-seen")
-    candidates = join_null_safe(catalog, consensus.select(*AA.columns), AA.columns, "left_semi").select("change_id")
-    within = tables.ih_aa.join(candidates, "change_id", "left_semi")
-    return consensus.join(first(within, "variants_start_date"), AA.columns)
+        sides = [(CONSENSUS, tables.edges_of_samples("cns_aa")), (INTRAHOST, tables.edges_of_samples("ih_aa"))]
+        edges = [e.select("change_id", "sample_id", F.lit(side).alias("side")) for side, e in sides]
+        rows = edges[0].unionByName(edges[1]).join(members, "sample_id").withColumnRenamed("collection_start_date", "first_date")
+
+    def first(side: str, name: str):
+        return F.min(F.when(F.col("side") == side, F.col("first_date"))).alias(name)
+
+    dates = {"mutations_start_date": CONSENSUS, "variants_start_date": INTRAHOST}
+    per_id = rows.groupBy("change_id").agg(*[first(side, name) for name, side in dates.items()])
+    named = per_id.join(AA.named(tables).select("change_id", *AA.columns), "change_id")
+    seen = named.groupBy(*AA.columns).agg(*[F.min(name).alias(name) for name in dates])
+    return seen.na.drop(subset=list(dates))
 
 
 def _lag(seen: DataFrame, earlier: str, later: str) -> DataFrame:

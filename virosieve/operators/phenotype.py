@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, MONTH, DateBin
 from virosieve.operators.common import Filter, binned_samples, intrahost_window
+from virosieve.operators.upkeep import score_sums
 from virosieve.plans.joins import join_null_safe
 from virosieve.plans.quantiles import QUARTILES, exact_quantiles, few_valued_quantiles
 from virosieve.tables import Tables
@@ -92,18 +93,15 @@ def scored_variants_by_date(tables: Tables, metric: str, threshold: float, date_
 def metric_sum_cache(tables: Tables) -> DataFrame:
     """Per (sample, metric): the sum of the scores its consensus changes have, and their number.
 
-    Meant to be written (partitioned by metric) after each ingest and read as ``metric_sum_cache``.
+    Meant to be written after each ingest (or kept up by it, see ``upkeep``) and read as
+    ``metric_sum_cache``.
     """
-    dated = tables.samples.filter(
-        F.col("collection_start_date").isNotNull() & F.col("collection_end_date").isNotNull()
-    ).select(F.col("id").alias("sample_id"))
-    values = tables.phenotype_metric_values.withColumnRenamed("amino_acid_id", "change_id")
-    return (
-        tables.cns_aa.join(values, "change_id")
-        .groupBy("sample_id", "phenotype_metric_id")
-        .agg(F.sum("value").alias("pmv_value_sum"), F.count("*").alias("n_scored_mutations"))
-        .join(dated, "sample_id", "left_semi")
-    )
+    return score_sums(tables, tables.cns_aa, "n_scored_mutations")
+
+
+def variant_sum_cache(tables: Tables) -> DataFrame:
+    """The same of distinct intra-host changes, read as ``variant_sum_cache``."""
+    return score_sums(tables, tables.edges_of_samples("ih_aa"), "n_scored_variants")
 
 
 def write_metric_sum_cache(tables: Tables, path: str) -> None:
@@ -113,48 +111,57 @@ def write_metric_sum_cache(tables: Tables, path: str) -> None:
 def _load_quartiles(per_sample: DataFrame, date_bin: DateBin) -> DataFrame:
     """Quartiles per bin of the score sum and of the number of scored changes of a sample."""
     keys = date_bin.names
+    # equal samples are counted once; both quantiles start from this one shuffle
+    counted = per_sample.groupBy(*keys, "load", "n_aa").agg(F.count("*").alias("n_samples"))
     sums = exact_quantiles(
-        per_sample, keys, "load", QUARTILES,
-        ["aggregate_value_q1", "aggregate_value_median", "aggregate_value_q3"],
+        counted, keys, "load", QUARTILES,
+        ["aggregate_value_q1", "aggregate_value_median", "aggregate_value_q3"], weight="n_samples",
     )
     # a count of changes: few values, however many samples
-    numbers = few_valued_quantiles(per_sample, keys, "n_aa", QUARTILES, ["n_aa_q1", "n_aa_median", "n_aa_q3"])
+    numbers = few_valued_quantiles(
+        counted, keys, "n_aa", QUARTILES, ["n_aa_q1", "n_aa_median", "n_aa_q3"], weight="n_samples"
+    )
     return date_bin.labelled(join_null_safe(numbers, sums, keys)).orderBy(*date_bin.order)
 
 
-def metric_load_mutations_by_date(tables: Tables, metric: str, date_bin: DateBin = MONTH, where: Filter = None,
-                                  max_span_days: int = DEFAULT_MAX_SPAN_DAYS) -> DataFrame:
-    """Score load of consensus changes per bin, from the cached sums when the tables hold them. A
-    sample counts once, whatever the number of its lineages."""
-    cache = tables.metric_sum_cache if "metric_sum_cache" in tables else metric_sum_cache(tables)
+def _cached_load(tables: Tables, cache: DataFrame, number: str, metric: str, date_bin: DateBin, binned: DataFrame) -> DataFrame:
     wanted = tables.phenotype_metrics.filter(F.col("phenotype_metric_name") == metric).select(
         F.col("id").alias("phenotype_metric_id")
     )
-    binned = binned_samples(tables, date_bin, where, max_span_days=max_span_days, lineages="inner")
     per_sample = (
         cache.join(wanted, "phenotype_metric_id", "left_semi")
         .join(binned, "sample_id")
-        .select(*date_bin.names, F.col("pmv_value_sum").alias("load"), F.col("n_scored_mutations").alias("n_aa"))
+        .select(*date_bin.names, F.col("pmv_value_sum").alias("load"), F.col(number).alias("n_aa"))
     )
     return _load_quartiles(per_sample, date_bin)
 
 
+def metric_load_mutations_by_date(tables: Tables, metric: str, date_bin: DateBin = MONTH, where: Filter = None,
+                                  max_span_days: int = DEFAULT_MAX_SPAN_DAYS) -> DataFrame:
+    """Score load of consensus changes per bin, from the cached sums when the tables hold them. A
+    sample counts once, whatever the number of its lineages."""
+    cache = tables.metric_sum_cache if "metric_sum_cache" in tables else metric_sum_cache(tables)
+    binned = binned_samples(tables, date_bin, where, max_span_days=max_span_days, lineages="inner")
+    return _cached_load(tables, cache, "n_scored_mutations", metric, date_bin, binned)
+
+
 def metric_load_variants_by_date(tables: Tables, metric: str, date_bin: DateBin = MONTH, where: Filter = None,
                                  max_span_days: int = DEFAULT_MAX_SPAN_DAYS) -> DataFrame:
-    """Score load of intra-host changes per bin. A change a sample shows in two frequency bins counts
-    once."""
+    """Score load of intra-host changes per bin, from the cached sums when the tables hold them. A
+    change a sample shows in two frequency bins counts once."""
     binned = binned_samples(tables, date_bin, where, max_span_days=max_span_days, lineages="inner")
-    # scores and dates cut the edges before any of them is made distinct
-    scored = (
-        tables.ih_aa.select("change_id", "sample_id")
+    if "variant_sum_cache" in tables:
+        return _cached_load(tables, tables.variant_sum_cache, "n_scored_variants", metric, date_bin, binned)
+    # scores and dates cut the edges before any of them is made distinct, and the bin comes along, so
+    # making them distinct and summing them up both lie by sample, as the join left them
+    per_sample = (
+        tables.edges_of_samples("ih_aa")
+        .select("change_id", "sample_id")
         .join(_scores(tables, metric), "change_id")
-        .join(binned.select("sample_id"), "sample_id", "left_semi")
-        .groupBy("sample_id", "change_id")
+        .join(binned, "sample_id")
+        .groupBy("sample_id", *date_bin.names, "change_id")
         .agg(F.max("value").alias("value"))
-    )
-    per_sample = (
-        scored.groupBy("sample_id")
+        .groupBy("sample_id", *date_bin.names)
         .agg(F.sum("value").alias("load"), F.count("*").alias("n_aa"))
-        .join(binned, "sample_id")
     )
     return _load_quartiles(per_sample, date_bin)

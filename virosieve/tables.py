@@ -5,8 +5,12 @@ Carrier sets are *edge tables*, one row per (change, sample):
 * ``cns_nt`` / ``cns_aa``  consensus:   ``change_id, sample_id``
 * ``ih_nt``  / ``ih_aa``   intra-host:  ``change_id, sample_id, freq_bin``
 
-``cns_nt_by_sample`` and ``cns_aa_by_sample``, if given, hold the consensus edges clustered by sample;
-operators that start from samples read them.
+``cns_nt_by_sample``, ``cns_aa_by_sample`` and the same of ``ih_nt`` and ``ih_aa``, if given, hold the
+edges clustered by sample; operators that start from samples read them.
+
+Derived tables that loads keep up (``operators.upkeep``) are read where they are given:
+``metric_sum_cache`` and ``variant_sum_cache`` (score sums per sample and metric), ``first_seen`` (first
+dates per lineage and change), ``lineage_closure`` (pairs with their number of paths).
 
 Set algebra on carrier sets is then ordinary relational work (semi-joins, distinct, counts) that
 Spark can partition on either key; no row ever holds the carriers of a whole change.
@@ -30,9 +34,12 @@ TABLE_NAMES = (
     "ih_aa",
     "cns_nt_by_sample",
     "cns_aa_by_sample",
+    "ih_nt_by_sample",
+    "ih_aa_by_sample",
     "lineage_systems",
     "lineages",
     "lineages_immediate_children",
+    "lineage_closure",
     "samples_lineages",
     "phenotype_metrics",
     "phenotype_metric_values",
@@ -42,6 +49,8 @@ TABLE_NAMES = (
     "annotations_amino_acids",
     "annotations_papers",
     "metric_sum_cache",
+    "variant_sum_cache",
+    "first_seen",
 )
 
 GEO_COLUMNS = ("country_name", "admin1_name", "admin2_name", "admin3_name")
@@ -69,7 +78,12 @@ class Tables:
         """Tables written below ``root``, one directory per name: the given ones, or all that exist."""
         if names is None:
             names = [name for name in TABLE_NAMES if _exists(spark, f"{root}/{name}")]
-        return cls({name: partial(spark.read.format(fmt).load, f"{root}/{name}") for name in names})
+
+        def stored(name: str) -> DataFrame:
+            # tables in buckets have two columns that tell their place
+            return spark.read.format(fmt).load(f"{root}/{name}").drop("of", "bucket")
+
+        return cls({name: partial(stored, name) for name in names})
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -93,7 +107,7 @@ class Tables:
     def edges_of_samples(self, name: str) -> DataFrame:
         """Edges for an operator that starts from samples: the layout clustered by sample, where there is one."""
         clustered = f"{name}_by_sample"
-        return self[clustered].select("change_id", "sample_id") if clustered in self else self[name]
+        return self[clustered].select(*self[name].columns) if clustered in self else self[name]
 
     @cached_property
     def samples_geo(self) -> DataFrame:
