@@ -41,9 +41,9 @@ from virosieve.plans.durable import cut
 LONGEST = 5
 UNKNOWN = "und"
 FILTER_BITS = 26
-BATCH = 8 << 20
+BATCH = 3 << 20
 #: Distinct pairs a task holds before it hands them on.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 PARTS = 64
 #: Bits of one map that ``bitmap_construct_agg`` builds.
 _MAP_BITS = 32768
