@@ -175,7 +175,9 @@ def binned_samples(
 def change_keys(tables: Tables, axis: Axis) -> DataFrame:
     """``change_id, key_id`` where changes that read the same (several codons of one amino-acid
     change) share the smallest id as key. Counting works on this number; the names are joined to the
-    counted result."""
+    counted result. Catalogs that loads keep up hold it as ``canonical_id``; it is worked out for others."""
+    if "canonical_id" in tables[axis.catalog].columns:
+        return axis.named(tables).select("change_id", F.col("canonical_id").alias("key_id"))
     catalog = axis.named(tables).select("change_id", *axis.columns)
     keys = catalog.groupBy(*axis.columns).agg(F.min("change_id").alias("key_id"))
     return catalog.join(keys, axis.columns).select("change_id", "key_id")

@@ -8,10 +8,14 @@ from operator import or_
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.changes import N_FREQ_BINS, freq_bin, translate_codon
+from virosieve.operators import upkeep
+from virosieve.operators.common import AA, NT
 from virosieve.operators.ingest_samples import drop_null_ref, drop_unknown_accessions
+from virosieve.plans import buckets
 from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
-from virosieve.tables import Tables
+from virosieve.plans.joins import join_null_safe
+from virosieve.tables import Tables, path_exists
 
 # Quality thresholds of intra-host calls.
 MIN_FREQ = 0.02
@@ -88,6 +92,20 @@ def build_amino_acid_catalog(ih_codons: DataFrame, mutations: DataFrame, existin
     return assign_ids(new.select(*AMINO_ACID_KEY, "__ref.*"), AMINO_ACID_KEY, highest(existing))
 
 
+def with_canonical_ids(new: DataFrame, existing: DataFrame, reading) -> DataFrame:
+    """New catalog rows with ``canonical_id``: the smallest id of the changes that read the same.
+
+    Ids grow with every load, so rows that are stored keep theirs: a new change takes that of a stored
+    one that reads the same, or the smallest among the new ones.
+    """
+    reading = list(reading)
+    known = existing.groupBy(*reading).agg(F.min("canonical_id" if "canonical_id" in existing.columns else "id").alias("__known"))
+    fresh = new.groupBy(*reading).agg(F.min("id").alias("__fresh"))
+    ids = join_null_safe(fresh, known, reading, "left")
+    ids = ids.select(*reading, F.coalesce("__known", "__fresh").alias("canonical_id"))
+    return join_null_safe(new, ids, reading)
+
+
 def amino_acid_ref_conflicts(ih_codons: DataFrame, mutations: DataFrame, existing: DataFrame) -> DataFrame:
     """New amino-acid changes whose inputs disagree on the ref codon or on the ref amino acid."""
     staged = staged_amino_acids(ih_codons, mutations, existing)
@@ -155,18 +173,46 @@ def carrier_bitmaps(edges: DataFrame) -> DataFrame:
 
 # --- one load ----------------------------------------------------------------------------------
 
+EDGES = ("cns_nt", "cns_aa", "ih_nt", "ih_aa")
+
 
-def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_codons: DataFrame, root: str) -> Tables:
-    """One load of raw change records: catalogs first, then the carriers that refer to them.
+def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_codons: DataFrame, root: str,
+                 n_buckets: int = buckets.BUCKETS) -> Tables:
+    """One load of raw change records into the tables stored below ``root``.
 
-    Every output is one job, written below the empty folder ``root`` and then read from there, so a
-    later step never computes an earlier one again. The caller swaps the folder in when all succeed.
+    Catalogs come first and only grow, then the carriers that refer to them: edges by change, edges by
+    sample, and, where they are stored, the derived tables (see ``upkeep``). Tables below ``root`` are
+    changed in place, in those buckets that the load touches; others are made from ``tables`` and the
+    load. Every step can be run again: a load that was cut short is repeated as a whole, which
+    finds its part of the catalogs and edges and adds the rest.
     """
     spark = mutations.sparkSession
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    def stored(name: str) -> DataFrame | None:
+        if path_exists(spark, f"{root}/{name}"):
+            return buckets.read(spark, f"{root}/{name}")
+        return tables[name] if name in tables else None
+
+    def grown(name: str, columns: list[str], reading, build) -> DataFrame:
+        """A catalog with its new rows added."""
+        path = f"{root}/{name}"
+        old = stored(name)
+        if "canonical_id" not in old.columns:
+            old = with_canonical_ids(old.select(*columns), old.limit(0), reading)
+        new = cut(build(old).select(*columns), name)
+        new = cut(with_canonical_ids(new, old, reading).select(*columns, "canonical_id"), name)
+        if not path_exists(spark, path):
+            new = old.select(*new.columns).unionByName(new)
+        new.write.mode("append").parquet(path)
+        return spark.read.schema(new.schema).parquet(path)
+
+    def merged(name: str, incoming: DataFrame, key: str, combine) -> DataFrame:
+        path = f"{root}/{name}"
+        if path_exists(spark, path):
+            buckets.merge(spark, path, incoming, key, combine)
+            return buckets.read(spark, path)
+        old = stored(name)
+        return buckets.create(incoming if old is None else combine(old, incoming), path, key, n_buckets)
 
     # Text is parsed and filtered once; the steps below read columns of the staged records.
     known = tables.samples.select("id", "accession")
@@ -179,25 +225,63 @@ def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_cod
     ih_codons = cut(ih_codons.select("accession", *codon_columns), "staged-codons")
 
     allele_columns = ["id", "region", "position_nt", "ref_nt", "alt_nt"]
-    new_alleles = build_allele_catalog(mutations, ih_nts, tables.alleles).select(*allele_columns)
-    alleles = keep(tables.alleles.select(*allele_columns).unionByName(new_alleles), "alleles")
+    alleles = grown("alleles", allele_columns, NT.columns, lambda old: build_allele_catalog(mutations, ih_nts, old))
     aa_columns = ["id", *_AMINO_ACID_COLUMNS]
-    new_aas = build_amino_acid_catalog(ih_codons, mutations, tables.amino_acids).select(*aa_columns)
-    amino_acids = keep(tables.amino_acids.select(*aa_columns).unionByName(new_aas), "amino_acids")
+    amino_acids = grown("amino_acids", aa_columns, AA.columns, lambda old: build_amino_acid_catalog(ih_codons, mutations, old))
 
-    loaded = {
+    incoming = {
         "cns_nt": carriers_cns_allele(mutations, alleles, known),
         "cns_aa": carriers_cns_amino_acid(mutations, amino_acids, known),
         "ih_nt": carriers_ih_allele(ih_nts, alleles, known),
         "ih_aa": carriers_ih_amino_acid(ih_codons, amino_acids, known),
     }
+    incoming = {name: cut(edges, f"incoming-{name}") for name, edges in incoming.items()}
     edges = {}
-    for name, incoming in loaded.items():
-        merged = carrier_union_merge(tables[name], incoming) if name in tables else incoming
-        edges[name] = keep(by_change(merged), name)
-    for name in ("cns_nt", "cns_aa"):
-        edges[f"{name}_by_sample"] = keep(by_sample(transpose_carriers(edges[name])), f"{name}_by_sample")
-    return tables.replace(alleles=alleles, amino_acids=amino_acids, **edges)
+    for name in EDGES:
+        edges[name] = merged(name, incoming[name], "change_id", carrier_union_merge)
+        # made from the edges by change where it is new
+        layout, source = f"{name}_by_sample", incoming[name]
+        if not path_exists(spark, f"{root}/{layout}"):
+            edges[layout] = buckets.create(edges[name], f"{root}/{layout}", "sample_id", n_buckets)
+        else:
+            edges[layout] = merged(layout, source, "sample_id", carrier_union_merge)
+    loaded = tables.replace(alleles=alleles, amino_acids=amino_acids, **edges)
+    return _keep_up(loaded, incoming, root)
+
+
+def _keep_up(tables: Tables, incoming: dict[str, DataFrame], root: str) -> Tables:
+    """The derived tables below ``root``, brought up to a load's new edges."""
+    spark = tables.samples.sparkSession
+    derived = {}
+    path = f"{root}/first_seen"
+    if path_exists(spark, path):
+        fresh = upkeep.first_seen_rows(tables, incoming["cns_aa"], incoming["ih_aa"])
+        buckets.merge(spark, path, fresh, "lineage_id", upkeep.merge_first_seen)
+        derived["first_seen"] = buckets.read(spark, path)
+    for name, edges, number in (
+        ("metric_sum_cache", "cns_aa", "n_scored_mutations"),
+        ("variant_sum_cache", "ih_aa", "n_scored_variants"),
+    ):
+        path = f"{root}/{name}"
+        if not path_exists(spark, path):
+            continue
+        samples = incoming[edges].select("sample_id").distinct()
+        own = buckets.read_touched(spark, f"{root}/{edges}_by_sample", samples, "sample_id")
+        fresh = upkeep.score_sums(tables, own, number, samples)
+        # edges are only ever added, so a touched sample with rows before has rows again
+        buckets.merge(spark, path, fresh, "sample_id", lambda old, new: upkeep.replace_samples(old, new, new))
+        derived[name] = buckets.read(spark, path)
+    return tables.replace(**derived)
+
+
+def store_derived(tables: Tables, root: str, n_buckets: int = buckets.BUCKETS) -> Tables:
+    """Make the derived tables of all edges below ``root``; later loads keep them up."""
+    made = {
+        "first_seen": (upkeep.first_seen_rows(tables, tables.cns_aa, tables.ih_aa), "lineage_id"),
+        "metric_sum_cache": (upkeep.score_sums(tables, tables.cns_aa, "n_scored_mutations"), "sample_id"),
+        "variant_sum_cache": (upkeep.score_sums(tables, tables.edges_of_samples("ih_aa"), "n_scored_variants"), "sample_id"),
+    }
+    return tables.replace(**{name: buckets.create(rows, f"{root}/{name}", key, n_buckets) for name, (rows, key) in made.items()})
 
 
 def by_change(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from virosieve.plans.closure import maintain_closure
 from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.tables import Tables
@@ -113,9 +114,17 @@ def hierarchy_changes(tables: Tables, edges: DataFrame, system: str) -> tuple[Ta
 
 
 def sync_lineage_hierarchy(tables: Tables, edges: DataFrame, system: str) -> Tables:
-    """Make the stored hierarchy of a system equal to ``edges``; other systems keep theirs."""
+    """Make the stored hierarchy of a system equal to ``edges``; other systems keep theirs. A stored
+    closure follows the added and dropped edges."""
     named, changes = hierarchy_changes(tables, edges, system)
     own = _lineage_ids(named, system).select(F.col("lineage_id").alias("parent_id"))
     others = tables.lineages_immediate_children.join(own, "parent_id", "left_anti")
     mine = changes.filter(F.col("action") != "dropped").select("parent_id", "child_id")
-    return named.replace(lineages_immediate_children=others.select("parent_id", "child_id").unionByName(mine))
+    after = others.select("parent_id", "child_id").unionByName(mine)
+    if "lineage_closure" not in tables:
+        return named.replace(lineages_immediate_children=after)
+    # both are read several times below
+    after, changes = cut(after, "hierarchy"), cut(changes.filter(F.col("action") != "kept"), "hierarchy-changes")
+    added, dropped = changes.filter(F.col("action") == "added"), changes.filter(F.col("action") == "dropped")
+    closure = cut(maintain_closure(tables.lineage_closure, after, added, dropped), "lineage-closure")
+    return named.replace(lineages_immediate_children=after, lineage_closure=closure)

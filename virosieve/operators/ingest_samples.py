@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from virosieve.functions.dates import collection_window
 from virosieve.functions.values import all_present, blank_to_null, bool_from_text
+from virosieve.plans import buckets
 from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.plans.joins import join_null_safe
@@ -140,11 +141,13 @@ def last_per_accession(rows: DataFrame, order: str) -> DataFrame:
     return last.select("accession", "__last.*")
 
 
-def sample_upsert(existing: DataFrame, incoming: DataFrame, update_columns: Sequence[str] | None = None) -> DataFrame:
+def sample_upsert(existing: DataFrame, incoming: DataFrame, update_columns: Sequence[str] | None = None,
+                  after: Column | None = None) -> DataFrame:
     """The sample table after loading ``incoming`` (unique accessions).
 
     Known accessions keep their id and take the update columns of the new record, nulls included;
-    by default every column the record brings. New accessions are appended under new ids.
+    by default every column the record brings. New accessions are appended under new ids, which follow
+    ``after`` (the largest id of ``existing``, unless that is only a part of the table).
     """
     columns = [c for c in existing.columns if c not in ("id", "accession")]
     if update_columns is None:
@@ -163,10 +166,24 @@ def sample_upsert(existing: DataFrame, incoming: DataFrame, update_columns: Sequ
         ],
     )
     unseen = incoming.select("accession", *given).join(existing.select("accession"), "accession", "left_anti")
-    added = assign_ids(unseen, ["accession"], highest(existing))
+    added = assign_ids(unseen, ["accession"], highest(existing) if after is None else after)
     return updated.unionByName(added, allowMissingColumns=True)
 
 
+def upsert_stored_samples(spark: SparkSession, path: str, incoming: DataFrame,
+                          update_columns: Sequence[str] | None = None) -> list[int]:
+    """``sample_upsert`` into a table stored in buckets of the accession; returns the touched buckets.
+
+    Only these are read and replaced; of the others no more than the ids are read, for the largest.
+    """
+    last = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+    def upsert(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        return sample_upsert(stored, rows, update_columns, F.lit(last))
+
+    return buckets.merge(spark, path, incoming, "accession", upsert)
+
+
 # What a bulk load changes in a known sample. The first columns always, the others when
 # the load brings them; further columns are only set for new samples.
 BULK_UPDATE_ALWAYS = (

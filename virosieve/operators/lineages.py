@@ -27,7 +27,10 @@ def lineages_in_system(tables: Tables, system: str) -> DataFrame:
 
 
 def lineage_descendants(tables: Tables) -> DataFrame:
-    """Every direct and indirect (parent, child) pair of the hierarchy, once."""
+    """Every direct and indirect (parent, child) pair of the hierarchy, once; from the stored closure where
+    there is one."""
+    if "lineage_closure" in tables:
+        return tables.lineage_closure
     return transitive_closure(tables.lineages_immediate_children)
 
 

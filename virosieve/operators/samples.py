@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.dates import DEFAULT_MAX_SPAN_DAYS, MONTH, DateBin, max_span_filter, mid_collection_date
-from virosieve.functions.fuzzy import MIN_SCORE, match_ratio
+from virosieve.functions.fuzzy import MIN_SCORE, match_ratio, ratio_bound
 from virosieve.operators.common import (
     Filter, change_axis, filtered, intrahost_window, ww_flag,
 )
@@ -61,7 +61,9 @@ def distinct_values_search(tables: Tables, field: str, search: str | None, where
     at = F.instr(text, F.lit(needle)) - 1
     # two branches, so the similarity UDF runs for values without a substring hit only
     hits = values.filter(at >= 0).select("value", F.lit(1.0).alias("score"))
-    rest = values.filter(at < 0).select("value", match_ratio(needle, text).alias("score"))
+    # and only for those whose letters can reach the threshold (less a little for the rounding of the bound)
+    able = values.filter((at < 0) & (ratio_bound(needle, text) >= MIN_SCORE - 1e-9))
+    rest = able.select("value", match_ratio(needle, text).alias("score"))
     scored = hits.unionByName(rest.filter(F.col("score") >= MIN_SCORE))
     return scored.orderBy(F.desc("score"), at, F.length("value"), "value")
 

@@ -42,10 +42,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(*_PLACE)
 
 
-def read_bucket_of(spark: SparkSession, path: str, buckets: int, key: str, value) -> DataFrame:
-    """The rows of one value of the key; only its bucket is read."""
-    wanted = spark.range(1).select(F.lit(value).alias(key)).select(bucket_of(key, buckets)).first()[0]
-    return spark.read.parquet(path).filter((F.col("bucket") == wanted) & (F.col(key) == value)).drop(*_PLACE)
+def read_touched(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows in the buckets of the keys in ``wanted``; other buckets are not read."""
+    numbers = wanted.select(bucket_of(key, count_of(spark, path) or BUCKETS).alias("bucket")).distinct()
+    touched = [r["bucket"] for r in numbers.collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop(*_PLACE)
 
 
 def count_of(spark: SparkSession, path: str) -> int | None:

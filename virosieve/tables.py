@@ -10,7 +10,7 @@ edges clustered by sample; operators that start from samples read them.
 
 Derived tables that loads keep up (``operators.upkeep``) are read where they are given:
 ``metric_sum_cache`` and ``variant_sum_cache`` (score sums per sample and metric), ``first_seen`` (first
-dates per lineage and change), ``lineage_closure`` (pairs with their number of paths).
+dates per lineage and change), ``lineage_closure`` (all pairs of the hierarchy).
 
 Set algebra on carrier sets is then ordinary relational work (semi-joins, distinct, counts) that
 Spark can partition on either key; no row ever holds the carriers of a whole change.
@@ -56,7 +56,7 @@ TABLE_NAMES = (
 GEO_COLUMNS = ("country_name", "admin1_name", "admin2_name", "admin3_name")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
@@ -77,7 +77,7 @@ class Tables:
     def load(cls, spark: SparkSession, root: str, names=None, fmt: str = "parquet") -> "Tables":
         """Tables written below ``root``, one directory per name: the given ones, or all that exist."""
         if names is None:
-            names = [name for name in TABLE_NAMES if _exists(spark, f"{root}/{name}")]
+            names = [name for name in TABLE_NAMES if path_exists(spark, f"{root}/{name}")]
 
         def stored(name: str) -> DataFrame:
             # tables in buckets have two columns that tell their place
