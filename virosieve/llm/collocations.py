@@ -232,8 +232,11 @@ def scored(counts: DataFrame) -> DataFrame:
     cuts = cuts.join(shown.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(shown.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     wide = "cast({} as decimal(38, 0))"
+    # a language may hold most phrases: its total is repeated for each part of it
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).cast("int")
+    n = n.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     value = F.expr(f"({wide.format('1000')} * a * n) div ({wide.format('l')} * r)")
-    cuts = cuts.join(n, "lang").withColumn("score", value)
+    cuts = cuts.withColumn("part", part).join(n, ["lang", "part"]).withColumn("score", value)
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "size", "a", "l", "r", "n")).alias("b"))
     return best.select("lang", "b.size", "phrase", "b.a", "b.l", "b.r", "b.n", "b.score")
 
