@@ -31,7 +31,7 @@ def hot(spark, tables):
     amino_acids = tables.amino_acids.unionByName(
         filler.select(
             "id", F.lit("LARGE").alias("gff_feature"), F.col("id").cast("int").alias("position_aa"), F.lit("A").alias("ref_aa"),
-            F.lit("K").alias("alt_aa"), F.lit("r0").alias("ref_codon"), F.concat(F.lit("c"), "id").alias("alt_codon"),
+            F.lit("K").alias("alt_aa"), F.lit("r0").alias("ref_codon"), F.concat(F.lit("c"), "id").alias("alt_codon"), F.col("id").alias("canonical_id"),
         )
     )
     hot_sample = filler.select(F.col("id").alias("change_id"), F.lit(8).cast("bigint").alias("sample_id"))

@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from virosieve.sources import annotations, changes, lineages, samples, scores, sinks
-from virosieve.sources.delimited import HeaderError, read_delimited
+from virosieve.sources.delimited import HeaderError, read_delimited, scan
 
 MUTATION_HEADER = list(changes.MUTATION_COLUMNS.values())
 CODON_HEADER = list(changes.INTRAHOST_CODON_COLUMNS.values())
@@ -170,3 +171,57 @@ def test_conflict_report(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "r"), header=True).first().ref == "C"
     assert sinks.write_conflict_report(some.filter("false"), str(tmp_path / "r2")) == 0
     assert spark.read.text(str(tmp_path / "r2")).first().value == "no conflicts found"
+
+
+def test_many_files_with_several_headers(spark, tmp_path):
+    folders = [tmp_path / str(i) for i in range(5)]
+    for folder in folders:
+        folder.mkdir()
+    for i in range(5000):
+        header, row = (["a", "b", "c"], [i, "x", ""]) if i % 3 else (["c", "extra", "b", "a"], ["", "no", "y", i])
+        write(folders[i % 5] / f"f{i}.tsv", [header, row, header] if i % 7 == 0 else [header, row])
+    got = read_delimited(spark, str(tmp_path), "\t", ["a", "b", "c"])
+    seen = got.agg(F.count("*"), F.countDistinct("a"), F.count_if(F.col("b") == "y"), F.count("c"), F.countDistinct("input_order.file")).first()
+    assert tuple(seen) == (5000, 5000, 1667, 0, 5000)
+    with pytest.raises(HeaderError, match="missing columns"):
+        read_delimited(spark, str(tmp_path), "\t", ["a", "extra"])
+
+
+def test_headers_come_from_tasks(spark, tmp_path, monkeypatch):
+    """No file is opened by the driver: the files' headers are rows of a job."""
+    for i in range(40):
+        write(tmp_path / f"f{i}.tsv", [["a", f"b{i % 4}"], [i, 1]])
+    found = scan(spark, str(tmp_path), "\t")
+    assert len(found.headers) == 4 and found.firsts.count() == 40
+    chosen = found.with_header(found.headers[:1])
+    assert chosen.rows(["a"]).count() == 10
+    assert found.rows(["a"], ["b1"]).filter("b1 IS NOT NULL").count() == 10
+
+
+def test_large_files_are_split_and_blank_lines_left_out(spark, tmp_path):
+    write(tmp_path / "big.tsv", [["n", "text"]] + [[i, "größe" * 5] for i in range(30_000)] + [[""], ["", ""]])
+    write(tmp_path / "small.tsv", [["text", "n"], ["t", 1]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        rows = read_delimited(spark, str(tmp_path), "\t", ["n", "text"])
+        assert rows.select("input_order.block").distinct().count() > 5
+        assert tuple(rows.agg(F.count("n"), F.sum(F.col("n").cast("long"))).first()) == (30_001, 30_000 * 29_999 // 2 + 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rejected_scores_are_told(spark, tmp_path):
+    rows = [
+        ["sequential_site", "wildtype", "mutant", "stability", "mouse sera escape"],
+        ["5", "A", "K", "1.5", " "], ["6", "A", "", "1.5", "2"], ["x", "A", "K", "1", "2"], ["7", "A", "D", "n/a", "two"],
+    ]
+    path = write(tmp_path / "d.csv", rows, ",")
+    rejects = scores.read_score_rejects(spark, path, "ha_csv").orderBy("file", "block", "record").collect()
+    assert [(r.problem, r.phenotype_metric_name, r.cell) for r in rejects] == [
+        (scores.NO_CHANGE, None, "6,A,"), (scores.NO_CHANGE, None, "x,A,K"),
+        (scores.NO_NUMBER, "stability", "n/a"), (scores.NO_NUMBER, "mouse_sera_escape", "two"),
+    ]
+    assert all(r.file.endswith("d.csv") for r in rejects)
+    staged = scores.stage_scores(spark, path, "ha_csv", str(tmp_path / "staged"))
+    assert (staged.n_scores, staged.n_records_rejected, staged.n_cells_rejected) == (1, 2, 2)
+    assert staged.scores.count() == 1 and staged.rejects.count() == 4

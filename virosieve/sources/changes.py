@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 
-from virosieve.sources.delimited import HeaderError, cast_columns, list_files, read_delimited, read_headers, renamed
+from virosieve.sources.delimited import DelimitedFiles, Header, HeaderError, cast_columns, renamed, scan
 
 # Model column -> header of consensus mutation files.
 MUTATION_COLUMNS = {
@@ -103,24 +101,42 @@ RECORD_TYPES = {
 SEPARATOR = "\t"
 
 
+def _type_of(header: Header) -> str:
+    """The record type whose columns a header has, in any order and no others."""
+    for record_type, (columns, _) in RECORD_TYPES.items():
+        if set(header.names) == set(columns.values()) and len(header.names) == len(columns):
+            return record_type
+    raise HeaderError(f"{header.example}: the header fits no record type: {list(header.names)}")
+
+
+def _by_type(files: DelimitedFiles) -> dict[str, list[Header]]:
+    by_type: dict[str, list[Header]] = {name: [] for name in RECORD_TYPES}
+    for header in files.headers:
+        by_type[_type_of(header)].append(header)
+    return by_type
+
+
 def classify_by_header(spark: SparkSession, paths) -> dict[str, dict[str, tuple[str, ...]]]:
     """Files per record type, with their header. The header must be exactly that of one type, in any
-    order."""
-    by_type: dict[str, dict[str, tuple[str, ...]]] = {name: {} for name in RECORD_TYPES}
-    for path, names in read_headers(spark, list_files(spark, paths), SEPARATOR).items():
-        for record_type, (columns, _) in RECORD_TYPES.items():
-            if set(names) == set(columns.values()) and len(names) == len(columns):
-                by_type[record_type][path] = names
-                break
-        else:
-            raise HeaderError(f"{path}: the header fits no record type: {list(names)}")
-    return by_type
+    order. The files are listed here one by one; reading them needs no such list."""
+    files = scan(spark, paths, SEPARATOR)
+    by_type, names = _by_type(files), {h.text: h.names for h in files.headers}
+    found: dict[str, dict[str, tuple[str, ...]]] = {name: {} for name in RECORD_TYPES}
+    type_of = {header.text: record_type for record_type, headers in by_type.items() for header in headers}
+    for file, text in files.firsts.orderBy("file").collect():
+        found[type_of[text]][file] = names[text]
+    return found
 
 
-def _read(spark, paths, record_type: str, headers: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def _typed(files: DelimitedFiles, record_type: str) -> DataFrame:
     columns, types = RECORD_TYPES[record_type]
-    raw = read_delimited(spark, paths, SEPARATOR, columns.values(), exact=True, headers=headers)
-    return cast_columns(renamed(raw, columns).drop("input_order"), types)
+    return cast_columns(renamed(files.rows(columns.values()), columns).drop("input_order"), types)
+
+
+def _read(spark, paths, record_type: str) -> DataFrame:
+    files = scan(spark, paths, SEPARATOR)
+    files.check(RECORD_TYPES[record_type][0].values(), exact=True)
+    return _typed(files, record_type)
 
 
 def read_consensus_mutations(spark: SparkSession, paths) -> DataFrame:
@@ -137,8 +153,5 @@ def read_intrahost_codons(spark: SparkSession, paths) -> DataFrame:
 
 def read_classified(spark: SparkSession, paths) -> dict[str, DataFrame]:
     """One frame per record type present among mixed files."""
-    return {
-        record_type: _read(spark, None, record_type, headers)
-        for record_type, headers in classify_by_header(spark, paths).items()
-        if headers
-    }
+    files = scan(spark, paths, SEPARATOR)
+    return {t: _typed(files.with_header(headers), t) for t, headers in _by_type(files).items() if headers}

@@ -4,12 +4,15 @@ differently."""
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from virosieve.plans.durable import cut
+
 
 class HeaderError(ValueError):
     """A file does not have the columns its format demands."""
@@ -43,57 +46,123 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], suffix: str = ""
     return sorted(found)
 
 
-def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Column names in the first line of a file; nothing else of it is read."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    if line is None:
-        raise HeaderError(f"{path} has no header")
-    return [name.strip() for name in next(csv.reader([line.lstrip("﻿")], delimiter=sep))]
-
-
-def read_headers(spark: SparkSession, files: Iterable[str], sep: str) -> dict[str, tuple[str, ...]]:
-    files = list(files)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = pool.map(lambda path: tuple(read_header(spark, path, sep)), files)
-        return dict(zip(files, headers))
-
-
-def read_delimited(spark: SparkSession, paths, sep: str, required: Iterable[str], *, exact: bool = False,
-                   headers: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Header:
+    """A distinct first line: its text, its column names, and a file that has it."""
+
+    text: str
+    names: tuple[str, ...]
+    example: str
+
+
+@dataclass(frozen=True)
+class DelimitedFiles:
+    """Delimited files of one separator and their distinct headers, of which there are few.
+
+    ``firsts(file, header)`` tells the header of each file. It is a written table; files meet it by a join.
+    """
+
+    spark: SparkSession
+    files: list[str]
+    sep: str
+    firsts: DataFrame
+    headers: list[Header]
+
+    def with_header(self, chosen: Iterable[Header]) -> "DelimitedFiles":
+        """The files with one of the chosen headers; no file is listed or read."""
+        return replace(self, headers=[h for h in self.headers if h in set(chosen)])
+
+    def check(self, required: Iterable[str], exact: bool = False) -> None:
+        for header in self.headers:
+            missing = set(required) - set(header.names)
+            surplus = set(header.names) - set(required) if exact else set()
+            if missing or surplus:
+                raise HeaderError(
+                    f"{header.example}: missing columns {sorted(missing)}, unexpected columns {sorted(surplus)}"
+                )
+
+    def rows(self, required: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:
+        """All records in one scan of the lines: cells as text, blank ones null, and ``input_order``.
+
+        The header of its file comes to each line (by a join on the file where headers differ), and tells
+        which columns its cells are; an optional column that it lacks is null. Lines that repeat the header
+        in a file's first block are left out, as are blank lines.
+        """
+        names = [*required, *optional]
+        lines = _lines(self.spark, self.files).withColumn("input_order", input_order())
+        every = self.firsts.select("header").distinct().count() == len(self.headers)
+        if every and len(self.headers) == 1:
+            lines = lines.withColumn("layout", F.lit(0))
+        else:
+            known = self.spark.createDataFrame([(h.text, i) for i, h in enumerate(self.headers)], "header string, layout int")
+            lines = lines.join(self.firsts.join(F.broadcast(known), "header").drop("header"), "file")
+        record, is_header = None, F.lit(False)
+        for i, header in enumerate(self.headers):
+            here = F.col("layout") == i
+            is_header = is_header | (here & (F.col("value") == header.text))
+            cells = F.from_csv(
+                "value", ", ".join(f"c{k} string" for k in range(len(header.names))),
+                {"sep": self.sep, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"},
+            )
+            cell = {name: cells[f"c{k}"] for k, name in enumerate(header.names)}
+            fields = F.struct(*[cell.get(name, F.lit(None).cast("string")).alias(f"c{k}") for k, name in enumerate(names)])
+            record = fields if record is None and len(self.headers) == 1 else F.when(here, fields).otherwise(record)
+        # Spark's own reader leaves lines of blanks and control characters out, too
+        kept = lines.filter(~((F.col("block") == 0) & is_header) & F.col("value").rlike(r"[^\x00-\x20]"))
+        parsed = kept.select(record.alias("record"), "input_order")
+        return parsed.select(*[F.col(f"record.c{k}").alias(name) for k, name in enumerate(names)], "input_order")
+
+
+def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``value, file, block`` of every line."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(files).select("value", *place, "_metadata")
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of rows with the same file."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(0).dictionary_encode()
+        starts = np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1))
+        if codes.dictionary[0].as_py() == last:
+            starts = starts[1:]
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        if len(starts):
+            yield batch.take(pa.array(starts))
+
+
+def scan(spark: SparkSession, paths, sep: str) -> DelimitedFiles:
+    """Find the files and their headers.
+
+    Tasks take the first line of each file from a scan of the files' first blocks; the driver lists folders and
+    gets the distinct headers only.
+    """
+    files = list_files(spark, paths)
+    if not files:
+        raise FileNotFoundError(str(paths))
+    firsts = _lines(spark, files).filter("block = 0").select("file", F.col("value").alias("header"))
+    firsts = cut(firsts.mapInArrow(_first_of_each, "file string, header string"), "headers")
+    headers = []
+    for text, example in firsts.groupBy("header").agg(F.min("file")).orderBy("header").collect():
+        names = next(csv.reader([text.lstrip("\ufeff")], delimiter=sep), [])
+        if not any(name.strip() for name in names):
+            raise HeaderError(f"{example} has no header")
+        headers.append(Header(text, tuple(name.strip() for name in names), example))
+    return DelimitedFiles(spark, files, sep, firsts, headers)
+
+
+def read_delimited(spark: SparkSession, paths, sep: str, required: Iterable[str], *, exact: bool = False) -> DataFrame:
     """All cells as text, blank cells as null, with a sortable ``input_order`` column.
 
-    Every file must have the ``required`` columns, and no others when ``exact``. Files are read
-    together per column order, since Spark matches columns of a CSV file by place.
+    Every file must have the ``required`` columns, in any order, and no others when ``exact``.
     """
     required = list(required)
-    if headers is None:
-        headers = read_headers(spark, list_files(spark, paths), sep)
-    groups = defaultdict(list)
-    for path, names in headers.items():
-        missing = set(required) - set(names)
-        surplus = set(names) - set(required) if exact else set()
-        if missing or surplus:
-            raise HeaderError(f"{path}: missing columns {sorted(missing)}, unexpected columns {sorted(surplus)}")
-        groups[tuple(names)].append(path)
-    if not groups:
-        raise FileNotFoundError(str(paths))
-    frames = []
-    for names, files in groups.items():
-        schema = ", ".join(f"`{name}` string" for name in names)
-        rows = spark.read.csv(
-            files, schema=schema, sep=sep, header=True, quote='"', escape='"', nullValue="", mode="PERMISSIVE"
-        )
-        frames.append(rows.select(*[F.col(f"`{name}`") for name in required], input_order()))
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+    found = scan(spark, paths, sep)
+    found.check(required, exact)
+    return found.rows(required)
 
 
 def input_order():

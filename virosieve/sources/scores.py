@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from virosieve.functions.values import blank_to_null, whole_from_decimal_text
-from virosieve.sources.delimited import HeaderError, list_files, read_delimited, read_headers
+from virosieve.sources.delimited import HeaderError, scan
 
 
 @dataclass(frozen=True)
@@ -79,42 +78,102 @@ def _whole(value: Column) -> Column:
     return F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*\z"), value.try_cast("bigint"))
 
 
-def read_scores(spark: SparkSession, paths, layout: str | ScoreLayout) -> DataFrame:
-    """Long scores: change columns, ``phenotype_metric_name``, ``phenotype_metric_assay_type``,
-    ``value``, ``input_order``.
+CHANGE = ["gff_feature", "position_aa", "ref_aa", "alt_aa"]
+NO_CHANGE = "no readable change"
+NO_NUMBER = "not a number"
 
-    Records without a readable change and cells without a readable number are left out. Files may hold
-    different metrics; each file gives those it has, and one without any is an error.
+
+def score_outcomes(spark: SparkSession, paths, layout: str | ScoreLayout) -> DataFrame:
+    """What becomes of every record and cell, from one scan: the columns of ``read_scores``, and for rejects
+    a ``problem`` with the text in ``cell``.
+
+    A record without a readable change is one row, whose ``cell`` holds its change fields; a cell that
+    is no number is one row. Blank cells are missing, not rejected. Files may hold different metrics;
+    each gives those it has, and one without any is an error.
     """
     layout = LAYOUTS[layout] if isinstance(layout, str) else layout
-    headers = read_headers(spark, list_files(spark, paths), layout.sep)
-    groups: dict[tuple[str, ...], dict] = {}
-    for path, names in headers.items():
-        present = tuple(n for n, header in layout.metrics.items() if layout.all_metrics or header in names)
-        if not present:
-            raise HeaderError(f"{path}: no metric column among {sorted(layout.metrics.values())}")
-        groups.setdefault(present, {})[path] = names
-    return reduce(DataFrame.unionByName, [_long_scores(spark, paths, layout, metrics, files) for metrics, files in groups.items()])
-
-
-def _long_scores(spark: SparkSession, paths, layout: ScoreLayout, metrics: tuple[str, ...], headers: dict) -> DataFrame:
-    """The scores of the files that hold exactly these metrics."""
     site = [layout.position, layout.ref, layout.alt, *([layout.feature_column] if layout.feature_column else [])]
-    present = {name: layout.metrics[name] for name in metrics}
-    raw = read_delimited(spark, paths, layout.sep, [*site, *present.values()], headers=headers)
+    metrics = list(layout.metrics.values())
+    files = scan(spark, paths, layout.sep)
+    files.check([*site, *(metrics if layout.all_metrics else [])])
+    for header in files.headers:
+        if not set(metrics) & set(header.names):
+            raise HeaderError(f"{header.example}: no metric column among {sorted(metrics)}")
+    raw = files.rows(site, metrics)
 
     position = blank_to_null(F.col(layout.position))
     feature = F.lit(layout.feature) if layout.feature_column is None else blank_to_null(F.col(layout.feature_column))
+    cells = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"`{header}`").alias("cell")) for name, header in layout.metrics.items()])
     records = raw.select(
         feature.alias("gff_feature"),
         (whole_from_decimal_text(position) if layout.decimal_position else _whole(position)).alias("position_aa"),
         blank_to_null(F.col(layout.ref)).alias("ref_aa"),
         blank_to_null(F.col(layout.alt)).alias("alt_aa"),
         "input_order",
-        *[F.col(f"`{header}`").try_cast("double").alias(name) for name, header in present.items()],
+        F.filter(cells, lambda c: c["cell"].rlike(r"\S")).alias("cells"),
+        F.concat_ws(layout.sep, *[F.coalesce(F.col(f"`{name}`"), F.lit("")) for name in site]).alias("site"),
+    )
+    readable = F.lit(True)
+    for name in CHANGE:
+        readable = readable & F.col(name).isNotNull()
+    unreadable = F.array(F.struct(F.lit(None).cast("string").alias("metric"), F.col("site").alias("cell")))
+    rows = records.select(*CHANGE, "input_order", readable.alias("readable"), F.explode(F.when(readable, F.col("cells")).otherwise(unreadable)).alias("c"))
+    value = F.when(F.col("readable"), F.col("c.cell").try_cast("double"))
+    return rows.select(
+        *CHANGE,
+        "input_order",
+        F.col("c.metric").alias("phenotype_metric_name"),
+        value.alias("value"),
+        F.lit(layout.assay_type).alias("phenotype_metric_assay_type"),
+        F.when(~F.col("readable"), NO_CHANGE).when(value.isNull(), NO_NUMBER).alias("problem"),
+        F.when(value.isNull(), F.col("c.cell")).alias("cell"),
     )
-    change = ["gff_feature", "position_aa", "ref_aa", "alt_aa"]
-    long = records.na.drop(subset=change).unpivot(
-        [*change, "input_order"], list(present), "phenotype_metric_name", "value"
+
+
+def _good(outcomes: DataFrame) -> DataFrame:
+    return outcomes.filter(F.col("problem").isNull()).drop("problem", "cell")
+
+
+def _rejects(outcomes: DataFrame) -> DataFrame:
+    """Rejected records and cells with the file they lie in and their place there."""
+    return outcomes.filter(F.col("problem").isNotNull()).select("problem", "phenotype_metric_name", "cell", "input_order.*")
+
+
+def read_scores(spark: SparkSession, paths, layout: str | ScoreLayout) -> DataFrame:
+    """Long scores: change columns, ``phenotype_metric_name``, ``phenotype_metric_assay_type``,
+    ``value``, ``input_order``.
+
+    Records without a readable change and cells without a readable number are left out;
+    ``read_score_rejects`` tells them, and ``stage_scores`` does both in one pass.
+    """
+    return _good(score_outcomes(spark, paths, layout))
+
+
+def read_score_rejects(spark: SparkSession, paths, layout: str | ScoreLayout) -> DataFrame:
+    """``problem, phenotype_metric_name, cell, file, block, record`` of all that ``read_scores`` leaves out."""
+    return _rejects(score_outcomes(spark, paths, layout))
+
+
+@dataclass(frozen=True)
+class StagedScores:
+    scores: DataFrame
+    rejects: DataFrame
+    n_scores: int
+    n_records_rejected: int
+    n_cells_rejected: int
+
+
+def stage_scores(spark: SparkSession, paths, layout: str | ScoreLayout, path: str) -> StagedScores:
+    """Write good and bad records apart below ``path``, in one pass over the files that also counts them."""
+    seen = Observation()
+    outcomes = score_outcomes(spark, paths, layout).withColumn("rejected", F.col("problem").isNotNull())
+    counted = outcomes.observe(
+        seen,
+        F.count_if(F.col("problem").isNull()).alias("n_scores"),
+        F.count_if(F.col("problem") == NO_CHANGE).alias("n_records_rejected"),
+        F.count_if(F.col("problem") == NO_NUMBER).alias("n_cells_rejected"),
     )
-    return long.filter(F.col("value").isNotNull()).withColumn("phenotype_metric_assay_type", F.lit(layout.assay_type))
+    counted.write.partitionBy("rejected").parquet(path)
+    stored = spark.read.schema(outcomes.schema).parquet(path)
+    good, bad = stored.filter("not rejected").drop("rejected"), stored.filter("rejected").drop("rejected")
+    return StagedScores(_good(good), _rejects(bad), **seen.get)

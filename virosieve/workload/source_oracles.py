@@ -64,6 +64,13 @@ def source_oracles() -> dict[str, str]:
         )
     )
     o["src_demixed_dir"] = sql("SELECT accession, lineage_name, round(abundance, 6) AS abundance, input_order FROM file_demixed")
+    o["src_demixed_dir_malformed"] = sql(
+        "SELECT accession, CASE kind WHEN 0 THEN 'accession differs from the file name' WHEN 1 THEN 'no lineages line' "
+        "WHEN 2 THEN 'no abundances line' WHEN 3 THEN 'an abundance is not a number' "
+        # without its only number the line holds an empty text
+        "ELSE CASE WHEN n = 1 THEN 'an abundance is not a number' ELSE 'lineages and abundances differ in length' END END AS problem "
+        "FROM (SELECT accession, cast(substr(accession, 2) AS bigint) % 5 AS kind, count(*) AS n FROM file_demixed GROUP BY accession)"
+    )
     o["src_consensus_lineages"] = sql("SELECT accession, lineage_name FROM raw_calls")
     o["src_consensus_lineages_csv"] = o["src_consensus_lineages"]
     o["src_lineage_edges"] = sql("SELECT parent_name, child_name FROM raw_hierarchy")
@@ -88,6 +95,19 @@ def source_oracles() -> dict[str, str]:
     o["src_scores_ha_csv_neuac_neugc"] = scores({"entry_in_neuac": "stability", "neugc_usage_increase": "escape"}, ha, "DMS")
     o["src_scores_pb2_csv"] = scores({"mutdiffsel": "stability"}, "'XAJ25426.1'", "DMS")
     o["src_scores_sc2_evescape_csv"] = scores({"evescape": "stability"}, "gff_feature", "EVEscape")
+    site = "concat(cast(position_aa AS varchar), ',', ref_aa, ',', coalesce(alt_aa, ''))"
+    unread = "stability IS NOT NULL AND try_cast(stability AS double) IS NULL"
+    o["src_scores_rejects"] = sql(
+        f"SELECT 'no readable change' AS problem, NULL AS phenotype_metric_name, {site} AS cell, true AS has_place FROM file_scores WHERE alt_aa IS NULL "
+        f"UNION ALL SELECT 'not a number', 'stability', stability, true FROM file_scores WHERE alt_aa IS NOT NULL AND {unread}"
+    )
+    o["src_scores_staged"] = sql(
+        "SELECT n_scores AS scores_stored, value_sum, n_records_rejected + n_cells_rejected AS rejects_stored, n_scores, n_records_rejected, n_cells_rejected "
+        "FROM (SELECT cast(sum(CASE WHEN alt_aa IS NULL THEN 0 WHEN try_cast(stability AS double) IS NULL THEN 1 ELSE 2 END) AS bigint) AS n_scores, "
+        "round(sum(CASE WHEN alt_aa IS NOT NULL THEN coalesce(try_cast(stability AS double), 0) + try_cast(escape AS double) END), 6) AS value_sum, "
+        "count(*) FILTER (alt_aa IS NULL) AS n_records_rejected, "
+        f"count(*) FILTER (alt_aa IS NOT NULL AND {unread}) AS n_cells_rejected FROM file_scores)"
+    )
     # a second file holds one of the two metrics
     o["src_scores_differing_metrics"] = f"({o['src_scores_wide']}) UNION ALL ({scores({'stability': 'stability'}, ha, 'DMS')})"
     o["load_samples"] = sql(

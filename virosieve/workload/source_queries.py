@@ -3,8 +3,11 @@ the layout of a source, and the reader under test reads them back."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.operators import ingest_changes, ingest_samples
@@ -15,17 +18,37 @@ from virosieve.workload.queries import Query, portable
 from virosieve.workload.raw import raw_frame
 
 
-def write_file(df: DataFrame, columns: Mapping[str, str], sep: str, reverse: bool = False) -> str:
+def write_file(df: DataFrame, columns: Mapping[str, str], sep: str, reverse: bool = False, path: str | None = None) -> str:
     """``df`` as delimited files with the headers of a source format; returns the folder."""
     items = list(columns.items())
     if reverse:
         items.reverse()
-    path = fresh_path(df.sparkSession, "source")
+    path = path or fresh_path(df.sparkSession, "source")
     shown = df.select(*[F.col(name).cast("string").alias(header) for name, header in items])
     shown.write.csv(path, sep=sep, header=True, quote='"', escape='"', emptyValue="")
     return path
 
 
+def write_texts(files: DataFrame, path: str) -> str:
+    """One text file per row of ``files(name, text)`` in a folder that all tasks can reach, written by the tasks.
+
+    A file appears whole under its name, so a task that runs again does no harm.
+    """
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8") as out:
+                    out.write(text)
+                os.replace(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("name", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return path
+
 
 def source_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
@@ -88,22 +111,36 @@ def source_queries() -> dict[str, Query]:
             out = part if out is None else out.unionByName(part)
         return out
 
-    @source("src_demixed_dir")
-    def _(spark, sf_dir):
-        # the text of one small file per accession; it lists the lineages of one sample
+    def demixed_dir(spark, sf_dir, spoilt: bool = False) -> str:
+        """A folder with one small ``.demixed`` file per accession, which lists the lineages of one sample.
+
+        Of the spoilt files, by the number in the accession, one in five each has another accession inside,
+        no lineages, no abundances, a text among the numbers, or a number too few.
+        """
         rows = raw_frame(spark, sf_dir, "file_demixed")
-        text = rows.groupBy("accession").agg(
-            F.sort_array(F.collect_list(F.struct("input_order", "lineage_name", "abundance"))).alias("calls")
-        ).select(
-            "accession",
+        calls = rows.groupBy("accession").agg(F.sort_array(F.collect_list(F.struct("input_order", "lineage_name", "abundance"))).alias("calls"))
+        kind = F.substring("accession", 2, 20).cast("bigint") % 5 if spoilt else F.lit(-1)
+        numbers = F.col("calls.abundance").cast("array<string>")
+        numbers = F.when(kind == 3, F.concat(F.array(F.lit("some")), F.slice(numbers, F.lit(2), F.size(numbers) - 1))).otherwise(numbers)
+        numbers = F.when(kind == 4, F.slice(numbers, F.lit(1), F.size(numbers) - 1)).otherwise(numbers)
+        files = calls.select(
+            F.concat("accession", F.lit(".demixed")).alias("name"),
             F.concat_ws(
                 "\n",
-                F.concat(F.lit("\t"), "accession", F.lit("_variants.tsv")),
-                F.concat(F.lit("lineages\t"), F.array_join(F.col("calls.lineage_name"), " ")),
-                F.concat(F.lit("abundances\t"), F.array_join(F.col("calls.abundance").cast("array<string>"), " ")),
+                F.concat(F.lit("\t"), F.when(kind == 0, F.lit("other")).otherwise(F.col("accession")), F.lit("_variants.tsv")),
+                F.when(kind != 1, F.concat(F.lit("lineages\t"), F.array_join(F.col("calls.lineage_name"), " "))),
+                F.when(kind != 2, F.concat(F.lit("abundances\t"), F.array_join(numbers, " "))),
             ).alias("text"),
         )
-        return lineages.parse_demixed(text.withColumnRenamed("text", "value"))
+        return write_texts(files, fresh_path(spark, "demixed"))
+
+    @source("src_demixed_dir")
+    def _(spark, sf_dir):
+        return lineages.read_demixed_dir(spark, demixed_dir(spark, sf_dir))
+
+    @source("src_demixed_dir_malformed")
+    def _(spark, sf_dir):
+        return lineages.read_demixed_dir(spark, demixed_dir(spark, sf_dir, spoilt=True), malformed=True)
 
     @source("src_consensus_lineages")
     def _(spark, sf_dir):
@@ -169,6 +206,25 @@ def source_queries() -> dict[str, Query]:
     for layout, metrics in layouts.items():
         layout_query(layout, metrics)
 
+    def odd_score_file(spark, sf_dir) -> str:
+        site = {"position_aa": "sequential_site", "ref_aa": "wildtype", "alt_aa": "mutant"}
+        return score_file(spark, sf_dir, "ha_csv", {**site, "stability": "stability", "escape": "mouse sera escape"})
+
+    @source("src_scores_rejects")
+    def _(spark, sf_dir):
+        rejects = scores.read_score_rejects(spark, odd_score_file(spark, sf_dir), "ha_csv")
+        place = F.col("file").endswith(".csv") & (F.col("block") >= 0) & (F.col("record") >= 0)
+        return rejects.select("problem", "phenotype_metric_name", "cell", place.alias("has_place"))
+
+    @source("src_scores_staged")
+    def _(spark, sf_dir):
+        # good and bad records apart, and their numbers, from one pass over the files
+        staged = scores.stage_scores(spark, odd_score_file(spark, sf_dir), "ha_csv", fresh_path(spark, "scores"))
+        told = {"n_scores": staged.n_scores, "n_records_rejected": staged.n_records_rejected, "n_cells_rejected": staged.n_cells_rejected}
+        stored = staged.scores.groupBy().agg(F.count("*").alias("scores_stored"), F.sum("value").alias("value_sum"))
+        stored = stored.crossJoin(staged.rejects.groupBy().agg(F.count("*").alias("rejects_stored")))
+        return stored.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in told.items()])
+
     @source("src_scores_differing_metrics")
     def _(spark, sf_dir):
         site = {"position_aa": "sequential_site", "ref_aa": "wildtype", "alt_aa": "mutant"}
@@ -180,10 +236,11 @@ def source_queries() -> dict[str, Query]:
 
     @source("load_samples")
     def _(spark, sf_dir):
-        # the run table twice in one file, first with another center: the last record of an accession counts
-        runs = raw_frame(spark, sf_dir, "file_runs")
-        both = runs.withColumn("center_name", F.lit("first")).withColumn("place", F.lit(0)).unionByName(runs.withColumn("place", F.lit(1)))
-        path = write_file(both.orderBy("place").coalesce(1), samples.RUN_COLUMNS, ",")
+        # the run table twice, in two folders that are read in the order of their names, first with another
+        # center: the last record of an accession counts
+        runs, path = raw_frame(spark, sf_dir, "file_runs"), fresh_path(spark, "source")
+        write_file(runs.withColumn("center_name", F.lit("first")), samples.RUN_COLUMNS, ",", path=f"{path}/0")
+        write_file(runs, samples.RUN_COLUMNS, ",", path=f"{path}/1")
         base = binding.tables(spark, sf_dir)
         known = base.samples.filter("id % 3 = 0").select("id", "accession", F.lit("old").alias("center_name"), "geo_location_id")
         loaded = ingest_samples.load_samples(base.replace(samples=known), samples.read_sample_runs(spark, path, ","))
