@@ -41,9 +41,11 @@ def hot(spark, tables):
     values = tables.phenotype_metric_values.unionByName(
         filler.select(F.lit(2).alias("phenotype_metric_id"), F.col("id").alias("amino_acid_id"), F.lit(20.0).alias("value"))
     )
+    edges = cut(tables.cns_aa.unionByName(hot_sample).distinct().repartition(8))
     return tables.replace(
         amino_acids=cut(amino_acids),
-        cns_aa=cut(tables.cns_aa.unionByName(hot_sample).distinct().repartition(8)),
+        cns_aa=edges,
+        cns_aa_by_sample=edges,  # the same edges in both layouts
         annotations_amino_acids=cut(annotated),
         phenotype_metric_values=cut(values),
     )
