@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from virosieve.functions.changes import CODON_TABLE
-from virosieve.workload.binding import with_clause
+from virosieve.workload.binding import on_nucleotides, with_clause
 from virosieve.workload.oracles import COMMON, DAYS, MONTH, WEEK, WW, _range_text
 from virosieve.workload.queries import SAMPLE_WHERE
 from virosieve.workload.raw import RAW
@@ -385,6 +385,7 @@ def building_block_oracles() -> dict[str, str]:
     o["freq_overlap_filter"] = sql(
         f"SELECT change_id, sample_id, {_range_text()} AS alt_freq_range FROM ihf WHERE f_lo <= 0.5 AND f_hi > 0.25"
     )
+    o["freq_overlap_filter"] = on_nucleotides(o["freq_overlap_filter"])
     o["ww_flag"] = sql(f"SELECT id, {WW} AS is_wastewater FROM samples")
     return o
 
