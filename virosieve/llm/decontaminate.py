@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from virosieve.llm.text import column, small_batches
+from virosieve.llm.text import column, small_batches, tidy
 
 SHARD = 20_000
 THRESHOLD = 0.5
@@ -293,7 +293,7 @@ def matched(
                     listed = pa.array(after, listed.type)
                 yield pa.RecordBatch.from_arrays([column(batch, "row"), listed], names=["row", "matches"])
 
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(tidy(run), schema)
     return rows
 
 

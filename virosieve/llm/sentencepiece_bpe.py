@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from virosieve.llm.text import column, small_batches
+from virosieve.llm.text import column, small_batches, tidy
 
 _BLANK = "▁"
 _NONE = np.iinfo(np.int32).max
@@ -194,6 +194,9 @@ class Encoder:
             yield np.concatenate([own, end]), bytes(text_data[text_at[i] : text_at[i + 1]]) + last
 
 
+#: Bytes of text encoded at once.
+BATCH = 2 << 20
+
 _encoders: dict[bytes, Encoder] = {}
 
 
@@ -206,23 +209,29 @@ def encoder(model: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, model_path: str, text_column: str = "text", with_ids: bool = True) -> DataFrame:
-    """``(row, n_tokens, ids_sha256, decoded_sha256[, ids, decoded])`` per row of ``docs``.
+def encoded(docs: DataFrame, model_path: str, text_column: str = "text", with_ids: bool = True, with_decoded: bool | None = None,
+            carried: list[str] | None = None) -> DataFrame:
+    """``(row, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded])`` per row of ``docs``.
 
     The digests are of the decimal ids joined by one space and of the text that the library decodes from them.
+    ``row`` holds the columns in ``carried`` (all by default); leave the text out of them where it isn't needed
+    again, so that it crosses to the workers once and doesn't come back.
     """
+    with_decoded = with_ids if with_decoded is None else with_decoded
     with open(model_path, "rb") as file:  # under a megabyte; travels with the tasks
         model = file.read()
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    packed = packed.withColumn("text", F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit("")))
+    text = F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text")
+    packed = docs.select(F.struct(*[docs[c] for c in carried or docs.columns]).alias("row"), text)
     schema = packed.select("row").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType()))
+    if with_decoded:
+        schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", BATCH):
             counts, digests, plain, all_ids, all_texts = [], [], [], [], []
             for ids, shown in enc.encode(column(batch, "text")):
                 text = enc.library.decode(ids.tolist())
@@ -231,10 +240,13 @@ def encoded(docs: DataFrame, model_path: str, text_column: str = "text", with_id
                 plain.append(sha(text.encode()))
                 if with_ids:
                     all_ids.append(ids)
+                if with_decoded:
                     all_texts.append(text)
             arrays = [column(batch, "row"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(plain)]
             if with_ids:
-                arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
+                arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
+            if with_decoded:
+                arrays.append(pa.array(all_texts, pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(tidy(run), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,20 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def tidy(run):
+    """An Arrow function that gives its memory back when it ends: workers are reused by the next stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 << 20, field: str | None = None) -> Iterator[pa.RecordBatch]:
     """Split batches so that each holds about ``most`` bytes of column ``name`` (or a field of it), or one row."""
     for batch in batches:
