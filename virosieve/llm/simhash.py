@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from virosieve.llm.components import component_roots
-from virosieve.llm.text import column, words_of
+from virosieve.llm.text import column, tidy, words_of
 from virosieve.plans.durable import cut
 
 RADIUS = 3
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             fps = [fingerprint(shingles(words_of(t.as_py()), size)) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return picked.mapInArrow(run, "id long, fp long")
+    return picked.mapInArrow(tidy(run), "id long, fp long")
 
 
 def _ball(patterns: list[int], fp):
@@ -142,7 +142,7 @@ def _keys(docs: DataFrame, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(keys, pa.binary())], names=[*names, "key"])
 
     picked = docs.select(*names)
-    return picked.mapInArrow(run, StructType([*picked.schema.fields, StructField("key", BinaryType())]))
+    return picked.mapInArrow(tidy(run), StructType([*picked.schema.fields, StructField("key", BinaryType())]))
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def _points(texts: DataFrame, size: int, similarity: float, frequent: tuple[np.n
                     values = [keys, *(np.concatenate(x) for x in (ats, sizes, places))]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-    return texts.select("text").mapInArrow(run, "key binary, at long, n int, pos int")
+    return texts.select("text").mapInArrow(tidy(run), "key binary, at long, n int, pos int")
 
 
 def _possible(a: str, b: str, similarity: float) -> Column:
@@ -215,7 +215,7 @@ def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     few = wanted.count() <= BROADCAST_ROWS
     own = _keys(texts).select(F.xxhash64("key").alias("unit"), "text").join(F.broadcast(wanted) if few else wanted, "unit")
-    return own.mapInArrow(run, "unit long, hashes array<long>").groupBy("unit").agg(F.first("hashes").alias("hashes"))
+    return own.mapInArrow(tidy(run), "unit long, hashes array<long>").groupBy("unit").agg(F.first("hashes").alias("hashes"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -232,10 +232,9 @@ def _similar(texts: DataFrame, rows: int, size: int, similarity: float) -> DataF
     met = Window.partitionBy("at")
     shared = points.withColumn("hub", F.min("m").over(met)).withColumn("last", F.max("m.unit").over(met))
     shared = cut(shared.filter("last <> hub.unit").drop("last"), "points")
-    sets = cut(_shingle_sets(texts, shared.select("m.unit").distinct(), size), "shingles")
     hubs = shared.filter("m.unit <> hub.unit").filter(_possible("m", "hub", similarity))
     hubs = cut(hubs.select(F.col("hub.unit").alias("u"), F.col("m.unit").alias("v")).distinct(), "hubs")
-    links = cut(_alike(hubs, sets, similarity), "links")
+    links = cut(_alike(hubs, _shingle_sets(texts, _units(hubs), size), similarity), "links")
     roots = component_roots(links)
 
     rooted = shared.select("at", "m", F.col("m.unit").alias("node")).join(roots, "node", "left").select("at", "m", F.coalesce("root", "node").alias("root"))
@@ -244,10 +243,16 @@ def _similar(texts: DataFrame, rows: int, size: int, similarity: float) -> DataF
     a, b = (rooted.select("at", F.col("m").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
     pairs = a.join(b, "at").filter("a.unit < b.unit and a_root <> b_root").filter(_possible("a", "b", similarity))
     pairs = pairs.select(F.col("a.unit").alias("u"), F.col("b.unit").alias("v")).distinct().join(hubs, ["u", "v"], "left_anti")
-    more = _alike(cut(pairs, "pairs"), sets, similarity)
+    pairs = cut(pairs, "pairs")
+    more = _alike(pairs, _shingle_sets(texts, _units(pairs), size), similarity)
     return component_roots(links.union(more))
 
 
+def _units(pairs: DataFrame) -> DataFrame:
+    """``(unit)`` of all units in ``pairs(u, v)``: only texts that are compared need their whole shingle sets."""
+    return cut(pairs.select(F.col("u").alias("unit")).union(pairs.select("v")).distinct(), "units")
+
+
 def _grouped(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
     """``(id, key, root)`` per row: rows of similar texts share a root."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
