@@ -154,3 +154,61 @@ def test_conversations_of_odd_tables(spark):
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nb\n").hexdigest()
     assert got[None]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert chat.digests(chat.parsed(chat.format_records(rows.limit(0).withColumn("json", record)))).count() == 0
+
+
+RECORDS = {
+    "plain": ('{"messages": [{"role": "user", "content": "a"}, {"role": "bot", "content": "b"}]}', [("user", "a"), ("assistant", "b")]),
+    "extra field": ('{"messages": [{"role": "user", "content": "a"}], "source": "x"}', [("user", "a")]),
+    "extra in message": ('{"messages": [{"role": "human", "name": "n", "content": "a"}, {"role": "gpt", "content": null}]}', [("user", "a"), ("assistant", "")]),
+    "extra in both": ('{"id": 3, "meta": {"k": [1]}, "instruction": "i", "input": "", "output": "o"}', [("user", "i"), ("assistant", "o")]),
+    "no output text": ('{"question": "q", "answer": null, "score": 0.5}', [("user", "q"), ("assistant", "")]),
+    "no messages": ('{"messages": []}', "no turns"),
+    "list for text": ('{"prompt": ["a"], "completion": "b"}', "no known layout"),
+    "two layouts": ('{"question": "q", "answer": "a", "prompt": "p", "completion": "c", "x": 1}', "no known layout"),
+    "half": ('{"question": "q", "x": 1}', "no known layout"),
+    "bad": ('{"question": ', "no JSON"),
+    "null": (None, "no JSON"),
+    "text": ('"hello"', "no known layout"),
+}
+
+
+def test_records_of_any_layout_are_formatted_or_reported(spark):
+    rows = spark.createDataFrame([(name, json, "l", 5, i) for i, (name, (json, _)) in enumerate(RECORDS.items())], "name string, json string, layout string, turns int, conv_id long")
+    found = {r["row"]["name"]: r for r in chat.canonical(rows).collect()}
+    reported = {r["row"]["name"]: r["problem"] for r in chat.rejected(rows).collect()}
+    for name, (_, wanted) in RECORDS.items():
+        if isinstance(wanted, str):
+            assert reported.pop(name) == wanted and not found[name]["turns"], name
+        else:
+            assert [(t["role"], t["text"]) for t in found[name]["turns"]] == wanted, name
+        # the caller's own columns of these names stay
+        assert found[name]["row"]["layout"] == "l" and found[name]["row"]["turns"] == 5
+    assert not reported
+    formatted = chat.format_records(rows, turn_column="turns")
+    assert formatted.select("conv_id").distinct().count() == 5
+    assert chat.rejected(rows.limit(0)).count() == 0
+
+
+def test_all_languages_are_learned_and_judged(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03}": [letters[i % 26] + letters[i // 26 % 26] + w for w in ("ab", "cd", "ef", "gh", "ij")] for i in range(230)}
+    rows = [(10 * i + k, " ".join(w * (k + 12)), lang) for i, (lang, w) in enumerate(words.items()) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predicted(docs, language_id.learn(docs), with_spans=False).collect()
+    right = sum(r["lang_pred"] == r["row"]["lang"] for r in found)
+    assert len(found) == len(rows) and right >= 0.98 * len(rows)
+    # in one pass, and in passes of a hundred languages each
+    one = quality_rules.judged(docs, limits=quality_rules.Limits(min_reference_words=50, max_repeat_percent=1000))
+    several = quality_rules.judged(docs, limits=quality_rules.Limits(min_reference_words=50, max_repeat_percent=1000, max_languages=100))
+    key = lambda df: sorted((r["row"]["doc_id"], r["kept"], round(r["word_distance"], 9), round(r["class_distance"], 9)) for r in df.collect())
+    assert key(one) == key(several) and len(key(one)) == len(rows)
+
+
+def test_the_classifiers_sample_bounds_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_mil, "fit_arrays", lambda bags, marks: seen.append(len(bags)))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "the same")] * 500 + [(3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    quality_mil.fit(docs, labels, sample=20)
+    quality_mil.fit(docs.filter("doc_id > 1"), labels, sample=20)
+    assert seen == [20, 2]

@@ -3,7 +3,8 @@
 A record's layout is told by its nested field paths: ``schema_of_variant`` gives the nested structure of each
 JSON record, the types are dropped, and the rest is hashed. A layout declares the fields it may have and how
 they become turns; all allowed combinations of optional fields are hashed beforehand, and a record's hash
-selects its layout. A record of no known layout has ``layout`` null and no turns; it is reported, not guessed.
+selects its layout. Where that finds none, the declared paths are hashed alone, so a record may have further
+fields. A record of no known layout has ``layout`` null and no turns; ``rejected`` returns it with the reason.
 
 The template writes a turn as ``[INST]role[/INST]text</s>``. Inside role and text, each ``\\`` is doubled, and a ``\\`` is put after the first character of whatever would
 read as a control string, so no text can forge a turn; ``parsed`` takes both back. The mask holds the
@@ -15,7 +16,7 @@ that holds one Arrow batch (SHA-256 can't be split). All else is DataFrame funct
 
 Nulls: a null role or text counts as empty; a null conversation is a conversation of its own; a null turn comes
 first. Turns with the same number are ordered by role and text; repeated rows stay repeated. Other columns are
-not read.
+carried in ``row`` under any name, and not read. Texts of any length are formatted whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -103,6 +104,10 @@ def fingerprints(spark: SparkSession, layouts=LAYOUTS) -> dict[str, list[int]]:
         for size in range(len(layout.optional) + 1):
             for extra in combinations(layout.optional, size):
                 shapes.setdefault(_shape(_tree((*layout.required, *extra))), layout.name)
+    return _hashed(spark, shapes)
+
+
+def _hashed(spark: SparkSession, shapes: dict[str, str]) -> dict[str, list[int]]:
     rows = spark.createDataFrame(list(shapes.items()), "shape string, name string").select("name", F.xxhash64("shape").alias("h")).collect()
     found: dict[str, list[int]] = {}
     for row in rows:
@@ -134,20 +139,67 @@ def _get(record: Column, path: str) -> Column:
     return F.try_variant_get(record, f"$.{path}", "string")
 
 
+def _declared(layouts) -> list[str]:
+    """Every field path that some layout declares."""
+    return sorted({p for layout in layouts for p in (*layout.required, *layout.optional)})
+
+
+def _is_there(record: Column, path: str) -> Column:
+    """Whether a record has a value of the right kind (a scalar, or a list of objects with the field) at a declared path."""
+    if "[]." not in path:
+        kind = F.schema_of_variant(F.try_variant_get(record, f"$.{path}", "variant"))
+        return kind.isNotNull() & ~kind.rlike("^(ARRAY|OBJECT)")
+    listed, name = path.split("[].")
+    return F.try_variant_get(record, f"$.{listed}", f"array<struct<{name}:string>>").isNotNull()
+
+
+def _declared_shape(record: Column, layouts) -> Column:
+    """The declared paths that a record has, as one text; fields that no layout declares don't show."""
+    there = [F.when(_is_there(record, p), F.lit(p)) for p in _declared(layouts)]
+    return F.array_join(F.array_compact(F.array(*there)), "\n")
+
+
+def _loose_hashes(spark: SparkSession, layouts) -> dict[str, list[int]]:
+    """As ``fingerprints``, over the declared paths alone."""
+    shapes = {}
+    for layout in layouts:
+        for size in range(len(layout.optional) + 1):
+            for extra in combinations(layout.optional, size):
+                shapes.setdefault("\n".join(sorted((*layout.required, *extra))), layout.name)
+    return _hashed(spark, shapes)
+
+
 def canonical(records: DataFrame, json_column: str = "json", layouts=LAYOUTS) -> DataFrame:
-    """Adds ``layout`` and the array ``turns`` of (role, text) to each JSON record."""
-    hashes = fingerprints(records.sparkSession, layouts)
-    rows = records.withColumn("_record", F.try_parse_json(json_column))
-    rows = rows.withColumn("_hash", fingerprint(F.col("_record")))
-    names = reduce(lambda c, x: c.when(F.col("_hash").isin(hashes[x.name]), x.name), layouts[1:], F.when(F.col("_hash").isin(hashes[layouts[0].name]), layouts[0].name))
-    rows = rows.withColumn("layout", names)
-    turns = reduce(lambda c, x: c.when(F.col("layout") == x.name, _turns(F.col("_record"), x)), layouts[1:], F.when(F.col("layout") == layouts[0].name, _turns(F.col("_record"), layouts[0])))
+    """``(row, layout, turns)`` of JSON records: ``row`` holds all their columns, ``turns`` is an array of (role, text).
+
+    A record whose field paths are exactly those of a layout has that layout. Otherwise its declared paths are
+    hashed alone, so further fields of a record, or of its messages, do no harm; a record with the declared
+    fields of two layouts fits neither. ``layout`` is null for records of none.
+    """
+    exact, loose = fingerprints(records.sparkSession, layouts), _loose_hashes(records.sparkSession, layouts)
+    rows = records.select(F.struct(*[records[c] for c in records.columns]).alias("row"))
+    rows = rows.withColumn("record", F.try_parse_json(F.col("row").getField(json_column)))
+    record = F.col("record")
+
+    def named(hashes: dict[str, list[int]], of: Column) -> Column:
+        return reduce(lambda c, x: c.when(of.isin(hashes[x.name]), x.name), layouts[1:], F.when(of.isin(hashes[layouts[0].name]), layouts[0].name))
+
+    rows = rows.withColumn("layout", named(exact, fingerprint(record)))
+    rows = rows.withColumn("layout", F.when(F.col("layout").isNotNull(), F.col("layout")).otherwise(named(loose, F.xxhash64(_declared_shape(record, layouts)))))
+    turns = reduce(lambda c, x: c.when(F.col("layout") == x.name, _turns(record, x)), layouts[1:], F.when(F.col("layout") == layouts[0].name, _turns(record, layouts[0])))
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     own = lambda r: F.coalesce(r, F.lit(""))
     # turn rows are canonical already
     role = lambda r: F.when(F.col("layout") == "turn_row", own(r)).otherwise(F.coalesce(F.try_element_at(known, own(r)), own(r)))
     clean = F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return rows.withColumn("turns", F.coalesce(clean, F.array().cast(f"array<{TURN}>"))).drop("_record", "_hash")
+    return rows.withColumn("turns", F.coalesce(clean, F.array().cast(f"array<{TURN}>"))).drop("record")
+
+
+def rejected(records: DataFrame, json_column: str = "json", layouts=LAYOUTS) -> DataFrame:
+    """``(row, problem)`` of the records that ``format_records`` gives no row for, with all their columns."""
+    rows = canonical(records, json_column, layouts).filter(F.size("turns") == 0)
+    unread = F.try_parse_json(F.col("row").getField(json_column)).isNull()
+    return rows.select("row", F.when(unread, "no JSON").when(F.col("layout").isNull(), "no known layout").otherwise("no turns").alias("problem"))
 
 
 def escaped(text: Column) -> Column:
@@ -194,7 +246,8 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 def turn_rows(records: DataFrame, id_column: str = "conv_id", turn_column: str = "turn") -> DataFrame:
     """One row for each turn of canonical records: ``(conv_id, turn, part, role, text)``; part orders a record's turns."""
-    ids = [F.col(id_column).cast("long").alias("conv_id"), F.col(turn_column).cast("long").alias("turn")]
+    row = F.col("row")
+    ids = [row.getField(id_column).cast("long").alias("conv_id"), row.getField(turn_column).cast("long").alias("turn")]
     return records.select(*ids, F.posexplode("turns").alias("part", "t")).select("conv_id", "turn", "part", "t.role", "t.text")
 
 

@@ -6,9 +6,10 @@ trigrams and of the word itself, from hashed counts. Viterbi finds the best labe
 where a change of language costs ``PENALTY``; texts of an Arrow batch advance together, longest first. Equal
 labels in a row are a span. A text's language is the one with the most letters, and its score their share.
 
-Learning uses at most ``PER_LANGUAGE`` texts of each language, those with the least hash of their id, of at
-most ``LANGUAGES`` languages (the commonest); counts are taken by Spark, and the model is one table of
-``LANGUAGES * BUCKETS`` numbers at most. Prediction is one pass without a shuffle over whole texts.
+Learning uses at most ``PER_LANGUAGE`` texts of each language, those with the least hash of their id; counts are
+taken by Spark. Every language is learned; the model has ``BUCKETS`` numbers (128 KB) for each, and the texts that
+are scored at once become fewer as languages become more, so that a task's memory stays bounded. Prediction is one
+pass without a shuffle over whole texts.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. A text with letters in scripts that no
 learned language uses gets the commonest learned language with score 0; so it is ``und`` only where nothing was
@@ -34,7 +35,9 @@ BUCKETS = 1 << 15
 PENALTY = 8.0
 LEAST_SHARE = 0.01
 PER_LANGUAGE = 2000
-LANGUAGES = 200
+BROADCAST_LANGUAGES = 500
+#: Word scores held at once, in (word, language) pairs of about a byte of text each.
+HELD = 200 * (4 << 20)
 UNKNOWN = "und"
 
 #: The Unicode blocks of the main scripts (first and last code point).
@@ -199,33 +202,43 @@ def learn(docs: DataFrame, learn_from: Column | None = None, id_column: str = "d
     rows = rows.filter("lang is not null")
     if learn_from is not None:
         rows = rows.filter(learn_from)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the distinct languages
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((N_SCRIPTS, 0), bool), 0)
     languages = sorted(sizes)
+    # of a language with many texts, only ids with a small hash are ranked: about twice as many as are taken
+    bound = {lang: int((2 * PER_LANGUAGE / n - 0.5) * 2**64) for lang, n in sizes.items() if n > 4 * PER_LANGUAGE}
+    low = F.lit(True)
+    if bound:
+        least = docs.sparkSession.createDataFrame(list(bound.items()), "_l string, _bound long")  # a row for each language
+        rows_in = rows.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(least), F.col("lang") == F.col("_l"), "left")
+        low = F.col("_bound").isNull() | (F.col("h") <= F.col("_bound"))
+    else:
+        rows_in = rows.select("id", "lang", F.xxhash64("id").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).distinct().withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
-    chosen = F.broadcast(chosen.filter(F.col("lang").isin(languages)).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
+    chosen = rows_in.filter(low).select("id", "lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
+    chosen = chosen.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"))
+    if len(languages) <= BROADCAST_LANGUAGES:  # then at most PER_LANGUAGE ids for each
+        chosen = F.broadcast(chosen)
     picked = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = BUCKETS + N_SCRIPTS
-        total = np.zeros((len(languages), width), np.int64)
         for batch in small_batches(batches, "text", 4 << 20):
             words, code, owner = _words(column(batch, "text"))
             bucket, word, by_script, _ = _features(words)
             lang = np.searchsorted(languages, column(batch, "lang").to_pylist())[owner]
-            for number in range(len(languages)):
+            for number in np.unique(lang).tolist():
                 times = np.bincount(code[lang == number], minlength=len(words))
-                if times.any():
-                    total[number, :BUCKETS] += np.bincount(bucket, weights=times[word], minlength=BUCKETS).astype(np.int64)
-                    total[number, BUCKETS:] += times @ by_script
-        lang, bucket = np.nonzero(total)
-        arrays = [pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
+                total = np.zeros(width, np.int64)
+                total[:BUCKETS] = np.bincount(bucket, weights=times[word], minlength=BUCKETS)
+                total[BUCKETS:] = times @ by_script
+                some = np.flatnonzero(total)
+                arrays = [pa.array(np.full(len(some), number), pa.int32()), pa.array(some, pa.int32()), pa.array(total[some])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
 
     counted = picked.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counted = counted.toArrow()  # at most LANGUAGES * (BUCKETS + N_SCRIPTS) rows
+    counted = counted.toArrow()  # at most BUCKETS + N_SCRIPTS rows for each language: the model
     total = np.zeros((len(languages), BUCKETS + N_SCRIPTS))
     total[counted["lang"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     grams, scripts = total[:, :BUCKETS], total[:, BUCKETS:]
@@ -246,7 +259,7 @@ def predicted(docs: DataFrame, model: Model, text_column: str = "text", with_spa
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", max(1 << 14, min(4 << 20, HELD // max(1, len(held.value.languages))))):
             found = held.value.label(column(batch, "text"))
             arrays = [column(batch, "row"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())]
             if with_spans:

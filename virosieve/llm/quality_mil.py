@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from virosieve.llm.passages import DIMENSION, passages
-from virosieve.llm.text import column, id_remainder, small_batches
+from virosieve.llm.text import column, id_remainder, small_batches, tidy
 
 SAMPLE = 6000
 HIDDEN, GATE = 16, 8
@@ -124,24 +124,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, id_column: str = "d
     if learn_from is not None:
         marked = marked.filter(learn_from)
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
-    ids = docs.select(F.col(id_column).cast("long").alias("id")).filter("id is not null")
-    chosen = marked.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = {r["id"]: r["label"] for r in chosen.collect()}
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    texts = texts.filter("id is not null").withColumn("digest", F.xxhash64("text"))
+    # rows that share an id count by their texts, so the bound holds for what is learned from, not only for ids
+    several = texts.select("id", "digest").join(marked.select("id"), "id", "left_semi").distinct()
+    chosen = several.join(marked, "id").orderBy(F.xxhash64("id"), "id", "digest").limit(sample).collect()
     if not chosen:
         return fit_arrays([], np.zeros(0))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    small = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "id long"))  # at most ``sample`` ids
+    marks = {r["id"]: r["label"] for r in chosen}
+    pairs = docs.sparkSession.createDataFrame([(r["id"], r["digest"]) for r in chosen], "id long, digest long")
+    small = F.broadcast(pairs)  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             vectors, first = passages(column(batch, "text"))
             bags = [b.astype(np.float32).tobytes() for b in np.split(vectors, first[1:])]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(bags, pa.binary())], names=["id", "bag"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "digest"), pa.array(bags, pa.binary())], names=["id", "digest", "bag"])
 
-    rows = texts.join(small, "id").mapInArrow(run, "id long, bag binary").collect()
+    bagged = texts.join(small, ["id", "digest"]).mapInArrow(run, "id long, digest long, bag binary")
+    rows = bagged.groupBy("id", "digest").agg(F.min("bag").alias("bag")).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["bag"])))  # the same model whatever the partitions
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, DIMENSION) for r in rows]
-    return fit_arrays(bags, np.array([chosen[r["id"]] for r in rows], float))
+    return fit_arrays(bags, np.array([marks[r["id"]] for r in rows], float))
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -155,7 +159,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             score = model.scores(*passages(column(batch, "text")))
             yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(score, pa.float64())], names=["row", "score"])
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -8,8 +8,8 @@ there the distances say little.
 
 Everything is DataFrame functions over arrays of one row: no shuffle carries texts. The references take one
 count per (language, word) over all texts, combined before the shuffle; what reaches the driver is
-``common_words`` words for each of at most ``max_languages`` languages. Rarer languages, and null, share the
-pooled reference ``''``.
+``common_words`` words for each language. Up to ``max_languages`` languages are judged in one pass, further ones
+in further passes by the same rules. Texts without a language share the pooled reference ``''``.
 
 Repeated 3-word windows are found by their 64-bit hashes, sorted: time is n log n in a text's length.
 
@@ -20,6 +20,7 @@ Repeated rows stay repeated. Only the id, text and language columns are read; ``
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,9 +195,24 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", limits: Limits = DEFAULT) -> DataFrame:
-    """``(row, n_words, ..., kept)`` per row of ``docs``; ``row`` holds all its columns."""
-    names = docs.groupBy(F.col(lang_column).cast("string").alias("lang")).count().filter("lang is not null")
-    names = [r["lang"] for r in names.orderBy(F.desc("count"), "lang").limit(limits.max_languages).collect()]
+    """``(row, n_words, ..., kept)`` per row of ``docs``; ``row`` holds all its columns.
+
+    Every language has a reference of its own. Those of ``max_languages`` languages are held in one plan; the
+    commonest come first, and further ones are judged in further passes in the same way.
+    """
+    own = F.col(lang_column).cast("string")
+    names = docs.groupBy(own.alias("lang")).count().filter("lang is not null")
+    names = [r["lang"] for r in names.orderBy(F.desc("count"), "lang").collect()]  # the distinct languages
+    groups = [names[i : i + limits.max_languages] for i in range(0, len(names), limits.max_languages)]
+    if len(groups) <= 1:
+        return _judged(docs, names, text_column, lang_column, limits)
+    rest = own.isNull() | own.isin(groups[0])
+    parts = [_judged(docs.filter(rest if i == 0 else own.isin(group)), group, text_column, lang_column, limits) for i, group in enumerate(groups)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _judged(docs: DataFrame, names: list[str], text_column: str, lang_column: str, limits: Limits) -> DataFrame:
+    """The verdicts on documents of the languages ``names``, or of none."""
     lang = F.col("row").getField(lang_column).cast("string")
     features = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     features = features.withColumn("_text", F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit("")))
