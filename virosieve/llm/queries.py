@@ -30,10 +30,13 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, fixed rule and verdict of every page's URL; low quality and toxic labels block."""
+    """Host, path, fixed rule and verdict of every page's URL; low quality and toxic labels block.
+
+    A page holds the document whose number its URL ends in, so that document's label is the page's.
+    """
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("blocked"))
-    rows = url_filter.judged(table(spark, sf_dir, "pages"), labels)
+    rows = url_filter.judged(table(spark, sf_dir, "pages"), labels, key=url_filter.number_in(F.col("url")))
     return rows.withColumnRenamed("id", "page_id")
 
 

@@ -37,8 +37,9 @@ _BLOCK = "=block"
 
 @dataclass(frozen=True)
 class Mining:
-    min_support: float = 0.002
     min_count: int = 20
+    #: A floor in shares for very many labelled URLs: the miner holds the frequent tokens in the driver, at most a token count of a URL over this.
+    min_support: float = 1e-6
     min_confidence: float = 0.6
     min_lift: float = 1.5
 
@@ -111,17 +112,40 @@ def _fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_except("antecedent", "set")) == 0).select("set").distinct()
 
 
-def judged(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", label_id: str = "doc_id", rules=RULES, options: Mining = Mining()) -> DataFrame:
+def number_in(url: Column) -> Column:
+    """The last number in a URL's path; null if there is none that fits."""
+    return F.regexp_extract(path_of(url), r"([0-9]{1,18})[^0-9]*$", 1).try_cast("long")
+
+
+def judged(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", label_id: str = "doc_id", key: Column | None = None, rules=RULES, options: Mining = Mining()) -> DataFrame:
     """``(id, host, path, rule, verdict)`` per row of ``pages``.
 
-    ``labels`` has ``label_id`` and the boolean ``blocked``.
+    ``labels`` has ``label_id`` and the boolean ``blocked``; ``key``, over the columns of ``pages``, tells the label id of
+    a page (the page's own id by default).
     """
     url = F.col(url_column).cast("string")
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows, found = _labelled(pages, labels, id_column, url, label_id, key)
+    mined = mine(found, options)
+    return _verdicts(rows, mined, rules)
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", label_id: str = "doc_id", key: Column | None = None, options: Mining = Mining()) -> DataFrame:
+    """The rules that ``judged`` would apply, with their confidence and support."""
+    return mine(_labelled(pages, labels, id_column, F.col(url_column).cast("string"), label_id, key)[1], options)
+
+
+def _labelled(pages: DataFrame, labels: DataFrame, id_column: str, url: Column, label_id: str, key: Column | None) -> tuple[DataFrame, DataFrame]:
+    """``(id, host, path, set)`` of all pages, and ``(tokens, blocked)`` of those with a label."""
+    own = F.col(id_column) if key is None else key
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), own.cast("long").alias("key"))
     rows = rows.withColumn("set", tokens(F.col("host"), F.col("path")))
     marked = labels.select(F.col(label_id).cast("long").alias("id"), "blocked").filter("id is not null and blocked is not null")
     marked = marked.groupBy("id").agg(F.max("blocked").alias("blocked"))
-    mined = mine(rows.select("id", F.col("set").alias("tokens")).join(marked, "id").select("tokens", "blocked"), options)
+    known = rows.select(F.col("set").alias("tokens"), F.col("key").alias("id")).join(marked, "id").select("tokens", "blocked")
+    return rows.drop("key"), known
+
+
+def _verdicts(rows: DataFrame, mined: DataFrame, rules) -> DataFrame:
     rule, fixed = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "fixed": fixed})
     if mined.isEmpty():
