@@ -18,6 +18,8 @@ As Spark jobs:
 4. Each chunk's distinct pairs of words that follow each other are counted over chunks. A pair met once has
    one table; the others are seated in any task, knowing their context's number of tables, so a frequent
    context is spread. Tables are summed to contexts and, as customers, to words.
+   Draws of words and pairs follow from their hashes, not from how rows are dealt: scores are the same whatever the
+   partitions.
 5. Predictive probabilities are joined to the distinct words' characters and summed to spellings. Given these,
    words are re-seated in the tasks that hold them, all knowing the restaurant's number of tables.
 6. Words and pairs are joined to the chunks' entries (pairs met only once, there, are not sent); each chunk then
@@ -43,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Spread, Subtree
+from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Spread, Subtree, mixed
 from virosieve.llm.text import column, id_remainder, small_batches
 from virosieve.plans.durable import cut
 
@@ -59,8 +61,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(value: np.ndarray, more: np.ndarray) -> np.ndarray:
-    mixed = (value ^ (more + np.uint64(0x7F4A7C15))) * _MIX
-    return mixed ^ (mixed >> np.uint64(29))
+    return mixed(value * _MIX + more)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -255,7 +256,7 @@ def _seated(words: DataFrame, served: int, seed: int) -> DataFrame:
             if batch.num_rows:
                 c = column(batch, "c").to_numpy()
                 base = np.power(10.0, column(batch, "spelling").to_numpy())
-                part = Share(len(c), served, np.random.default_rng(seed))
+                part = Share(column(batch, "w").to_numpy(), served, seed)
                 part.seat(c, base)
                 tables = np.zeros(len(c))
                 for number in range(BURN_IN + SAMPLES):
@@ -302,10 +303,11 @@ def _pair_seats(met: DataFrame, words: DataFrame, n_texts: int, total: int, seed
     """``(a, b, c, tables)`` of the pairs met more than once: their mean number of tables over Gibbs samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
+        for batch in batches:
             if batch.num_rows:
                 c, base = column(batch, "c").to_numpy(), column(batch, "base").to_numpy()
-                part = Spread(column(batch, "dishes").to_numpy(), np.random.default_rng([seed, number]))
+                pair = _hash(column(batch, "a").to_numpy().view(np.uint64), column(batch, "b").to_numpy().view(np.uint64))
+                part = Spread(pair.view(np.int64), column(batch, "dishes").to_numpy(), seed)
                 part.seat(c, base)
                 tables = np.zeros(len(c))
                 for step in range(BURN_IN + SAMPLES):

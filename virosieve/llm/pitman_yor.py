@@ -9,6 +9,49 @@ from __future__ import annotations
 import numpy as np
 
 DISCOUNT, STRENGTH = 0.6, 1.0
+#: Binomials with a larger mean are drawn from their normal approximation.
+_LARGE_MEAN = 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Splitmix64's finish: every bit of the result depends on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Keyed:
+    """Draws that follow from a row's key and the number of the draw, whatever rows share a batch."""
+
+    def __init__(self, keys: np.ndarray, seed: int):
+        self.state = mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def uniform(self, rows: np.ndarray, step: int) -> np.ndarray:
+        number = np.uint64((step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        return (mixed(self.state[rows] + number) >> np.uint64(11)) * 2.0**-53
+
+    def binomial(self, rows: np.ndarray, n: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
+        """By inversion; for large means a rounded normal draw, from the sum of twelve uniform ones."""
+        flip = p > 0.5
+        q = np.where(flip, 1 - p, p)
+        mean, u = n * q, self.uniform(rows, 16 * step)
+        found = np.zeros(len(rows), np.int64)
+        small = np.flatnonzero(mean <= _LARGE_MEAN)
+        term = (1 - q[small]) ** n[small]
+        total, odds = term.copy(), q[small] / (1 - q[small])
+        for k in range(20 * _LARGE_MEAN):
+            more = (u[small] > total) & (found[small] < n[small]) & (found[small] == k)
+            if not more.any():
+                break
+            found[small[more]] = k + 1
+            term = term * np.maximum(n[small] - k, 0) / (k + 1) * odds
+            total = total + term
+        large = np.flatnonzero(mean > _LARGE_MEAN)
+        if len(large):
+            z = sum(self.uniform(rows[large], 16 * step + 1 + i) for i in range(12)) - 6
+            found[large] = np.rint(mean[large] + z * np.sqrt(mean[large] * (1 - q[large])))
+        found = np.clip(found, 0, n)
+        return np.where(flip, n - found, found)
 
 
 class Restaurants:
@@ -27,18 +70,26 @@ class Restaurants:
     def _sum(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, weights=values, minlength=self.n_contexts)
 
+    def _uniform(self, rows: np.ndarray) -> np.ndarray:
+        return self.rng.random(len(rows))
+
+    def _binomial(self, rows: np.ndarray, n: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
+        return self.rng.binomial(n, p)
+
     def seat(self, customers: np.ndarray, base: np.ndarray) -> None:
         """Everyone takes a seat, in blocks that double: in a block the chance of a new table stays as it was."""
         self.customers = customers.astype(np.int64)
         tables = np.minimum(self.customers, 1)
         seated = tables.copy()
+        step = 0
         while (open_ := np.flatnonzero(seated < self.customers)).size:
             total = self._sum(tables)[self.context[open_]]
             new = (STRENGTH + DISCOUNT * total) * base[open_]
             chance = new / (new + np.maximum(seated[open_] - DISCOUNT * tables[open_], 1e-12))
             block = np.minimum(np.maximum(1, seated[open_] // 2), self.customers[open_] - seated[open_])
-            tables[open_] += self.rng.binomial(block, np.clip(chance, 0, 1))
+            tables[open_] += self._binomial(open_, block, np.clip(chance, 0, 1), step)
             seated[open_] += block
+            step += 1
         self.row = np.repeat(np.arange(len(tables)), tables)
         self.size = np.ones(len(self.row), np.int64)
         first = (np.cumsum(tables) - tables)[tables > 0]
@@ -53,7 +104,7 @@ class Restaurants:
         first = np.cumsum(tables) - tables
         reach = np.cumsum(self.size)
         before = reach[first[dish]] - self.size[first[dish]]
-        leaver = before + (self.rng.random(len(dish)) * self.customers[dish]).astype(np.int64)
+        leaver = before + (self._uniform(dish) * self.customers[dish]).astype(np.int64)
         left = np.searchsorted(reach, leaver, side="right")
         self.size[left] -= 1
         empty = self.size[left] == 0
@@ -61,12 +112,12 @@ class Restaurants:
         total = self._sum(tables)[self.context[dish]] - empty
         new = (STRENGTH + DISCOUNT * total) * base[dish]
         old = self.customers[dish] - 1 - DISCOUNT * own
-        opens = self.rng.random(len(dish)) * (new + old) < new
+        opens = self._uniform(dish) * (new + old) < new
         weight = np.cumsum(np.where(self.size > 0, self.size - DISCOUNT, 0))
         joins = np.flatnonzero(~opens)
         start = first[dish[joins]]
         low = weight[start] - np.where(self.size[start] > 0, self.size[start] - DISCOUNT, 0)
-        at = np.searchsorted(weight, low + self.rng.random(len(joins)) * old[joins], side="right")
+        at = np.searchsorted(weight, low + self._uniform(dish[joins]) * old[joins], side="right")
         last = start + tables[dish[joins]] - 1
         at = np.clip(at, start, last)
         # rounding can point at a table just emptied; any other of the dish serves
@@ -86,26 +137,38 @@ class Restaurants:
         return (self.customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * served) * base) / (STRENGTH + total)
 
 
-class Share(Restaurants):
-    """Some of the dishes of one restaurant that is spread over tasks; all its tables are ``served`` in number."""
+class Dealt(Restaurants):
+    """Dishes of restaurants that are spread over tasks. Each dish's draws follow from its key alone, so that its
+    seats don't depend on how rows are dealt; ``served`` is the number of tables of a dish's restaurant."""
 
-    def __init__(self, dishes: int, served: float, rng: np.random.Generator):
-        super().__init__(np.zeros(dishes, np.int64), 1, rng)
-        self.served = served
+    def __init__(self, keys: np.ndarray, context: np.ndarray, n_contexts: int, served, seed: int):
+        super().__init__(context, n_contexts, None)
+        self.draws, self.served, self.step = Keyed(keys, seed), served, 0
 
     def _sum(self, values: np.ndarray) -> np.ndarray:
-        return np.full(1, self.served)
+        return self.served
 
+    def _uniform(self, rows: np.ndarray) -> np.ndarray:
+        # moves count up from a number that no seating step reaches; every row sees the same number of them
+        self.step += 1
+        return self.draws.uniform(rows, (1 << 32) + self.step)
 
-class Spread(Restaurants):
-    """One dish each of many restaurants that are spread over tasks; ``served`` is the number of tables of each."""
+    def _binomial(self, rows: np.ndarray, n: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
+        return self.draws.binomial(rows, n, p, step)
 
-    def __init__(self, served: np.ndarray, rng: np.random.Generator):
-        super().__init__(np.arange(len(served)), len(served), rng)
-        self.served = served
 
-    def _sum(self, values: np.ndarray) -> np.ndarray:
-        return self.served
+class Share(Dealt):
+    """Some of the dishes of one restaurant."""
+
+    def __init__(self, keys: np.ndarray, served: float, seed: int):
+        super().__init__(keys, np.zeros(len(keys), np.int64), 1, np.full(1, served), seed)
+
+
+class Spread(Dealt):
+    """One dish each of many restaurants."""
+
+    def __init__(self, keys: np.ndarray, served: np.ndarray, seed: int):
+        super().__init__(keys, np.arange(len(keys)), len(keys), served, seed)
 
 
 class Subtree:
