@@ -203,3 +203,33 @@ def test_letter_bound_never_drops_a_hit(spark, tables):
         assert all(r.b >= r.r - 1e-9 for r in got) and any(r.b < 0.7 for r in got)
     found = samples.distinct_values_search(tables, "admin1_name", "nasion_2")
     assert found.count() > 0
+
+
+def test_tables_without_rows_keep_their_columns(spark, tmp_path):
+    path = str(tmp_path / "none")
+    rows_in = spark.createDataFrame([(3, 4), (5, 6)], EDGE)
+    assert rows(buckets.create(rows_in.limit(0), path, "change_id", 8)) == []
+    assert buckets.read(spark, path).dtypes == rows_in.dtypes and buckets.count_of(spark, path) == 8
+    assert len(buckets.merge(spark, path, rows_in, "change_id", ingest_changes.carrier_union_merge)) in (1, 2)
+    assert rows(buckets.read(spark, path)) == rows(rows_in)
+    with pytest.raises(ValueError, match="no table in buckets"):
+        buckets.count_of(spark, str(tmp_path))
+
+
+def test_a_load_without_intrahost_records(spark, tables, tmp_path):
+    """Edge tables that a first load leaves empty take a later load's edges."""
+    samples = spark.createDataFrame([(1, "S1")], "id long, accession string")
+    empty = {
+        "alleles": spark.createDataFrame([], "id long, region string, position_nt long, ref_nt string, alt_nt string"),
+        "amino_acids": spark.createDataFrame([], "id long, gff_feature string, position_aa long, alt_aa string, alt_codon string, ref_aa string, ref_codon string"),
+    }
+    consensus = "accession string, region string, position_nt long, ref_nt string, alt_nt string, gff_feature string, position_aa long, alt_aa string, alt_codon string, ref_aa string, ref_codon string"
+    nts = spark.createDataFrame([("S1", "HA", 5, "A", "C", 0.5, 100)], "accession string, region string, position_nt long, ref_nt string, alt_nt string, gapped_freq double, gapped_dp int")
+    codons = spark.createDataFrame([], "accession string, gff_feature string, position_aa long, alt_codon string, ref_codon string, alt_freq double, alt_dp int")
+    mutation = spark.createDataFrame([("S1", "HA", 5, "A", "C", "f", 2, "K", "AAA", "D", "GAT")], consensus)
+    root = str(tmp_path / "store")
+    first = ingest_changes.load_changes(Tables({"samples": samples, **empty}), mutation, nts.limit(0), codons, root, 4)
+    assert [first[n].count() for n in ingest_changes.EDGES] == [1, 1, 0, 0]
+    second = ingest_changes.load_changes(first, mutation, nts, codons, root, 4)
+    assert [second[n].count() for n in ingest_changes.EDGES] == [1, 1, 1, 0]
+    assert second.edges_of_samples("ih_nt").count() == 1 and second.alleles.count() == 1

@@ -35,6 +35,8 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
 def create(rows: DataFrame, path: str, key: str | Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Write a new table of ``rows`` in buckets of ``key`` and read it."""
     _write(rows.withColumns({"of": F.lit(buckets), "bucket": bucket_of(key, buckets)}), path, "errorifexists")
+    # a file without rows tells the columns, should there be no other
+    rows.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/of={buckets}/bucket=0")
     return read(rows.sparkSession, path)
 
 
@@ -44,15 +46,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_touched(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
     """The rows in the buckets of the keys in ``wanted``; other buckets are not read."""
-    numbers = wanted.select(bucket_of(key, count_of(spark, path) or BUCKETS).alias("bucket")).distinct()
+    numbers = wanted.select(bucket_of(key, count_of(spark, path)).alias("bucket")).distinct()
     touched = [r["bucket"] for r in numbers.collect()]
     return spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop(*_PLACE)
 
 
-def count_of(spark: SparkSession, path: str) -> int | None:
-    """The number of buckets of a table; None for one without rows."""
-    first = spark.read.parquet(path).select("of").first()
-    return first and first["of"]
+def count_of(spark: SparkSession, path: str) -> int:
+    """The number of buckets of a table, as its folder says."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    found = [name for name in (entry.getPath().getName() for entry in listed) if name.startswith("of=")]
+    if len(found) != 1:
+        raise ValueError(f"{path} is no table in buckets")
+    return int(found[0].removeprefix("of="))
 
 
 def merge(spark: SparkSession, path: str, incoming: DataFrame, key: str | Sequence[str],
@@ -63,7 +69,7 @@ def merge(spark: SparkSession, path: str, incoming: DataFrame, key: str | Sequen
     """
     stored = spark.read.parquet(path)
     columns = [c for c in stored.columns if c not in _PLACE]
-    buckets = count_of(spark, path) or BUCKETS
+    buckets = count_of(spark, path)
     incoming = cut(incoming.withColumn("bucket", bucket_of(key, buckets)), "incoming")
     touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
     if not touched:
