@@ -9,8 +9,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from virosieve.functions.dates import max_span_filter

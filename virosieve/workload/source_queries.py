@@ -222,7 +222,7 @@ def source_queries() -> dict[str, Query]:
         staged = scores.stage_scores(spark, odd_score_file(spark, sf_dir), "ha_csv", fresh_path(spark, "scores"))
         told = {"n_scores": staged.n_scores, "n_records_rejected": staged.n_records_rejected, "n_cells_rejected": staged.n_cells_rejected}
         stored = staged.scores.groupBy().agg(F.count("*").alias("scores_stored"), F.sum("value").alias("value_sum"))
-        stored = stored.crossJoin(staged.rejects.groupBy().agg(F.count("*").alias("rejects_stored")))
+        stored = stored.withColumn("rejects_stored", staged.rejects.select(F.count("*")).scalar())
         return stored.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in told.items()])
 
     @source("src_scores_differing_metrics")
