@@ -1,10 +1,13 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from virosieve.plans.durable import shared_folder
 from virosieve.sources import annotations, changes, lineages, samples, scores, sinks
 from virosieve.sources.delimited import HeaderError, read_delimited, scan
+from virosieve.workload.source_queries import source_queries
 
 MUTATION_HEADER = list(changes.MUTATION_COLUMNS.values())
 CODON_HEADER = list(changes.INTRAHOST_CODON_COLUMNS.values())
@@ -126,6 +129,26 @@ def test_demixed_directory(spark, tmp_path):
     bad = lineages.read_demixed_dir(spark, str(tmp_path), malformed=True)
     assert {r.accession for r in bad.collect()} == {"S2", "S3", "S4", "S5", "S6"}
 
+def test_demixed_files_packed(spark, tmp_path):
+    (tmp_path / "S1.demixed").write_text("lineages\tA B\nabundances\t0.5 0.25\n")
+    texts = [("S2.demixed", "\tS2_variants.tsv\r\nlineages\tC\r\nabundances\t1\r\n"), ("S3.demixed", ""), ("S4.txt", "lineages\tX\nabundances\t1\n")]
+    spark.createDataFrame(texts, "name string, text string").write.mode("append").parquet(str(tmp_path))
+    good = lineages.read_demixed_dir(spark, str(tmp_path)).orderBy("accession", "input_order").collect()
+    assert [tuple(r) for r in good] == [("S1", "A", 0.5, 0), ("S1", "B", 0.25, 1), ("S2", "C", 1.0, 0)]
+    bad = lineages.read_demixed_dir(spark, str(tmp_path), malformed=True).collect()
+    assert [tuple(r) for r in bad] == [("S3", "no lineages line")]
+
+
+def test_demixed_files_of_the_query_are_few(spark, sf_dir, tmp_path):
+    # a file of its own for each sample filled a disk by its blocks
+    before = set(os.listdir(shared_folder(spark)))
+    rows = source_queries()["src_demixed_dir"](spark, sf_dir)
+    samples = rows.select("accession").distinct().count()
+    folders = [f for f in set(os.listdir(shared_folder(spark))) - before if f.startswith("demixed")]
+    files = [f for folder in folders for f in os.listdir(f"{shared_folder(spark)}/{folder}")]
+    assert 0 < sum(f.endswith(".demixed") for f in files) < samples / 50
+
+
 
 def test_lineage_files(spark, tmp_path):
     a = write(tmp_path / "a.tsv", [["sample", "Genotype"], ["S1", "B3.13"]])

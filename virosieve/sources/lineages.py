@@ -12,6 +12,9 @@ CALL_LAYOUTS = {
     "taxon_csv": ({"accession": "taxon", "lineage_name": "lineage"}, ","),
 }
 
+#: Parquet files that hold the names and texts of many demixed files.
+PACKED = "*.parquet"
+
 
 def read_consensus_lineages(spark: SparkSession, paths, layout: str) -> DataFrame:
     """``accession, lineage_name, input_order``."""
@@ -21,10 +24,15 @@ def read_consensus_lineages(spark: SparkSession, paths, layout: str) -> DataFram
 
 def read_demixed_dir(spark: SparkSession, directory: str, malformed: bool = False) -> DataFrame:
     """Abundances from a directory of ``<accession>.demixed`` files. A file is a few lines for one
-    sample; the directory may hold very many."""
-    files = spark.read.text(directory, wholetext=True, pathGlobFilter="*.demixed").select(
-        "value", F.regexp_extract("_metadata.file_name", r"^(.*)\.demixed$", 1).alias("accession")
-    )
+    sample; the directory may hold very many.
+
+    Files may also lie packed, as a small file fills a whole block of a disk: ``PACKED`` files of the directory
+    hold one row ``name, text`` for each, and count as if the files themselves were there.
+    """
+    single = spark.read.text(directory, wholetext=True, pathGlobFilter="*.demixed").select("_metadata.file_name", "value")
+    packed = spark.read.schema("name string, text string").parquet(directory, pathGlobFilter=PACKED)
+    packed = packed.filter(F.col("name").endswith(".demixed"))
+    files = single.union(packed).select("value", F.regexp_extract("file_name", r"^(.*)\.demixed$", 1).alias("accession"))
     return parse_demixed(files, malformed)
 
 
