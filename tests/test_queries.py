@@ -30,6 +30,13 @@ def test_every_sql_has_a_query():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_nucleotide_counts_take_all_edges(spark, sf_dir):
+    # one of five intra-host edges was left out of the code and the SQL alike
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    expected = lines.filter("l_returnflag = 'R'").select("l_partkey", "l_orderkey").distinct().count()
+    assert QUERIES["count_variants_by_column_nt"](spark, sf_dir).agg(F.sum("n")).first()[0] == expected
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 

@@ -3,7 +3,7 @@ from its Spark plan. DuckDB runs them on the same parquet files."""
 
 from __future__ import annotations
 
-from virosieve.workload.binding import on_nucleotides, with_clause
+from virosieve.workload.binding import WHOLE_EDGES, on_all_edges, on_nucleotides, with_clause
 from virosieve.workload.queries import (
     CATALOG_WHERE_AA, CATALOG_WHERE_NT, FEATURE, LINEAGE_WHERE, ORIGIN, SAMPLE_WHERE, TODAY,
 )
@@ -553,6 +553,8 @@ def query_oracles() -> dict[str, str]:
     ):
         o[name] = o[same]
     for name in o:
-        if name.endswith("_nt") or "_nt_" in name or name.startswith("mutation_profile"):
+        if name in WHOLE_EDGES:
+            o[name] = on_all_edges(o[name])
+        elif name.endswith("_nt") or "_nt_" in name or name.startswith("mutation_profile"):
             o[name] = on_nucleotides(o[name])
     return o

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -37,8 +38,8 @@ def portable(df: DataFrame) -> DataFrame:
 
 
 def on_tables(operator: Callable[..., DataFrame], *args, **params) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return portable(operator(binding.tables(spark, sf_dir), *args, **params))
+    def run(spark: SparkSession, sf_dir: str, tables=binding.tables) -> DataFrame:
+        return portable(operator(tables(spark, sf_dir), *args, **params))
 
     return run
 
@@ -220,4 +221,6 @@ def query_operators() -> dict[str, Query]:
     q["annotated_positions_mutations"] = t(annotations.annotated_positions_mutations, "Brand#12")
     q["annotated_positions_variants"] = t(annotations.annotated_positions_variants, "Brand#12", SAMPLE_WHERE)
     q["annotation_id_sets"] = t(annotations.annotation_id_sets, "Brand#12")
+    for name in binding.WHOLE_EDGES:
+        q[name] = partial(q[name], tables=binding.whole_tables)
     return q
