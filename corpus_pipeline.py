@@ -28,7 +28,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id stays."""
+    """Of each group of near duplicates, linked by SimHash and then by shared shingles, the document with the least id stays."""
     return simhash.distinct_rows(docs)
 
 

@@ -66,3 +66,14 @@ def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.distinct_rows(df).collect())
     assert kept == sorted([(0, rows[5][1]), (1, rows[0][1]), (2, rows[2][1]), (3, rows[4][1])])
+
+
+def test_pipeline_stage_links_by_simhash(spark):
+    # equal fingerprints, as one phrase outweighs the rest, but few of their shingles are shared
+    texts = ["red green blue " * 300 + " ".join(f"{kind}{i}" for i in range(40)) for kind in ("left", "right")]
+    texts.append(" ".join(f"other{i}" for i in range(400)))
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len({r.component_id for r in simhash.similar_groups(docs).collect()}) == 3
+    assert sorted(r.doc_id for r in simhash.distinct_rows(docs).collect()) == [1, 3]
+    expected = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert expected == {1, 3}

@@ -118,20 +118,37 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return pairs.union(starred.distinct())
 
 
+def _components(rows: DataFrame, least: str) -> DataFrame:
+    """``(fp, first)``: for each fingerprint of ``rows``, the least value of a column reachable over links."""
+    distinct_fps = rows.groupBy("fp").agg(F.min(least).alias("own"))
+    roots = component_roots(links(distinct_fps.select("fp")))
+    named = distinct_fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return named.join(named.groupBy("root").agg(F.min("own").alias("first")), "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3) -> DataFrame:
     """``(id, fp, component_id)`` per row; component_id is the least id reachable over links."""
     rows = cut(fingerprints(docs, id_column, text_column, size), "fingerprints")
-    distinct_fps = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = component_roots(links(distinct_fps.select("fp")))
-    named = distinct_fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return rows.join(_components(rows, "id").withColumnRenamed("first", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 #: Texts that show which shingles are frequent (about), how often one is then met, and how many are put last at most.
 _SAMPLE, _OFTEN, _FREQUENT = 20_000, 3, 100_000
 
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """``(id, key, fp)`` of ``texts(id, text)``: the key of ``_keys`` and the SimHash fingerprint of three-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in column(batch, "text")]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            fps = [fingerprint(shingles(w, 3)) for w in words]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(keys, pa.binary()), pa.array(fps, pa.int64())], names=["id", "key", "fp"])
+
+    return texts.mapInArrow(tidy(run), "id long, key binary, fp long")
+
+
 def _keys(docs: DataFrame, *more: str) -> DataFrame:
     """``docs(id, text)``, and columns ``more``, with a ``key`` that tells word sequences apart."""
     names = ["id", "text", *more]
@@ -226,15 +243,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
 
 
-def _similar(texts: DataFrame, rows: int, size: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of the units that are linked to others; exact, see the module's docstring."""
+def _similar(texts: DataFrame, rows: int, size: int, similarity: float, near: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the units that are linked to others; exact, see the module's docstring.
+
+    Links ``near(u, v)`` hold beforehand.
+    """
     points = _points(texts, size, similarity, _frequent(texts, rows, size)).select(F.struct(F.xxhash64("key").alias("unit"), "n", "pos").alias("m"), "at")
     met = Window.partitionBy("at")
     shared = points.withColumn("hub", F.min("m").over(met)).withColumn("last", F.max("m.unit").over(met))
     shared = cut(shared.filter("last <> hub.unit").drop("last"), "points")
     hubs = shared.filter("m.unit <> hub.unit").filter(_possible("m", "hub", similarity))
     hubs = cut(hubs.select(F.col("hub.unit").alias("u"), F.col("m.unit").alias("v")).distinct(), "hubs")
-    links = cut(_alike(hubs, _shingle_sets(texts, _units(hubs), size), similarity), "links")
+    links = _alike(hubs, _shingle_sets(texts, _units(hubs), size), similarity)
+    links = cut(links if near is None else links.union(near), "links")
     roots = component_roots(links)
 
     rooted = shared.select("at", "m", F.col("m.unit").alias("node")).join(roots, "node", "left").select("at", "m", F.coalesce("root", "node").alias("root"))
@@ -253,11 +274,17 @@ def _units(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.col("u").alias("unit")).union(pairs.select("v")).distinct(), "units")
 
 
-def _grouped(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
-    """``(id, key, root)`` per row: rows of similar texts share a root."""
+def _grouped(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float, by_simhash: bool = False) -> DataFrame:
+    """``(id, key, root)`` per row: rows of similar texts share a root, and with ``by_simhash`` those of linked fingerprints."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = cut(_keys(texts).select("id", "key", F.xxhash64("key").alias("unit")), "keys")
-    roots = _similar(texts, rows.count(), size, similarity)
+    near = None
+    if by_simhash:
+        rows = cut(_marked(texts).select("id", "key", "fp", F.xxhash64("key").alias("unit")), "keys")
+        units = rows.select("unit", "fp").distinct()
+        near = units.join(_components(units, "unit"), "fp").filter("unit <> first").select(F.col("unit").alias("u"), F.col("first").alias("v"))
+    else:
+        rows = cut(_keys(texts).select("id", "key", F.xxhash64("key").alias("unit")), "keys")
+    roots = _similar(texts, rows.count(), size, similarity, near)
     return rows.join(roots, rows["unit"] == roots["node"], "left").select("id", "key", F.coalesce("root", "unit").alias("root"))
 
 
@@ -268,11 +295,13 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def distinct_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of similar texts, that of the least id, with its own columns.
+    """One row of each group of near duplicates, that of the least id, with its own columns.
 
+    Texts are linked by SimHash as in ``near_duplicates``; then the exact join of ``similar_groups`` adds the similar
+    texts whose fingerprints differ in more bits than the radius.
     Rows with a null id stay. Rows that share an id are told apart by their words; of those that share both, one stays.
     """
-    grouped = cut(_grouped(docs, id_column, text_column, size, similarity).filter("id is not null"), "groups")
+    grouped = cut(_grouped(docs, id_column, text_column, size, similarity, by_simhash=True).filter("id is not null"), "groups")
     least = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("kept"))
     rows = cut(grouped.join(least, "root").select("id", "key", (F.struct("id", "key") != F.col("kept")).alias("gone")), "judged")
     repeated = cut(rows.groupBy("id").count().filter("count > 1").select("id"), "repeated")
