@@ -248,3 +248,20 @@ def test_rejected_scores_are_told(spark, tmp_path):
     staged = scores.stage_scores(spark, path, "ha_csv", str(tmp_path / "staged"))
     assert (staged.n_scores, staged.n_records_rejected, staged.n_cells_rejected) == (1, 2, 2)
     assert staged.scores.count() == 1 and staged.rejects.count() == 4
+
+
+def test_cells_are_parsed_before_they_are_filtered(spark, tmp_path):
+    path = write(tmp_path / "runs.csv", [samples.RUN_COLUMNS.values(), run_row().values()], ",")
+    rows = samples.read_sample_runs(spark, path).filter("not malformed").select("accession", "center_name")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "from_csv" in line]
+    assert [r.accession for r in rows.collect()] == ["A1"]
+
+
+def test_files_of_other_headers_are_not_read_again(spark, tmp_path):
+    paths = [write(tmp_path / f"{name} 1.tsv", [header, ["1"] * len(header)]) for name, header in (("m", MUTATION_HEADER), ("c", CODON_HEADER))]
+    found = scan(spark, paths, "\t")
+    for header in found.headers:
+        chosen = found.with_header([header])
+        assert chosen.files == [header.example.replace("%20", " ")]
+        assert chosen.rows(header.names).count() == 1

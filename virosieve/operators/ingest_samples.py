@@ -211,7 +211,8 @@ def load_samples(tables: Tables, rows: DataFrame, bulk: bool = False) -> Tables:
         rows = rows.filter(~F.col("malformed"))
     rows = rows.drop("malformed", "bad_geo", "bad_collection_date")
     if "input_order" in rows.columns:
-        rows = last_per_accession(rows, "input_order")
+        # written, as it is read for the places, the known and the new samples
+        rows = cut(last_per_accession(rows, "input_order"), "last-records")
     else:
         repeated = rows.groupBy("accession").count().filter("count > 1").select("accession").take(5)
         if repeated:

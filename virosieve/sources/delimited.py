@@ -69,8 +69,14 @@ class DelimitedFiles:
     headers: list[Header]
 
     def with_header(self, chosen: Iterable[Header]) -> "DelimitedFiles":
-        """The files with one of the chosen headers; no file is listed or read."""
-        return replace(self, headers=[h for h in self.headers if h in set(chosen)])
+        """The files with one of the chosen headers; others are not read again."""
+        headers = [h for h in self.headers if h in set(chosen)]
+        theirs = self.firsts.filter(F.col("header").isin([h.text for h in headers])).select("file")
+        theirs = {row["file"] for row in theirs.collect()}
+        as_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = [file for file in self.files if as_path(file).toUri().toString() in theirs]
+        # no file may be lost by the way its path is written; the join in ``rows`` tells them apart as well
+        return replace(self, headers=headers, files=files if len(files) == len(theirs) else self.files)
 
     def check(self, required: Iterable[str], exact: bool = False) -> None:
         for header in self.headers:
@@ -90,8 +96,7 @@ class DelimitedFiles:
         """
         names = [*required, *optional]
         lines = _lines(self.spark, self.files).withColumn("input_order", input_order())
-        every = self.firsts.select("header").distinct().count() == len(self.headers)
-        if every and len(self.headers) == 1:
+        if len(self.headers) == 1 and self.firsts.count() == len(self.files) == self.firsts.filter(F.col("header") == self.headers[0].text).count():
             lines = lines.withColumn("layout", F.lit(0))
         else:
             known = self.spark.createDataFrame([(h.text, i) for i, h in enumerate(self.headers)], "header string, layout int")
@@ -109,7 +114,8 @@ class DelimitedFiles:
             record = fields if record is None and len(self.headers) == 1 else F.when(here, fields).otherwise(record)
         # Spark's own reader leaves lines of blanks and control characters out, too
         kept = lines.filter(~((F.col("block") == 0) & is_header) & F.col("value").rlike(r"[^\x00-\x20]"))
-        parsed = kept.select(record.alias("record"), "input_order")
+        # explode keeps expressions over the cells from parsing the line again, each for itself
+        parsed = kept.select(record.alias("record"), "input_order").select(F.explode(F.array("record")).alias("record"), "input_order")
         return parsed.select(*[F.col(f"record.c{k}").alias(name) for k, name in enumerate(names)], "input_order")
 
 
