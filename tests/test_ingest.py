@@ -330,3 +330,39 @@ def test_closed_range_touches_the_next(spark):
         (1, 0, 50, False), (1, 50, 100, False), (2, 0, 50, True), (2, 50, 100, False), (3, 0, 90, False), (3, 10, 20, False), (3, 95, 99, False),
     )
     assert rows(validate.check_bin_overlap(ranges), "change_id", "lo") == [(2, 0), (2, 50), (3, 0), (3, 10)]
+
+
+CATALOG = "id long, gff_feature string, position_aa int, ref_aa string, alt_aa string"
+SCORES = CATALOG.replace("id long, ", "") + ", phenotype_metric_name string, phenotype_metric_assay_type string, value double, input_order long"
+
+
+def test_looked_up_changes_are_dealt_to_all_tasks(spark):
+    rows = spark.createDataFrame([("HA", n, "A", "D", "m", "t", 1.0, n) for n in range(100)], SCORES).coalesce(1)
+    catalog = spark.createDataFrame([(n, "HA", n % 100, "A", "D") for n in range(300)], CATALOG)
+    found = isc.lookup_equivalent_changes(rows, catalog)
+    assert found.count() == 300
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_repeated_scores_are_reduced_before_the_lookup(spark, monkeypatch):
+    rows = [("HA", 1, "A", "D", "m", t, float(n), n) for n in range(50) for t in ("t", "s")]
+    rows += [("HA", 1, "A", "D", "m", "t", None, 99), ("HA", None, "A", "D", "m", "t", 3.0, 100)]
+    frames = {
+        "amino_acids": spark.createDataFrame([(n, "HA", 1, "A", "D") for n in range(4)], CATALOG),
+        "phenotype_metrics": spark.createDataFrame([], "id long, phenotype_metric_name string, phenotype_metric_assay_type string"),
+        "phenotype_metric_values": spark.createDataFrame([(7, 7, 7.0)], "phenotype_metric_id long, amino_acid_id long, value double"),
+    }
+    met, lookup = [], isc.lookup_equivalent_changes
+    monkeypatch.setattr(isc, "lookup_equivalent_changes", lambda some, catalog: met.append(some.count()) or lookup(some, catalog))
+    loaded = isc.load_scores(Tables(frames), spark.createDataFrame(rows, SCORES))
+    assert met == [2]
+    assert sorted(map(tuple, loaded.phenotype_metric_values.collect())) == [(1, n, 49.0) for n in range(4)] + [(7, 7, 7.0)]
+    assert [tuple(r) for r in loaded.phenotype_metrics.collect()] == [(1, "m", "s")]
+
+
+def test_bitmaps_are_made_after_the_shuffle(spark):
+    edges = spark.createDataFrame([(n % 3, n * 1000) for n in range(300)] * 2, "change_id long, sample_id long")
+    made = ic.carrier_bitmaps(edges)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("SortAggregate")
+    assert made.agg(F.sum(F.bitmap_count("members"))).first()[0] == 300

@@ -14,9 +14,21 @@ _VALUE_KEY = ["phenotype_metric_id", "amino_acid_id"]
 
 def lookup_equivalent_changes(rows: DataFrame, amino_acids: DataFrame) -> DataFrame:
     """Rows with the id of every change that reads the same: one per codon. Rows without any drop
-    out."""
+    out. The result may be far larger than the rows, so both sides are dealt to all tasks,
+    however few they fill."""
     ids = amino_acids.select(F.col("id").alias("amino_acid_id"), *CHANGE_COLUMNS)
-    return rows.join(ids, list(CHANGE_COLUMNS))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [side.repartition(tasks, *CHANGE_COLUMNS) for side in (rows, ids)]
+    return dealt[0].join(dealt[1], list(CHANGE_COLUMNS))
+
+
+def last_scores(scores: DataFrame) -> DataFrame:
+    """Of the scores of one metric that name the same change, the last value in input order."""
+    return scores.groupBy(*CHANGE_COLUMNS, "phenotype_metric_name").agg(
+        F.min("phenotype_metric_assay_type").alias("phenotype_metric_assay_type"),
+        F.max_by("value", "input_order").alias("value"),
+        F.max("input_order").alias("input_order"),
+    )
 
 
 def unknown_changes(rows: DataFrame, amino_acids: DataFrame) -> DataFrame:
@@ -53,7 +65,8 @@ def metric_value_upsert(existing: DataFrame, scores: DataFrame) -> DataFrame:
 def load_scores(tables: Tables, scores: DataFrame) -> Tables:
     """Load long scores (change columns, metric name and assay type, value, input_order): values of
     unknown changes are skipped, and a metric exists once it has a value."""
-    found = lookup_equivalent_changes(scores.filter(F.col("value").isNotNull()), tables.amino_acids)
+    # a change gets one value of a metric, so repeated scores are left out before each meets all its codons
+    found = lookup_equivalent_changes(last_scores(scores.filter(F.col("value").isNotNull())), tables.amino_acids)
     # written before values refer to its ids
     metrics = cut(metric_dimension_upsert(tables.phenotype_metrics, found), "metrics")
     ids = metrics.select(F.col("id").alias("phenotype_metric_id"), "phenotype_metric_name")
