@@ -165,10 +165,12 @@ def transpose_carriers(edges: DataFrame) -> DataFrame:
 
 def carrier_bitmaps(edges: DataFrame) -> DataFrame:
     """Optional compact form: the carriers of a change as bitmaps of at most 4 KiB, one per 32768
-    sample ids. The bucket is part of the key, so a change with many carriers spreads over many rows."""
-    return edges.groupBy("change_id", F.bitmap_bucket_number("sample_id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("sample_id")).alias("members")
-    )
+    sample ids. The bucket is part of the key, so a change with many carriers spreads over many rows.
+
+    Edges are dealt by key first: they are shuffled and sorted as ids, and each bitmap is made once.
+    """
+    dealt = edges.select("change_id", "sample_id", F.bitmap_bucket_number("sample_id").alias("bucket")).repartition("change_id", "bucket")
+    return dealt.groupBy("change_id", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("sample_id")).alias("members"))
 
 
 # --- one load ----------------------------------------------------------------------------------
