@@ -316,6 +316,41 @@ def test_annotations(spark):
     assert loaded.annotations_papers.count() == 3
 
 
+def test_marker_sets_are_compared_without_their_ids(spark, monkeypatch):
+    """Groups are held by parts of the catalog: many ids that read the same don't multiply them."""
+    aa = "id long, gff_feature string, position_aa long, ref_aa string, alt_aa string"
+    ids = [(n, "XAJ25416.1", n % 2, "A", "K") for n in range(40)] + [(99, "XAJ25416.1", 0, "A", "K"), (99, "XAJ25416.1", 7, "A", "D")]
+    ids += [(100, "XAJ25416.1", 7, "A", "D"), (None, "XAJ25416.1", 8, "A", "D"), (101, "XAJ25416.1", 8, "A", "D"), (1, "XAJ25416.1", 1, "A", "K")]
+    even, odd = [*range(0, 40, 2), 99], [*range(1, 40, 2)]
+    old = [(5, n) for n in even] + [(5, even[0])] + [(6, n) for n in odd[1:]] + [(7, n) for n in even + odd] + [(8, 99), (8, 100)]
+    base = Tables(
+        {
+            "amino_acids": spark.createDataFrame(ids, aa),
+            "effects": spark.createDataFrame([], "detail string"),
+            "papers": spark.createDataFrame([], "id long, authors string, publication_year long, title string"),
+            "annotations": spark.createDataFrame([(n, "e") for n in (5, 6, 7, 8)] + [(5, "f")], "annotation_id long, effect_detail string"),
+            "annotations_amino_acids": spark.createDataFrame(old, "annotation_id long, amino_acid_id long"),
+            "annotations_papers": spark.createDataFrame([], "annotation_id long, paper_id long"),
+        }
+    )
+    names = {"a": ["0"], "b": ["1"], "c": ["0", "1"], "d": ["7D"], "g": ["1"], "h": ["0", "7D"], "i": ["8D"], "j": ["7D", "0"]}
+    markers = [
+        (f"M1:A{x if x[-1] == 'D' else x + 'K'}", effect, "t", "a", 2000, m) for m, xs in names.items() for x in xs for effect in ("e", "f")
+    ]
+    held, written = [], ia.cut
+    monkeypatch.setattr(ia, "cut", lambda df, label: held.append(df.count()) or written(df, label) if label == "marker-members" else written(df, label))
+    schema = "aa_change string, effect_detail string, title string, authors string, publication_year long, marker_id string"
+    loaded = ia.ingest_annotations(base, spark.createDataFrame(markers, schema))
+    assert held[0] < 40  # 302 with every id
+    sets = {}
+    for r in loaded.annotations_amino_acids.join(loaded.annotations.filter("annotation_id > 8"), "annotation_id").collect():
+        sets.setdefault((r.annotation_id, r.effect_detail), []).append(r.amino_acid_id)
+    # e: a, c and d are known and g repeats b; f: a is known, and j repeats h
+    both = sorted({*even, 99, 100})
+    wanted = [("e", odd), ("e", both), ("f", odd), ("f", sorted(even + odd)), ("f", [99, 100]), ("f", both)]
+    assert sorted((e, sorted(s)) for (_, e), s in sets.items()) == sorted(wanted)
+
+
 def test_checks_pass_on_clean_tables(tables):
     names = {r.reference: r.n_violations for r in validate.check_all_references(tables).collect()}
     assert set(names.values()) == {0}
