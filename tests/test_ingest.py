@@ -95,6 +95,20 @@ def test_load_changes(spark, raw, base, tmp_path):
     assert rows(by_sample.select("change_id", "sample_id")) == rows(loaded.cns_nt)
 
 
+def test_a_load_looks_samples_up_once(spark, raw, base, tmp_path, monkeypatch):
+    """Samples are worked out once a load, however many records and edges look them up, and edges are written once for both layouts."""
+    read, labels, written = spark.sparkContext.accumulator(0), [], ic.buckets.cut
+    seen = F.udf(lambda x: (read.add(1), x)[1], "string").asNondeterministic()
+    samples = base.samples.withColumn("accession", seen("accession"))
+    monkeypatch.setattr(ic.buckets, "cut", lambda df, label: labels.append(label) or written(df, label))
+    root = str(tmp_path / "counted")
+    ic.load_changes(base.replace(samples=samples), *raw, root, 4)
+    assert read.value == 2 and not labels
+    again = ic.load_changes(base.replace(samples=samples), *raw, root, 4)
+    assert read.value == 4 and set(labels) == {"merged"}
+    assert [again[name].count() for name in ic.EDGES] == [3, 1, 3, 2]
+
+
 def test_written_tables_are_found(spark, tables, tmp_path):
     names = ["samples", "geo_locations", "alleles", "ih_nt"]
     write_tables(tables, str(tmp_path / "t"), names)

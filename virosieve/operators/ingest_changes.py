@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from virosieve.functions.changes import N_FREQ_BINS, freq_bin, translate_codon
 from virosieve.operators import upkeep
 from virosieve.operators.common import AA, NT
-from virosieve.operators.ingest_samples import drop_null_ref, drop_unknown_accessions
+from virosieve.operators.ingest_samples import drop_null_ref
 from virosieve.plans import buckets
 from virosieve.plans.durable import cut
 from virosieve.plans.ids import assign_ids, highest
@@ -115,23 +115,31 @@ def amino_acid_ref_conflicts(ih_codons: DataFrame, mutations: DataFrame, existin
 # --- carriers ----------------------------------------------------------------------------------
 
 
-def _edges(records: DataFrame, catalog: DataFrame, key, samples: DataFrame, extra=()) -> DataFrame:
-    """Distinct edges of records: the catalog gives the change id, the accession the sample id.
+def with_sample_ids(records: DataFrame, samples: DataFrame) -> DataFrame:
+    """The records of known samples, with ``sample_id`` in place of the accession."""
+    ids = samples.select("accession", F.col("id").alias("sample_id"))
+    return records.join(ids, "accession").drop("accession")
+
+
+def _edges(records: DataFrame, catalog: DataFrame, key, samples: DataFrame | None, extra=()) -> DataFrame:
+    """Distinct edges of records: the catalog gives the change id, the accession the sample id, unless the
+    records have it already (no ``samples``).
 
     Records are first reduced to the columns of the edge. The catalog is joined on its whole key and
     samples on their unique accession, so neither join multiplies rows.
     """
     changes = catalog.select(F.col("id").alias("change_id"), *key)
-    ids = samples.select("accession", F.col("id").alias("sample_id"))
-    slim = records.select("accession", *key, *extra)
-    return slim.join(changes, list(key)).join(ids, "accession").select("change_id", "sample_id", *extra).distinct()
+    slim = records.select("sample_id" if samples is None else "accession", *key, *extra).join(changes, list(key))
+    if samples is not None:
+        slim = with_sample_ids(slim, samples)
+    return slim.select("change_id", "sample_id", *extra).distinct()
 
 
-def carriers_cns_allele(mutations: DataFrame, alleles: DataFrame, samples: DataFrame) -> DataFrame:
+def carriers_cns_allele(mutations: DataFrame, alleles: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     return _edges(mutations, alleles, ALLELE_KEY, samples)
 
 
-def carriers_cns_amino_acid(mutations: DataFrame, amino_acids: DataFrame, samples: DataFrame) -> DataFrame:
+def carriers_cns_amino_acid(mutations: DataFrame, amino_acids: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     return _edges(mutations.filter(F.col("ref_aa").isNotNull()), amino_acids, AMINO_ACID_KEY, samples)
 
 
@@ -140,12 +148,12 @@ def assign_freq_bin(rows: DataFrame, freq: str, n_bins: int = N_FREQ_BINS) -> Da
     return rows.withColumn("freq_bin", freq_bin(F.col(freq), n_bins))
 
 
-def carriers_ih_allele(ih_nts: DataFrame, alleles: DataFrame, samples: DataFrame) -> DataFrame:
+def carriers_ih_allele(ih_nts: DataFrame, alleles: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     binned = assign_freq_bin(ih_nts, "gapped_freq").filter(F.col("freq_bin").isNotNull())
     return _edges(binned, alleles, ALLELE_KEY, samples, ["freq_bin"])
 
 
-def carriers_ih_amino_acid(ih_codons: DataFrame, amino_acids: DataFrame, samples: DataFrame) -> DataFrame:
+def carriers_ih_amino_acid(ih_codons: DataFrame, amino_acids: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Codon records name no amino acid, so the key is (feature, position, alt codon)."""
     binned = assign_freq_bin(ih_codons, "alt_freq").filter(F.col("freq_bin").isNotNull())
     return _edges(binned, amino_acids, ("gff_feature", "position_aa", "alt_codon"), samples, ["freq_bin"])
@@ -211,20 +219,20 @@ def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_cod
     def merged(name: str, incoming: DataFrame, key: str, combine) -> DataFrame:
         path = f"{root}/{name}"
         if path_exists(spark, path):
-            buckets.merge(spark, path, incoming, key, combine)
+            buckets.merge(spark, path, incoming, key, combine, written=True)
             return buckets.read(spark, path)
         old = stored(name)
         return buckets.create(incoming if old is None else combine(old, incoming), path, key, n_buckets)
 
-    # Text is parsed and filtered once; the steps below read columns of the staged records.
-    known = tables.samples.select("id", "accession")
-    mutations = drop_null_ref(drop_unknown_accessions(mutations, known))
-    mutations = cut(mutations.select("accession", *ALLELE_KEY, "ref_nt", *_AMINO_ACID_COLUMNS), "staged-mutations")
-    ih_nts = drop_unknown_accessions(filter_intrahost_nt(ih_nts), known)
-    ih_nts = cut(ih_nts.select("accession", *ALLELE_KEY, "ref_nt", "gapped_freq"), "staged-nucleotides")
-    ih_codons = drop_unknown_accessions(filter_intrahost_codons(ih_codons), known)
+    # Text is parsed and filtered and samples are looked up once; the steps below read columns of the staged records.
+    known = cut(tables.samples.select("id", "accession"), "known-samples")
+    mutations = with_sample_ids(drop_null_ref(mutations).select("accession", *ALLELE_KEY, "ref_nt", *_AMINO_ACID_COLUMNS), known)
+    mutations = cut(mutations, "staged-mutations")
+    ih_nts = filter_intrahost_nt(ih_nts).select("accession", *ALLELE_KEY, "ref_nt", "gapped_freq")
+    ih_nts = cut(with_sample_ids(ih_nts, known), "staged-nucleotides")
     codon_columns = ["gff_feature", "position_aa", "alt_codon", "ref_codon", "alt_freq"]
-    ih_codons = cut(ih_codons.select("accession", *codon_columns), "staged-codons")
+    ih_codons = filter_intrahost_codons(ih_codons).select("accession", *codon_columns)
+    ih_codons = cut(with_sample_ids(ih_codons, known), "staged-codons")
 
     allele_columns = ["id", "region", "position_nt", "ref_nt", "alt_nt"]
     alleles = grown("alleles", allele_columns, NT.columns, lambda old: build_allele_catalog(mutations, ih_nts, old))
@@ -232,10 +240,10 @@ def load_changes(tables: Tables, mutations: DataFrame, ih_nts: DataFrame, ih_cod
     amino_acids = grown("amino_acids", aa_columns, AA.columns, lambda old: build_amino_acid_catalog(ih_codons, mutations, old))
 
     incoming = {
-        "cns_nt": carriers_cns_allele(mutations, alleles, known),
-        "cns_aa": carriers_cns_amino_acid(mutations, amino_acids, known),
-        "ih_nt": carriers_ih_allele(ih_nts, alleles, known),
-        "ih_aa": carriers_ih_amino_acid(ih_codons, amino_acids, known),
+        "cns_nt": carriers_cns_allele(mutations, alleles),
+        "cns_aa": carriers_cns_amino_acid(mutations, amino_acids),
+        "ih_nt": carriers_ih_allele(ih_nts, alleles),
+        "ih_aa": carriers_ih_amino_acid(ih_codons, amino_acids),
     }
     incoming = {name: cut(edges, f"incoming-{name}") for name, edges in incoming.items()}
     edges = {}

@@ -62,15 +62,17 @@ def count_of(spark: SparkSession, path: str) -> int:
 
 
 def merge(spark: SparkSession, path: str, incoming: DataFrame, key: str | Sequence[str],
-          combine: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+          combine: Callable[[DataFrame, DataFrame], DataFrame], written: bool = False) -> list[int]:
     """Replace each touched bucket by ``combine(stored rows, incoming rows)``; returns the touched buckets.
 
-    ``combine`` sees whole buckets of both, gives the table's columns, and must keep every row's key.
+    Incoming rows are read twice and therefore written first, unless they are ``written`` already. ``combine`` sees whole buckets of both, gives the table's columns, and must keep every row's key.
     """
     stored = spark.read.parquet(path)
     columns = [c for c in stored.columns if c not in _PLACE]
     buckets = count_of(spark, path)
-    incoming = cut(incoming.withColumn("bucket", bucket_of(key, buckets)), "incoming")
+    incoming = incoming.withColumn("bucket", bucket_of(key, buckets))
+    if not written:
+        incoming = cut(incoming, "incoming")
     touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
     if not touched:
         return []
