@@ -106,7 +106,7 @@ def test_a_load_looks_samples_up_once(spark, raw, base, tmp_path, monkeypatch):
     assert read.value == 2 and not labels
     again = ic.load_changes(base.replace(samples=samples), *raw, root, 4)
     assert read.value == 4 and set(labels) == {"merged"}
-    assert [again[name].count() for name in ic.EDGES] == [3, 1, 3, 2]
+    assert [again[name].count() for name in ic.EDGES] == [3, 2, 3, 2]
 
 
 def test_written_tables_are_found(spark, tables, tmp_path):
