@@ -77,3 +77,58 @@ def test_pipeline_stage_links_by_simhash(spark):
     assert sorted(r.doc_id for r in simhash.distinct_rows(docs).collect()) == [1, 3]
     expected = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert expected == {1, 3}
+
+
+def _compared(spark, monkeypatch, texts):
+    """The groups, and how many pairs were compared after those with hubs."""
+    seen = []
+    cut = simhash.cut
+
+    def counted(df, label="cut"):
+        kept = cut(df, label)
+        seen.extend([kept.count()] if label == "pairs" else [])
+        return kept
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(simhash, "_OFTEN", 1 << 30)  # the order knows no frequent shingles, as for those a sample misses
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in simhash.similar_groups(df).collect():
+        groups.setdefault(r["component_id"], set()).add(r["id"])
+    return sorted(map(sorted, groups.values())), seen[0]
+
+
+def test_unlike_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    passage = [f"shared{i}" for i in range(30)]
+    lists = [[*(f"w{n}" for n in rng.integers(0, 50_000, size)), *passage] for size in (60, 200, 700) for _ in range(50)]
+    pairs = [[*lists[i][:20], "replaced", *lists[i][21:]] for i in (0, 60, 120)]
+    groups, compared = _compared(spark, monkeypatch, [" ".join(w) for w in (*lists, *pairs)])
+    assert [g for g in groups if len(g) > 1] == [[0, 150], [60, 151], [120, 152]]
+    assert compared < 300  # of 150 texts' pairs at the passage's points
+
+
+def test_edited_copies_meet_the_text_they_were_made_of(spark, monkeypatch):
+    # a copy is similar to the text, but not to another copy
+    rng = np.random.default_rng(8)
+    first = [f"w{n}" for n in rng.integers(0, 50_000, 150)]
+    copies = []
+    for number in range(120):
+        copies.append(list(first))
+        for at in (10, 70, 130):
+            copies[-1][int(at + rng.integers(-8, 8))] = f"edit{number}"
+    groups, compared = _compared(spark, monkeypatch, [" ".join(w) for w in (first, *copies)])
+    assert groups == [list(range(121))]
+    assert compared < 600  # of 7140 pairs of copies
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(9)
+    for size in (0, 1, 40, 64, 65, 150, 1000, 9000):
+        own = np.unique(rng.integers(-(1 << 62), 1 << 62, size))
+        other = np.unique(np.concatenate([own[size // 10 :], rng.integers(-(1 << 62), 1 << 62, size // 5)]))
+        bits = sorted((simhash._parity(own), simhash._parity(other)), key=len)
+        while len(bits[1]) > len(bits[0]):
+            bits[1] = bits[1][: len(bits[1]) // 2] ^ bits[1][len(bits[1]) // 2 :]
+        differing = np.unpackbits((bits[0] ^ bits[1]).view(np.uint8)).sum()
+        assert differing <= len(np.setxor1d(own, other))

@@ -54,6 +54,8 @@ BROADCAST_ROWS = 2_000_000
 #: The three parts of the fingerprint that are left out in turn.
 _PARTS = ((1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42)
 _PIECE = 1 << 16
+#: A bitmap of a shingle set has at most ``64 << _LONGS`` bits.
+_LONGS = 7
 
 
 def _signed(value: int) -> int:
@@ -222,6 +224,51 @@ def _possible(a: str, b: str, similarity: float) -> Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity * (n + m - most) - 1e-6)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """A set's bitmap, about a bit an element: each element flips the bit that its hash names."""
+    longs = 1 << min(max(len(hashes) - 1, 0).bit_length() - 6, _LONGS) if len(hashes) > 64 else 1
+    bits = np.bincount(hashes.view(np.uint64) >> np.uint64(20) & np.uint64(64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _parities(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(unit, bits)``: the bitmap of each of the units ``wanted(unit)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_parity(_hashes(words_of(t.as_py()), size)) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "unit"), pa.array(bits, pa.list_(pa.int64()))], names=["unit", "bits"])
+
+    return _texts_of(texts, wanted).mapInArrow(tidy(run), "unit long, bits array<long>").groupBy("unit").agg(F.first("bits").alias("bits"))
+
+
+def _apart(a: str, b: str, similarity: float) -> Column:
+    """Whether the bitmaps of two sets differ in more bits than sets that are similar enough have elements in one alone.
+
+    An element of one set alone flips one bit, so the bitmaps of two sets differ in no more bits than that. The
+    larger bitmap is folded to the size of the smaller one, which is the bitmap of that size.
+    """
+
+    def folded(bits: Column, size: Column) -> Column:
+        half = F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > size, half).otherwise(bits)
+
+    own, other = F.col(f"{a}_bits"), F.col(f"{b}_bits")
+    size = F.least(F.size(own), F.size(other))
+    differing = F.zip_with(folded(own, size), folded(other, size), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    count = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+    # of n + m elements, J of the union are shared: the others are (1 - J) / (1 + J) of n + m at most
+    most = (1 - similarity) / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    # sizes that differ by more than one fold are not compared
+    return (F.greatest(F.size(own), F.size(other)) <= 2 * size) & (count > most + 1e-6)
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(unit, text)`` of the rows whose unit is one of ``wanted(unit)``."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return _keys(texts).select(F.xxhash64("key").alias("unit"), "text").join(F.broadcast(wanted) if few else wanted, "unit")
+
+
 def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``(unit, hashes)`` of each of the units ``wanted(unit)``."""
 
@@ -230,9 +277,7 @@ def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [_hashes(words_of(t.as_py()), size) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "unit"), pa.array(sets, pa.list_(pa.int64()))], names=["unit", "hashes"])
 
-    few = wanted.count() <= BROADCAST_ROWS
-    own = _keys(texts).select(F.xxhash64("key").alias("unit"), "text").join(F.broadcast(wanted) if few else wanted, "unit")
-    return own.mapInArrow(tidy(run), "unit long, hashes array<long>").groupBy("unit").agg(F.first("hashes").alias("hashes"))
+    return _texts_of(texts, wanted).mapInArrow(tidy(run), "unit long, hashes array<long>").groupBy("unit").agg(F.first("hashes").alias("hashes"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -248,10 +293,11 @@ def _similar(texts: DataFrame, rows: int, size: int, similarity: float, near: Da
 
     Links ``near(u, v)`` hold beforehand.
     """
-    points = _points(texts, size, similarity, _frequent(texts, rows, size)).select(F.struct(F.xxhash64("key").alias("unit"), "n", "pos").alias("m"), "at")
+    points = _points(texts, size, similarity, _frequent(texts, rows, size)).select(F.struct("pos", "n", F.xxhash64("key").alias("unit")).alias("m"), "at")
     met = Window.partitionBy("at")
-    shared = points.withColumn("hub", F.min("m").over(met)).withColumn("last", F.max("m.unit").over(met))
-    shared = cut(shared.filter("last <> hub.unit").drop("last"), "points")
+    # the hub has the fewest rare shingles before the point: of edited copies, that is the text they were made of
+    shared = points.withColumn("hub", F.min("m").over(met)).withColumn("last", F.max("m").over(met))
+    shared = cut(shared.filter("last <> hub").drop("last"), "points")
     hubs = shared.filter("m.unit <> hub.unit").filter(_possible("m", "hub", similarity))
     hubs = cut(hubs.select(F.col("hub.unit").alias("u"), F.col("m.unit").alias("v")).distinct(), "hubs")
     links = _alike(hubs, _shingle_sets(texts, _units(hubs), size), similarity)
@@ -261,8 +307,10 @@ def _similar(texts: DataFrame, rows: int, size: int, similarity: float, near: Da
     rooted = shared.select("at", "m", F.col("m.unit").alias("node")).join(roots, "node", "left").select("at", "m", F.coalesce("root", "node").alias("root"))
     rooted = rooted.withColumn("first", F.min("root").over(met)).withColumn("last", F.max("root").over(met))
     rooted = cut(rooted.filter("first <> last").select("at", "m", "root").distinct(), "apart")
-    a, b = (rooted.select("at", F.col("m").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-    pairs = a.join(b, "at").filter("a.unit < b.unit and a_root <> b_root").filter(_possible("a", "b", similarity))
+    units = cut(rooted.select(F.col("m.unit").alias("unit")).distinct(), "units")
+    marked = rooted.withColumn("unit", F.col("m.unit")).join(cut(_parities(texts, units, size), "parities"), "unit").drop("unit")
+    a, b = (marked.select("at", F.col("m").alias(n), F.col("root").alias(f"{n}_root"), F.col("bits").alias(f"{n}_bits")) for n in "ab")
+    pairs = a.join(b, "at").filter("a.unit < b.unit and a_root <> b_root").filter(_possible("a", "b", similarity) & ~_apart("a", "b", similarity))
     pairs = pairs.select(F.col("a.unit").alias("u"), F.col("b.unit").alias("v")).distinct().join(hubs, ["u", "v"], "left_anti")
     pairs = cut(pairs, "pairs")
     more = _alike(pairs, _shingle_sets(texts, _units(pairs), size), similarity)
