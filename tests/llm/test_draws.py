@@ -60,3 +60,48 @@ def test_seats_are_like_those_of_one_generator():
     one = One(np.arange(3000), 3000, np.random.default_rng(1))
     one.seat(c, base)
     assert abs(dealt.tables.mean() - one.tables.mean()) < 0.1 * one.tables.mean()
+
+
+def _texts(spark, parts):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{n}" for n in rng.zipf(1.4, 40) % 500)) for i in range(120)]
+    return spark.createDataFrame([*rows, (None, ""), (7, None)], "doc_id long, text string").repartition(parts, "doc_id")
+
+
+def test_pairs_met_once_are_no_rows(spark, monkeypatch):
+    rows, cut = {}, lm_score.cut
+
+    def counted(df, label):
+        kept = cut(df, label)
+        rows[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(lm_score, "cut", counted)
+    docs = _texts(spark, 3)
+    held = lm_score.held_out()
+    assert lm_score.scored(docs, held).count() == 122
+    times, words = {}, set()
+    for r in docs.filter(~held).collect():
+        own = ["", *(r["text"] or "").split(), ""]
+        words |= set(own)
+        for pair in zip(own, own[1:], strict=False):
+            times[pair] = times.get(pair, 0) + 1
+    again = sum(c > 1 for c in times.values())
+    assert rows["pair-seats"] == again
+    assert rows["pairs"] <= again + 3 * len(words) < len(times)  # pairs met again, and words of each of the chunks
+
+
+def test_scores_do_not_depend_on_buckets(spark, monkeypatch):
+    found = []
+    for tokens in (20, 1_000_000):
+        monkeypatch.setattr(lm_score, "BUCKET_PAIRS", tokens)
+        found.append(sorted(tuple(r) for r in lm_score.scored(_texts(spark, 3).filter("doc_id is not null"), lm_score.held_out()).collect()))
+    assert found[0] == found[1] and len(found[0]) == 121
+
+
+@pytest.mark.parametrize("values", [[], [0], [-5, 1 << 62, -(1 << 63), 3], range(1000)])
+def test_packed_integers_come_back(values):
+    values = np.array(values, np.int64)
+    assert (lm_score._restored(lm_score._squeezed(values)) == values).all()
+    ascending = np.sort(values.view(np.uint64))
+    assert (np.cumsum(lm_score._restored(lm_score._squeezed_steps(ascending)).view(np.uint64)) == ascending).all()

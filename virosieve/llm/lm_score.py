@@ -15,15 +15,16 @@ As Spark jobs:
 3. Contexts that end in the same character are a subtree below the root and are sampled together, one task a
    subtree, whose rows are distinct (context, character) pairs and not occurrences. Two rounds are run: the
    root is re-seated in between from all subtrees' tables. The root's dishes are characters, at most Unicode.
-4. Each chunk's distinct pairs of words that follow each other are counted over chunks. A pair met once has
-   one table; the others are seated in any task, knowing their context's number of tables, so a frequent
-   context is spread. Tables are summed to contexts and, as customers, to words.
+4. Each chunk's distinct pairs of words that follow each other are counted over chunks: their 64-bit keys are sent
+   to buckets as packed arrays, and what returns is packed counts of the pairs that are met more than once, or only
+   in another chunk. A pair met once has one table; the others are rows, from one chunk that owns them, and are
+   seated in any task, knowing their context's number of tables, so a frequent context is spread. Tables are summed to contexts and, as customers, to words.
    Draws of words and pairs follow from their hashes, not from how rows are dealt: scores are the same whatever the
    partitions.
 5. Predictive probabilities are joined to the distinct words' characters and summed to spellings. Given these,
    words are re-seated in the tasks that hold them, all knowing the restaurant's number of tables.
-6. Words and pairs are joined to the chunks' entries (pairs met only once, there, are not sent); each chunk then
-   sums up its texts.
+6. Words and pairs are sent to their chunks by the buckets, packed (pairs met only once, there, are not sent); each
+   chunk then sums up its texts.
 
 The probability table is broadcast if it has at most ``BROADCAST_ROWS`` rows, else joined by a shuffle.
 
@@ -36,22 +37,25 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Spread, Subtree, mixed
 from virosieve.llm.text import column, id_remainder, small_batches
-from virosieve.plans.durable import cut
+from virosieve.plans import durable
 
 ORDER = 4
 CHUNK = 1_500_000
 BROADCAST_ROWS = 2_000_000
+#: Tokens for each bucket of pairs (half of it at least), so that a task holds a bucket's pairs.
+BUCKET_PAIRS = 1_000_000
 BURN_IN, SAMPLES, MOVES = 2, 4, 3
 #: Symbols that are no characters: before a word, after a word, and the end of a text.
 START, STOP, END = 0, 1, 2
@@ -59,6 +63,8 @@ START, STOP, END = 0, 1, 2
 EDGE = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+cut = partial(durable.cut, drop_shuffles=True)
+
 
 def _hash(value: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mixed(value * _MIX + more)
@@ -277,36 +283,155 @@ def _steps(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.nda
     return np.concatenate([[n_words], word[:-1]]).astype(np.int64)[: len(word)], word
 
 
-def _pairs(chunks: DataFrame) -> DataFrame:
-    """``(chunk, at, a, b, n)``: each chunk's distinct pairs of hashed words in order, and their training counts."""
+def _squeezed(values: np.ndarray) -> bytes:
+    """Integers as bytes of equal weight side by side, compressed, after their count."""
+    flat = np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(flat).tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes) -> np.ndarray:
+    count = int.from_bytes(data[:8], "little")
+    if not count:
+        return np.zeros(0, np.int64)
+    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * count, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, count).T).view("<i8").reshape(-1)
+
+
+def _squeezed_steps(ascending: np.ndarray) -> bytes:
+    return _squeezed(np.diff(ascending, prepend=ascending.dtype.type(0)).view(np.int64))
+
+
+class _ChunkPairs:
+    """A chunk's distinct pairs of words that follow each other, in the order of their keys.
+
+    ``first`` and ``then`` are places among the chunk's words, the text's begin and end last; ``n`` is a pair's
+    training count here, and ``of_step`` the place of each token's pair.
+    """
+
+    def __init__(self, chunk: pa.Table | pa.RecordBatch, i: int):
+        self.lengths = chunk["lengths"][i].values.to_numpy()
+        self.codes = _unpacked(chunk["codes"][i].as_py(), int(self.lengths.sum()))
+        self.hashes = np.append(chunk["hashes"][i].values.to_numpy(), EDGE).astype(np.int64)
+        size = len(self.hashes)
+        before, word = _steps(self.codes, self.lengths, size - 1)
+        ids, inverse = np.unique(before * size + word, return_inverse=True)
+        keys = pair_key(self.hashes[ids // size], self.hashes[ids % size])
+        order = np.argsort(keys, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.keys, self.first, self.then, self.of_step = keys[order], ids[order] // size, ids[order] % size, back[inverse]
+        learn = ~np.repeat(chunk["held"][i].values.to_numpy(zero_copy_only=False).astype(bool), self.lengths + 1)
+        self.n = np.bincount(self.of_step[learn], minlength=len(ids))
+
+    def starts(self, bits: int) -> np.ndarray:
+        """Where each bucket's pairs begin, and the end."""
+        return np.searchsorted(_bucket(self.keys, bits), np.arange((1 << bits) + 1))
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _hash(a.view(np.uint64), b.view(np.uint64))
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of keys."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _hashed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk", "ids", "held", "lengths", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+
+def _pairs(chunks: DataFrame, bits: int) -> DataFrame:
+    """``(bucket, chunk, keys, n)``: each chunk's distinct pairs of a bucket and their training counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: column(batch, n)[i].values for n in ("held", "lengths", "hashes")}
-                lengths, hashes = row["lengths"].to_numpy(), np.append(row["hashes"].to_numpy(), EDGE)
-                size = len(hashes) - 1
-                before, word = _steps(_unpacked(column(batch, "codes")[i].as_py(), int(lengths.sum())), lengths, size)
-                ids, inverse = np.unique(before * (size + 1) + word, return_inverse=True)
-                learn = ~np.repeat(row["held"].to_numpy(zero_copy_only=False).astype(bool), lengths + 1)
-                n = np.bincount(inverse[learn], minlength=len(ids))
-                chunk = np.full(len(ids), column(batch, "chunk")[i].as_py())
-                values = [chunk, np.arange(len(ids)), hashes[ids // (size + 1)], hashes[ids % (size + 1)], n]
-                for start in range(0, len(ids), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[start : start + 100_000], pa.int64()) for v in values], names=["chunk", "at", "a", "b", "n"])
+                own, chunk = _ChunkPairs(batch, i), column(batch, "chunk")[i].as_py()
+                starts = own.starts(bits)
+                for bucket in np.flatnonzero(np.diff(starts)).tolist():
+                    part = slice(starts[bucket], starts[bucket + 1])
+                    values = [bucket, chunk, _squeezed_steps(own.keys[part]), _squeezed(own.n[part])]
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "chunk", "keys", "n"])
+
+    return _hashed(chunks).mapInArrow(run, "bucket long, chunk long, keys binary, n binary")
+
 
-    found = chunks.select("chunk", "held", "lengths", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return found.mapInArrow(run, "chunk long, at long, a long, b long, n long")
+def _known(pairs: DataFrame) -> DataFrame:
+    """``(bucket, chunk, places, c, numbers, owned)``: what a chunk can't tell of its pairs by itself.
 
+    ``places`` among its pairs of the bucket, for those met more than once or only in another chunk, with their counts
+    over all chunks, their numbers among the bucket's pairs met more than once, and whether the chunk is the one that owns them.
+    """
+    names = ["bucket", "chunk", "places", "c", "numbers", "owned"]
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = [np.cumsum(_restored(k.as_py()).view(np.uint64)) for k in table["keys"]]
+        n = np.concatenate([_restored(v.as_py()) for v in table["n"]])
+        keys, first, inverse = np.unique(np.concatenate(blocks), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
+        owned = np.zeros(len(n), np.int64)
+        owned[first] = 1
+        c, number = total[inverse], (np.cumsum(total > 1) - 1)[inverse]
+        found, begin = [[] for _ in names], 0
+        for i, block in enumerate(blocks):
+            own = slice(begin, begin + len(block))
+            begin += len(block)
+            at = np.flatnonzero((c[own] > 1) | ((n[own] == 0) & (c[own] > 0)))
+            if len(at):
+                values = [table["bucket"][i].as_py(), table["chunk"][i].as_py(), _squeezed_steps(at), _squeezed(c[own][at]), _squeezed_steps(number[own][at]), _squeezed(owned[own][at])]
+                for to, value in zip(found, values, strict=True):
+                    to.append(value)
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], names=names)
+
+    return pairs.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, places binary, c binary, numbers binary, owned binary")
 
-def _pair_seats(met: DataFrame, words: DataFrame, n_texts: int, total: int, seed: int) -> DataFrame:
-    """``(a, b, c, tables)`` of the pairs met more than once: their mean number of tables over Gibbs samples."""
+
+def _met(chunks: DataFrame, known: DataFrame, bits: int) -> DataFrame:
+    """``(a, b, c, dishes, once, ends)``: pairs met more than once, by the chunk that owns them; and where ``b`` is
+    null, of a chunk's word, the pairs that it begins, those of them met once, and those met once that it ends."""
+    names = ["a", "b", "c", "dishes", "once", "ends"]
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int64)] for _ in names]
+        for i in range(len(texts)):
+            own = _ChunkPairs(texts, i)
+            starts, c, owned = own.starts(bits), own.n.copy(), np.zeros(len(own.n), bool)
+            for j in range(len(known)):
+                at = starts[known["bucket"][j].as_py()] + np.cumsum(_restored(known["places"][j].as_py()))
+                c[at] = _restored(known["c"][j].as_py())
+                owned[at] = _restored(known["owned"][j].as_py()) > 0
+            many, once = np.flatnonzero(owned & (c > 1)), (c == 1) & (own.n == 1)
+            size = len(own.hashes)
+            singles = [np.bincount(x, minlength=size) for x in (own.first[once], own.then[once])]
+            dishes = singles[0] + np.bincount(own.first[many], minlength=size)
+            some = np.flatnonzero(dishes + singles[1])
+            rest = np.full(len(some), -1)
+            for to, values in zip(found, (own.hashes[some], rest, rest, dishes[some], singles[0][some], singles[1][some]), strict=True):
+                to.append(values)
+            rest = np.full(len(many), -1)
+            for to, values in zip(found, (own.hashes[own.first[many]], own.hashes[own.then[many]], c[many], rest, rest, rest), strict=True):
+                to.append(values)
+        columns = [np.concatenate(x) for x in found]
+        of_pair = columns[3] < 0
+        gone = [None, ~of_pair, ~of_pair, of_pair, of_pair, of_pair]
+        return pa.table([pa.array(v, pa.int64(), mask=m) for v, m in zip(columns, gone, strict=True)], names=names)
+
+    own = _hashed(chunks).drop("ids").groupBy("chunk").cogroup(known.groupBy("chunk"))
+    return own.applyInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _pair_seats(met: DataFrame, dishes: DataFrame, words: DataFrame, n_texts: int, total: int, seed: int, bits: int) -> DataFrame:
+    """``(a, b, c, tables, key, bucket)`` of ``met(a, b, c)``, pairs met more than once: their mean number of tables over Gibbs samples."""
+    names = ["a", "b", "c", "tables", "key", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 c, base = column(batch, "c").to_numpy(), column(batch, "base").to_numpy()
-                pair = _hash(column(batch, "a").to_numpy().view(np.uint64), column(batch, "b").to_numpy().view(np.uint64))
+                pair = pair_key(column(batch, "a").to_numpy(), column(batch, "b").to_numpy())
                 part = Spread(pair.view(np.int64), column(batch, "dishes").to_numpy(), seed)
                 part.seat(c, base)
                 tables = np.zeros(len(c))
@@ -314,14 +439,65 @@ def _pair_seats(met: DataFrame, words: DataFrame, n_texts: int, total: int, seed
                     for _ in range(MOVES):
                         part.move(base)
                     tables += part.tables if step >= BURN_IN else 0
-                yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in "abc"), pa.array(tables / SAMPLES)], names=["a", "b", "c", "tables"])
+                more = [pa.array(v) for v in (tables / SAMPLES, pair.view(np.int64), _bucket(pair, bits))]
+                yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in "abc"), *more], names=names)
 
-    own = met.filter("first")
-    dishes = own.groupBy("a").agg(F.count(F.lit(1)).alias("dishes"))
     base = words.filter("c > 0").select(F.col("w").alias("b"), (F.col("c") / float(max(total, 1))).alias("base"))
     base = base.union(met.sparkSession.createDataFrame([(EDGE, n_texts / max(total, 1))], "b long, base double"))
-    rows = own.filter("c > 1").join(base, "b").join(dishes, "a")
-    return rows.select("a", "b", "c", "dishes", "base").mapInArrow(run, "a long, b long, c long, tables double")
+    rows = met.join(base, "b").join(dishes, "a")
+    return rows.select("a", "b", "c", "dishes", "base").mapInArrow(run, "a long, b long, c long, tables double, key long, bucket long")
+
+
+def _masses(known: DataFrame, seats: DataFrame) -> DataFrame:
+    """``(chunk, bucket, places, masses)``: what each pair of ``known`` has beside its context's share of the words, packed."""
+    names = ["chunk", "bucket", "places", "masses"]
+
+    def run(known: pa.Table, seats: pa.Table) -> pa.Table:
+        _, first = np.unique(seats["key"].to_numpy().view(np.uint64), return_index=True)
+        tables = np.append(seats["tables"].to_numpy()[first], 1.0)
+        masses = []
+        for j in range(len(known)):
+            c, number = _restored(known["c"][j].as_py()), np.cumsum(_restored(known["numbers"][j].as_py()))
+            masses.append((c - DISCOUNT * tables[np.where(c > 1, number, -1)]).astype("<f4").tobytes())
+        return pa.table([*(known[n] for n in names[:3]), pa.array(masses, pa.binary())], names=names)
+
+    own = known.select("bucket", "chunk", "places", "c", "numbers").groupBy("bucket")
+    return own.cogroup(seats.select("bucket", "key", "tables").groupBy("bucket")).applyInArrow(run, "chunk long, bucket long, places binary, masses binary")
+
+
+def _word_places(chunks: DataFrame, bits: int) -> DataFrame:
+    """``(bucket, chunk, keys)``: the hashes of each chunk's words of a bucket, ascending, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.sort(column(batch, "hashes")[i].values.to_numpy().astype(np.int64).view(np.uint64))
+                starts, chunk = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1)), column(batch, "chunk")[i].as_py()
+                some = np.flatnonzero(np.diff(starts)).tolist()
+                packed = [_squeezed_steps(keys[starts[b] : starts[b + 1]]) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "keys"])
+
+    return _hashed(chunks).select("chunk", "hashes").mapInArrow(run, "bucket long, chunk long, keys binary")
+
+
+def _values(places: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """``(chunk, bucket, c, logp, tables, customers)``: those columns of ``words(w, ..)`` for the words of ``places``, packed."""
+
+    def run(places: pa.Table, words: pa.Table) -> pa.Table:
+        keys = words["w"].to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, columns = keys[order], {n: words[n].to_numpy()[order] for n in ("c", "logp", "tables", "customers")}
+        found: dict[str, list] = {n: [] for n in columns}
+        for packed in places["keys"]:
+            at = np.searchsorted(keys, np.cumsum(_restored(packed.as_py()).view(np.uint64)))
+            for name, values in columns.items():
+                own = values[at]
+                found[name].append(_squeezed(own if own.dtype.kind == "i" else own.astype("<f4").view("<i4")))
+        return pa.table([places["chunk"], places["bucket"], *(pa.array(v, pa.binary()) for v in found.values())], names=["chunk", "bucket", *found])
+
+    bucket = F.shiftrightunsigned("w", 64 - bits) if bits else F.lit(0).cast("long")
+    own = words.withColumn("bucket", bucket).groupBy("bucket")
+    return places.groupBy("bucket").cogroup(own).applyInArrow(run, "chunk long, bucket long, c binary, logp binary, tables binary, customers binary")
 
 
 def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column: str = "text", seed: int = 5) -> DataFrame:
@@ -337,14 +513,19 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     n_texts = chunks.select(F.size(F.filter("held", lambda h: ~h)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     total, distinct = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
 
-    same = Window.partitionBy("a", "b")
-    met = _pairs(chunks).withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("chunk")) == 1)
-    met = cut(met.filter("c > 0"), "pairs")
-    pair_seats = cut(_pair_seats(met, words, n_texts, total, seed), "pair-seats")
-    once = met.filter("first and c = 1").select("a", "b", "c", F.lit(1.0).alias("tables"))
-    seats = once.union(pair_seats)
+    tokens = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda t, x: t + x + 1))).first()[0] or 0
+    bits = int(tokens // BUCKET_PAIRS).bit_length()
+    shared = cut(_known(_pairs(chunks, bits)), "known-pairs")
+    met = cut(_met(chunks, shared, bits), "pairs")
+    of_word = met.filter("b is null").groupBy("a").agg(*(F.sum(n).alias(n) for n in ("dishes", "once", "ends")))
+    of_word = cut(of_word, "pairs-of-words")
+    pair_seats = cut(_pair_seats(met.filter("b is not null").select("a", "b", "c"), of_word.select("a", "dishes"), words, n_texts, total, seed, bits), "pair-seats")
+    seats = of_word.select("a", F.col("once").cast("double").alias("tables"), F.col("once").alias("c")).union(pair_seats.select("a", "tables", "c"))
     contexts = cut(seats.groupBy("a").agg(F.sum("tables").alias("tables"), F.sum("c").alias("customers")), "contexts")
+    seats = of_word.select(F.col("a").alias("b"), F.col("ends").cast("double").alias("tables")).union(pair_seats.select("b", "tables"))
     customers = cut(seats.groupBy("b").agg(F.round(F.sum("tables")).cast("long").alias("k")), "customers")
+    for done in (met, of_word):
+        durable.discard(done)
     edge = contexts.filter(F.col("a") == EDGE).first()
     edge = (edge["tables"], edge["customers"]) if edge else (0.0, 0)
     ends = customers.filter(F.col("b") == EDGE).first()
@@ -361,40 +542,41 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     logp = F.when(F.col("c") > 0, F.log10(mass)).otherwise(F.lit(float(np.log10(served))) + F.col("spelling")) - float(np.log10(STRENGTH + all_customers))
     known = seated.select("w", logp.alias("logp")).join(words.select("w", "c"), "w").join(contexts.withColumnRenamed("a", "w"), "w", "left")
     known = known.select("w", "c", "logp", F.coalesce("tables", F.lit(0.0)).alias("tables"), F.coalesce("customers", F.lit(0)).cast("long").alias("customers"))
-    looked = entries.select("chunk", "at", F.xxhash64("e.words").alias("w")).join(known, "w")
-    looked = looked.select(F.col("chunk").alias("owner"), F.col("at").cast("long").alias("at"), "c", F.col("logp").cast("float").alias("logp"), F.col("tables").cast("float").alias("tables"), "customers")
-    # a pair's place counts down from -1, and its mass stands for logp; a pair met once, in this chunk, is known there
-    sent = met.filter("c > 1 or n = 0").select("chunk", "at", "a", "b", "c").join(pair_seats.select("a", "b", "tables"), ["a", "b"], "left")
-    mass = F.col("c") - DISCOUNT * F.coalesce("tables", F.lit(1.0))
-    sent = sent.select(F.col("chunk").alias("owner"), (-1 - F.col("at")).alias("at"), F.lit(0).cast("long").alias("c"), mass.cast("float").alias("logp"), F.lit(0.0).cast("float").alias("tables"), F.lit(0).cast("long").alias("customers"))
-    looked = looked.union(sent)
+    known = cut(known, "word-values")
+    for done in (words, customers, contexts, seated):
+        durable.discard(done)
+    looked = cut(_values(_word_places(chunks, bits), known, bits), "chunk-values")
+    looked = looked.unionByName(_masses(shared, pair_seats), allowMissingColumns=True)
     floor = np.log10(total + 0.5 * (distinct + 1))
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        place, value = entries["at"].to_numpy(), entries["logp"].to_numpy().astype(float)
-        of_word = place >= 0
-        at, size = place[of_word], int(of_word.sum())
-        c, logp, tables, customers = np.zeros(size), np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-        c[at], logp[at] = entries["c"].to_numpy()[of_word], value[of_word]
-        tables[at], customers[at] = entries["tables"].to_numpy()[of_word], entries["customers"].to_numpy()[of_word]
-        logp[size], tables[size], customers[size] = end_p, *edge
+        of_words = entries.filter(pc.is_valid(entries["c"]))
+        of_pairs = entries.filter(pc.is_null(entries["c"]))
         found = [[] for _ in names]
         for i in range(len(texts)):
-            row = {n: texts[n][i].values for n in ("ids", "held", "lengths")}
-            lengths = row["lengths"].to_numpy()
-            codes = _unpacked(texts["codes"][i].as_py(), int(lengths.sum()))
+            row = {n: texts[n][i].values for n in ("ids", "held")}
+            pairs = _ChunkPairs(texts, i)
+            lengths, codes, first, then, starts = pairs.lengths, pairs.codes, pairs.first, pairs.then, pairs.starts(bits)
+            size = len(pairs.hashes) - 1
+            c, logp, tables, customers = np.zeros(size), np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+            logp[size], tables[size], customers[size] = end_p, *edge
+            order = np.argsort(pairs.hashes[:size].view(np.uint64), kind="stable")
+            begins = np.searchsorted(_bucket(pairs.hashes[:size].view(np.uint64)[order], bits), np.arange((1 << bits) + 1))
+            for j in range(len(of_words)):
+                bucket = of_words["bucket"][j].as_py()
+                at = order[begins[bucket] : begins[bucket + 1]]
+                c[at], customers[at] = (_restored(of_words[n][j].as_py()) for n in ("c", "customers"))
+                logp[at], tables[at] = (_restored(of_words[n][j].as_py()).astype("<i4").view("<f4") for n in ("logp", "tables"))
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            before, word = _steps(codes, lengths, size)
-            ids, inverse = np.unique(before * (size + 1) + word, return_inverse=True)
-            learn = ~np.repeat(row["held"].to_numpy(zero_copy_only=False).astype(bool), lengths + 1)
-            masses = (1 - DISCOUNT) * (np.bincount(inverse[learn], minlength=len(ids)) > 0)
-            masses[-1 - place[~of_word]] = value[~of_word]
-            first, then = ids // (size + 1), ids % (size + 1)
+            masses = (1 - DISCOUNT) * (pairs.n > 0)
+            for j in range(len(of_pairs)):
+                place = starts[of_pairs["bucket"][j].as_py()] + np.cumsum(_restored(of_pairs["places"][j].as_py()))
+                masses[place] = np.frombuffer(of_pairs["masses"][j].as_py(), "<f4")
             left = np.log10(STRENGTH + DISCOUNT * tables[first]) + logp[then]
             steps = np.where(masses > 0, np.log10(np.where(masses > 0, masses, 1) + np.power(10.0, left)), left) - np.log10(STRENGTH + customers[first])
             sums = [np.bincount(owner, weights=v[codes], minlength=len(lengths)) for v in (c > 0, np.log10(c + 0.5))]
-            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 1), weights=steps[inverse], minlength=len(lengths))
+            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 1), weights=steps[pairs.of_step], minlength=len(lengths))
             found[0] += row["ids"].to_pylist()
             found[1] += row["held"].to_pylist()
             found[2] += (lengths.astype(np.int64) + 1).tolist()
@@ -406,8 +588,7 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
         return pa.table([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], names=names)
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    own = chunks.select("chunk", "ids", "held", "lengths", "codes")
-    return own.groupBy("chunk").cogroup(looked.groupBy("owner")).applyInArrow(run, schema)
+    return _hashed(chunks).groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +37,27 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` once and read it back: a fixed result with a short lineage and real statistics."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    delete_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, label: str = "cut", drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back: a fixed result with a short lineage and real statistics.
+
+    With ``drop_shuffles`` the write's shuffle files are deleted when it has ended, and not whenever the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    try:
+        if drop_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a ``cut`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
