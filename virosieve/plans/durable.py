@@ -44,13 +44,14 @@ def cut(df: DataFrame, label: str = "cut", drop_shuffles: bool = False) -> DataF
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(_DROP_SHUFFLES)
+    if drop_shuffles:
+        before = spark.conf.get(_DROP_SHUFFLES)
+        spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        if drop_shuffles:
-            spark.conf.set(_DROP_SHUFFLES, "true")
         df.write.parquet(path)
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        if drop_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, before)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
