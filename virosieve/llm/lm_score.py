@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from virosieve.llm.pitman_yor import DISCOUNT, STRENGTH, Restaurants, Share, Spread, Subtree, mixed
-from virosieve.llm.text import column, id_remainder, small_batches
+from virosieve.llm.text import column, id_remainder, small_batches, tidy, tidy_cogroup, tidy_group
 from virosieve.plans import durable
 
 ORDER = 4
@@ -56,6 +56,8 @@ CHUNK = 1_500_000
 BROADCAST_ROWS = 2_000_000
 #: Tokens for each bucket of pairs (half of it at least), so that a task holds a bucket's pairs.
 BUCKET_PAIRS = 1_000_000
+#: Tokens or pairs of a chunk that are worked on at once where each takes many bytes.
+PIECE = 1 << 17
 BURN_IN, SAMPLES, MOVES = 2, 4, 3
 #: Symbols that are no characters: before a word, after a word, and the end of a text.
 START, STOP, END = 0, 1, 2
@@ -117,17 +119,18 @@ def _chunks(docs: DataFrame, id_column: str, text_column: str, held: Column) ->
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     names = ["chunk", "ids", "held", "lengths", "codes", "words", "train"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         held_out: list = []
         lengths: list = []
-        words: list = []
+        words: list = []  # each piece coded by itself, so that a repeated word takes four bytes
         filled = 0
 
         def flush() -> pa.RecordBatch:
-            coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
-            codes = coded.indices.to_numpy().astype(np.int32)
+            coded = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries().combine_chunks()
+            codes = coded.indices.to_numpy()
             learn = ~np.repeat(np.array(held_out, bool), lengths)
             train = np.bincount(codes[learn], minlength=len(coded.dictionary))
             values = [part << 32 | number, ids, held_out, lengths, _packed(codes), None, train]
@@ -137,10 +140,10 @@ def _chunks(docs: DataFrame, id_column: str, text_column: str, held: Column) ->
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in small_batches(batches, "text", 2 << 20):
-            listed = pc.split_pattern_regex(pc.ascii_lower(column(batch, "text").cast(pa.large_string())), "[ \t-\r]+")
+            listed = pc.ascii_split_whitespace(pc.ascii_lower(column(batch, "text").cast(pa.large_string())))
             flat, owner = listed.flatten(), pc.list_parent_indices(listed).to_numpy()
             solid = pc.greater(pc.binary_length(flat), 0)
-            words.append(flat.filter(solid))
+            words.append(flat.filter(solid).dictionary_encode())
             counts = np.bincount(owner[solid.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
             lengths += counts.tolist()
             ids += column(batch, "id").to_pylist()
@@ -161,6 +164,7 @@ def _counts(words: DataFrame) -> DataFrame:
     """``(h4, .., h1, symbol, n)``: training counts of each (context, symbol) of ``words(word, c)``; zero where only met."""
     names = [*CONTEXTS, "symbol", "n"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             word, contexts, symbol = grams(texts)
@@ -241,6 +245,7 @@ def probabilities(words: DataFrame, n_texts: int, seed: int = 5) -> DataFrame:
 def _word_scores(words: DataFrame, table: DataFrame) -> DataFrame:
     """``(w, spelling)``: log10 probability of the spelling of each distinct word of ``words(w, word)``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -257,6 +262,7 @@ def _word_scores(words: DataFrame, table: DataFrame) -> DataFrame:
 def _seated(words: DataFrame, served: int, seed: int) -> DataFrame:
     """``(w, c, spelling, tables)`` of ``words(w, c, spelling)``: each word's mean number of tables over Gibbs samples."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -274,13 +280,29 @@ def _seated(words: DataFrame, served: int, seed: int) -> DataFrame:
     return words.select("w", "c", "spelling").mapInArrow(run, "w long, c long, spelling double, tables double")
 
 
-def _steps(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(before, word)`` of each token, text ends included; ``n_words`` is a text's begin and its end."""
-    word = np.full(len(codes) + len(lengths), n_words, np.int64)
+def _steps(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> np.ndarray:
+    """``before * (n_words + 1) + word`` of each token, text ends included; ``n_words`` is a text's begin and its end."""
+    word = np.full(len(codes) + len(lengths), n_words, np.int32)
     inside = np.ones(len(word), bool)
     inside[np.cumsum(lengths.astype(np.int64) + 1) - 1] = False
     word[inside] = codes
-    return np.concatenate([[n_words], word[:-1]]).astype(np.int64)[: len(word)], word
+    steps = np.full(len(word), n_words * (n_words + 1), np.int64)
+    np.multiply(word[:-1], n_words + 1, out=steps[1:], dtype=np.int64)
+    steps += word
+    return steps
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, in less memory: values are overwritten, and places are 32 bits."""
+    order = np.argsort(values)
+    values[:] = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    inverse = np.empty(len(values), np.int32)
+    inverse[order] = number
+    return values[new], inverse
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -301,6 +323,13 @@ def _squeezed_steps(ascending: np.ndarray) -> bytes:
     return _squeezed(np.diff(ascending, prepend=ascending.dtype.type(0)).view(np.int64))
 
 
+def _text_pieces(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Where texts begin and end that have about ``PIECE`` tokens together, or are one text."""
+    piece = np.cumsum(lengths.astype(np.int64) + 1) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(lengths)]
+    return list(zip(cuts, cuts[1:], strict=False)) if len(lengths) else []
+
+
 class _ChunkPairs:
     """A chunk's distinct pairs of words that follow each other, in the order of their keys.
 
@@ -313,15 +342,17 @@ class _ChunkPairs:
         self.codes = _unpacked(chunk["codes"][i].as_py(), int(self.lengths.sum()))
         self.hashes = np.append(chunk["hashes"][i].values.to_numpy(), EDGE).astype(np.int64)
         size = len(self.hashes)
-        before, word = _steps(self.codes, self.lengths, size - 1)
-        ids, inverse = np.unique(before * size + word, return_inverse=True)
-        keys = pair_key(self.hashes[ids // size], self.hashes[ids % size])
-        order = np.argsort(keys, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.keys, self.first, self.then, self.of_step = keys[order], ids[order] // size, ids[order] % size, back[inverse]
+        ids, inverse = _distinct(_steps(self.codes, self.lengths, size - 1))
+        first, then = ((f(ids, size)).astype(np.int32) for f in (np.floor_divide, np.remainder))
+        del ids
+        keys = pair_key(self.hashes[first], self.hashes[then])
+        order = np.argsort(keys)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.keys, self.first, self.then, self.of_step = keys[order], first[order], then[order], back[inverse]
+        del keys, order, back, inverse, first, then
         learn = ~np.repeat(chunk["held"][i].values.to_numpy(zero_copy_only=False).astype(bool), self.lengths + 1)
-        self.n = np.bincount(self.of_step[learn], minlength=len(ids))
+        self.n = np.bincount(self.of_step[learn], minlength=len(self.keys))
 
     def starts(self, bits: int) -> np.ndarray:
         """Where each bucket's pairs begin, and the end."""
@@ -344,6 +375,7 @@ def _hashed(chunks: DataFrame) -> DataFrame:
 def _pairs(chunks: DataFrame, bits: int) -> DataFrame:
     """``(bucket, chunk, keys, n)``: each chunk's distinct pairs of a bucket and their training counts, packed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -366,18 +398,23 @@ def _known(pairs: DataFrame) -> DataFrame:
     """
     names = ["bucket", "chunk", "places", "c", "numbers", "owned"]
 
+    @tidy_group
     def run(table: pa.Table) -> pa.Table:
         blocks = [np.cumsum(_restored(k.as_py()).view(np.uint64)) for k in table["keys"]]
+        sizes, keys = [len(b) for b in blocks], np.concatenate(blocks)
+        del blocks
+        keys, inverse = _distinct(keys)
         n = np.concatenate([_restored(v.as_py()) for v in table["n"]])
-        keys, first, inverse = np.unique(np.concatenate(blocks), return_index=True, return_inverse=True)
         total = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
-        owned = np.zeros(len(n), np.int64)
-        owned[first] = 1
+        del keys
+        owner, owned = np.empty(len(total), np.int64), np.zeros(len(n), np.int64)
+        owner[inverse] = np.arange(len(n))
+        owned[owner] = 1
         c, number = total[inverse], (np.cumsum(total > 1) - 1)[inverse]
         found, begin = [[] for _ in names], 0
-        for i, block in enumerate(blocks):
-            own = slice(begin, begin + len(block))
-            begin += len(block)
+        for i, size in enumerate(sizes):
+            own = slice(begin, begin + size)
+            begin += size
             at = np.flatnonzero((c[own] > 1) | ((n[own] == 0) & (c[own] > 0)))
             if len(at):
                 values = [table["bucket"][i].as_py(), table["chunk"][i].as_py(), _squeezed_steps(at), _squeezed(c[own][at]), _squeezed_steps(number[own][at]), _squeezed(owned[own][at])]
@@ -394,6 +431,7 @@ def _met(chunks: DataFrame, known: DataFrame, bits: int) -> DataFrame:
     null, of a chunk's word, the pairs that it begins, those of them met once, and those met once that it ends."""
     names = ["a", "b", "c", "dishes", "once", "ends"]
 
+    @tidy_cogroup
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         found = [[np.zeros(0, np.int64)] for _ in names]
         for i in range(len(texts)):
@@ -427,6 +465,7 @@ def _pair_seats(met: DataFrame, dishes: DataFrame, words: DataFrame, n_texts: in
     """``(a, b, c, tables, key, bucket)`` of ``met(a, b, c)``, pairs met more than once: their mean number of tables over Gibbs samples."""
     names = ["a", "b", "c", "tables", "key", "bucket"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -452,6 +491,7 @@ def _masses(known: DataFrame, seats: DataFrame) -> DataFrame:
     """``(chunk, bucket, places, masses)``: what each pair of ``known`` has beside its context's share of the words, packed."""
     names = ["chunk", "bucket", "places", "masses"]
 
+    @tidy_cogroup
     def run(known: pa.Table, seats: pa.Table) -> pa.Table:
         _, first = np.unique(seats["key"].to_numpy().view(np.uint64), return_index=True)
         tables = np.append(seats["tables"].to_numpy()[first], 1.0)
@@ -468,6 +508,7 @@ def _masses(known: DataFrame, seats: DataFrame) -> DataFrame:
 def _word_places(chunks: DataFrame, bits: int) -> DataFrame:
     """``(bucket, chunk, keys)``: the hashes of each chunk's words of a bucket, ascending, packed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -483,6 +524,7 @@ def _word_places(chunks: DataFrame, bits: int) -> DataFrame:
 def _values(places: DataFrame, words: DataFrame, bits: int) -> DataFrame:
     """``(chunk, bucket, c, logp, tables, customers)``: those columns of ``words(w, ..)`` for the words of ``places``, packed."""
 
+    @tidy_cogroup
     def run(places: pa.Table, words: pa.Table) -> pa.Table:
         keys = words["w"].to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -506,7 +548,7 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     ``held`` marks rows that the model doesn't learn from.
     """
     chunks = cut(_chunks(docs, id_column, text_column, held), "chunks")
-    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "e"))
+    entries = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("e"))
     words = entries.groupBy(F.col("e.words").alias("word")).agg(F.sum("e.train").alias("c"))
     words = cut(words.withColumn("w", F.xxhash64("word")), "words")
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -550,6 +592,7 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     floor = np.log10(total + 0.5 * (distinct + 1))
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    @tidy_cogroup
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
         of_words = entries.filter(pc.is_valid(entries["c"]))
         of_pairs = entries.filter(pc.is_null(entries["c"]))
@@ -568,15 +611,27 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
                 at = order[begins[bucket] : begins[bucket + 1]]
                 c[at], customers[at] = (_restored(of_words[n][j].as_py()) for n in ("c", "customers"))
                 logp[at], tables[at] = (_restored(of_words[n][j].as_py()).astype("<i4").view("<f4") for n in ("logp", "tables"))
-            owner = np.repeat(np.arange(len(lengths)), lengths)
             masses = (1 - DISCOUNT) * (pairs.n > 0)
             for j in range(len(of_pairs)):
                 place = starts[of_pairs["bucket"][j].as_py()] + np.cumsum(_restored(of_pairs["places"][j].as_py()))
                 masses[place] = np.frombuffer(of_pairs["masses"][j].as_py(), "<f4")
-            left = np.log10(STRENGTH + DISCOUNT * tables[first]) + logp[then]
-            steps = np.where(masses > 0, np.log10(np.where(masses > 0, masses, 1) + np.power(10.0, left)), left) - np.log10(STRENGTH + customers[first])
-            sums = [np.bincount(owner, weights=v[codes], minlength=len(lengths)) for v in (c > 0, np.log10(c + 0.5))]
-            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 1), weights=steps[pairs.of_step], minlength=len(lengths))
+            steps = masses  # overwritten bit by bit
+            for begin in range(0, len(masses), PIECE):
+                part = slice(begin, begin + PIECE)
+                left = np.log10(STRENGTH + DISCOUNT * tables[first[part]]) + logp[then[part]]
+                some = masses[part] > 0
+                total_mass = np.log10(np.where(some, masses[part], 1) + np.power(10.0, left))
+                steps[part] = np.where(some, total_mass, left) - np.log10(STRENGTH + customers[first[part]])
+            met, smooth = (c > 0).astype(float), np.log10(c + 0.5)
+            sums, score = [np.zeros(len(lengths)), np.zeros(len(lengths))], np.zeros(len(lengths))
+            ends = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+            for begin, stop in _text_pieces(lengths):
+                own, texts_there = codes[ends[begin] : ends[stop]], np.arange(stop - begin)
+                owner = np.repeat(texts_there, lengths[begin:stop])
+                for to, v in zip(sums, (met, smooth), strict=True):
+                    to[begin:stop] = np.bincount(owner, weights=v[own], minlength=stop - begin)
+                owner = np.repeat(texts_there, lengths[begin:stop] + 1)
+                score[begin:stop] = np.bincount(owner, weights=steps[pairs.of_step[ends[begin] + begin : ends[stop] + stop]], minlength=stop - begin)
             found[0] += row["ids"].to_pylist()
             found[1] += row["held"].to_pylist()
             found[2] += (lengths.astype(np.int64) + 1).tolist()

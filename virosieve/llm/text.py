@@ -40,16 +40,43 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
     """An Arrow function that gives its memory back when it ends: workers are reused by the next stage."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim is not None:
-            trim(0)
+        give_back()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """Like ``tidy``, for an Arrow function of a group; a group's memory goes back before the next one comes."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        found = run(table)
+        give_back()
+        return found
+
+    return wrapped
+
+
+def tidy_cogroup(run):
+    """Like ``tidy_group``, for an Arrow function of two groups."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = run(left, right)
+        give_back()
+        return found
 
     return wrapped
 
