@@ -239,7 +239,9 @@ def probabilities(words: DataFrame, n_texts: int, seed: int = 5) -> DataFrame:
     root, unseen = _root({r["symbol"]: r["n"] for r in first if r["n"]}, symbols, seed)
     tables = _sampled(counts, root, unseen, True, seed).groupBy("symbol").agg(F.sum("tables").alias("n"))
     root, unseen = _root({r["symbol"]: r["n"] for r in tables.collect() if r["n"]}, symbols, seed)
-    return cut(_sampled(counts, root, unseen, False, seed + 1), "gram-probabilities")
+    found = cut(_sampled(counts, root, unseen, False, seed + 1), "gram-probabilities")
+    durable.discard(counts)
+    return found
 
 
 def _word_scores(words: DataFrame, table: DataFrame) -> DataFrame:
@@ -585,7 +587,7 @@ def scored(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     known = seated.select("w", logp.alias("logp")).join(words.select("w", "c"), "w").join(contexts.withColumnRenamed("a", "w"), "w", "left")
     known = known.select("w", "c", "logp", F.coalesce("tables", F.lit(0.0)).alias("tables"), F.coalesce("customers", F.lit(0)).cast("long").alias("customers"))
     known = cut(known, "word-values")
-    for done in (words, customers, contexts, seated):
+    for done in (words, customers, contexts, seated, table):
         durable.discard(done)
     looked = cut(_values(_word_places(chunks, bits), known, bits), "chunk-values")
     looked = looked.unionByName(_masses(shared, pair_seats), allowMissingColumns=True)
