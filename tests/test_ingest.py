@@ -7,6 +7,8 @@ from virosieve.operators import ingest_annotations as ia, ingest_changes as ic,
 from virosieve.operators import ingest_samples as isa, ingest_scores as isc, validate
 from virosieve.sources.sinks import write_tables
 from virosieve.tables import GEO_COLUMNS, Tables
+from virosieve.workload import binding, ingest_queries
+from virosieve.workload.raw import raw_frame
 
 
 def frame(spark, schema, *rows):
@@ -365,6 +367,63 @@ def test_marker_sets_are_compared_without_their_ids(spark, monkeypatch):
     assert sorted((e, sorted(s)) for (_, e), s in sets.items()) == sorted(wanted)
 
 
+def test_stored_members_are_digested_where_their_bounds_fit(spark, monkeypatch):
+    """Members of annotations that can have no group's set are not shuffled; shuffle files go with each written table."""
+    ids = [(n, "XAJ25416.1", n % 4, "A", "K") for n in range(1, 41)]
+    sets = {k: [n for n, *_ in ids if n % 4 == k] for k in range(4)}
+    old = [(k, n) for k in sets for n in sets[k]] + [(5, n) for n in sets[1] if n != 5] + [(6, n) for n in sets[1]] * 2
+    old += [(7, 1), (7, None), (None, 1), (8, None), (9, 1)] + [(n, n) for n in range(100, 300)]
+    effects = [(k, "e") for k in (0, 1, 5, 7, 8, None)] + [(6, "f"), (2, "f"), (3, None)] + [(n, "e") for n in range(100, 300)]
+    frames = {
+        "amino_acids": spark.createDataFrame(ids, "id long, gff_feature string, position_aa long, ref_aa string, alt_aa string"),
+        "effects": spark.createDataFrame([], "detail string"),
+        "papers": spark.createDataFrame([], "id long, authors string, publication_year long, title string"),
+        "annotations": spark.createDataFrame(effects, "annotation_id long, effect_detail string"),
+        "annotations_amino_acids": spark.createDataFrame(old, "annotation_id long, amino_acid_id long"),
+        "annotations_papers": spark.createDataFrame([], "annotation_id long, paper_id long"),
+    }
+    groups = [("m1", "e", [1]), ("m2", "e", [2]), ("m3", "f", [1]), ("m4", "f", [1, 2]), ("m5", "e", [1, 3])]
+    markers = [(f"M1:A{x}K", effect, "t", "a", 2000, m) for m, effect, xs in groups for x in xs]
+    schema = "aa_change string, effect_detail string, title string, authors string, publication_year long, marker_id string"
+    digested, digest, written, dropped = [], ia._fingerprints, ia.cut, []
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+
+    def spied(members, keys):
+        if keys == ["annotation_id"]:
+            digested.extend(sorted({r.annotation_id for r in members.collect()}))
+        return digest(members, keys)
+
+    monkeypatch.setattr(ia, "_fingerprints", spied)
+    monkeypatch.setattr(ia, "cut", lambda df, label: dropped.append(spark.conf.get(setting)) or written(df, label))
+    loaded = ia.ingest_annotations(Tables(frames), spark.createDataFrame(markers, schema))
+    assert digested == [1, 5, 6]
+    assert set(dropped) == {"true"} and spark.conf.get(setting) == before
+    got = {}
+    for r in loaded.annotations_amino_acids.join(loaded.annotations.filter("annotation_id >= 300"), "annotation_id").collect():
+        got.setdefault((r.annotation_id, r.effect_detail), []).append(r.amino_acid_id)
+    # e: m1 is known by 1; f: m3 is known by 6
+    wanted = [("e", sets[2]), ("e", sorted(sets[1] + sets[3])), ("f", sorted(sets[1] + sets[2]))]
+    assert sorted((e, sorted(s)) for (_, e), s in got.items()) == sorted(wanted)
+
+
+def test_known_members_are_distinct_without_a_shuffle_of_pairs(spark, tmp_path):
+    """The stored members of the queries are the rows of their SQL, also where keys repeat or are null."""
+    part = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    made = [(n, "x", f"b{n % 3}", f"t{n % 3}", n % 5, 1.0) for n in [*range(0, 400, 4), 20, 20, 40]]
+    made += [(40, "x", "b", "t0", 1, 1.0), (None, "x", "b", "t0", 1, 1.0), (60, "x", "b", None, 1, 1.0), (60, "x", "b", "t2", None, 1.0)]
+    for name in binding.BASE_TABLES:
+        if name != "part":
+            spark.range(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame(made, part).write.parquet(str(tmp_path / "part.parquet"))
+    got = ingest_queries.known_members(spark, str(tmp_path))
+    wanted = raw_frame(spark, str(tmp_path), "known_annotation_members")
+    assert got.dtypes == wanted.dtypes
+    assert rows(got) == rows(wanted) and len(rows(got)) > 30
+    single = got._jdf.queryExecution().optimizedPlan().children().head().toString().splitlines()
+    assert single[0].startswith("Project") and single[1].startswith("+- Join")
+
+
 def test_checks_pass_on_clean_tables(tables):
     names = {r.reference: r.n_violations for r in validate.check_all_references(tables).collect()}
     assert set(names.values()) == {0}

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from virosieve.functions.changes import mature_to_sequential, parse_change
-from virosieve.plans.durable import cut
+from virosieve.plans.durable import cut, shuffles_dropped
 from virosieve.plans.ids import assign_ids, highest
 from virosieve.plans.joins import join_null_safe
 from virosieve.tables import Tables
@@ -34,6 +34,12 @@ _READING = ["gff_feature", "position_aa", "ref_aa", "alt_aa"]
 _PAPER_KEY = ["authors", "publication_year", "title"]
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``cut``, whose shuffle files go as soon as it is written: the loads of one session would add up on disk."""
+    with shuffles_dropped(df.sparkSession):
+        return cut(df, label)
+
+
 def marker_changes(rows: DataFrame, features: dict[str, str] | None = None, mature_feature: str = HA_FEATURE) -> DataFrame:
     """(marker, effect) with the change columns that a marker row names; nulls where it names none.
     Sites of the HA feature are renumbered from mature to sequential."""
@@ -111,21 +117,28 @@ def new_annotation_groups(members: DataFrame, parts: DataFrame, tables: Tables)
 
     Each group is compared with one representative of its digest, so the work is linear in the
     members however many groups share a set. New groups are compared by parts of the catalog, so their
-    ids are never listed.
+    ids are never listed. Stored members are shuffled only of annotations whose lowest and highest id are
+    those of a group of their effect; tasks find these bounds before they shuffle.
     """
-    groups = cut(_joined_fingerprints(members, _GROUP), "marker-digests")
+    groups = _written(_joined_fingerprints(members, _GROUP), "marker-digests")
 
-    # one shuffle by annotation serves the distinct ids and the digest
     old_members = tables.annotations_amino_acids.select("annotation_id", "amino_acid_id")
     effects = tables.annotations.select("annotation_id", "effect_detail").distinct()
+    id_ = F.col("amino_acid_id")
+    bounds = old_members.groupBy("annotation_id").agg(F.min(id_).alias("low"), F.max(id_).alias("high"))
+    wanted = groups.select("effect_detail", "digest.low", "digest.high").distinct()
+    likely = bounds.join(effects, "annotation_id").join(wanted, ["effect_detail", "low", "high"], "left_semi")
+    likely = _written(likely.select("annotation_id", "effect_detail"), "likely-annotations")
+    compared = old_members.join(likely.select("annotation_id").distinct(), "annotation_id", "left_semi")
+    # one shuffle by annotation serves the distinct ids and the digest
     old = (
-        _fingerprints(old_members.repartition("annotation_id").distinct(), ["annotation_id"])
-        .join(effects, "annotation_id")
+        _fingerprints(compared.repartition("annotation_id").distinct(), ["annotation_id"])
+        .join(likely, "annotation_id")
         .groupBy("effect_detail", "digest")
         .agg(F.min("annotation_id").alias("annotation_id"))
     )
     candidates = groups.join(old, ["effect_detail", "digest"]).select(*_GROUP, "annotation_id", F.col("digest.n").alias("n"))
-    candidates = cut(candidates, "marker-candidates")
+    candidates = _written(candidates, "marker-candidates")
     part_of = parts.select("amino_acid_id", "part").distinct()
     held = (
         old_members.join(candidates.select("annotation_id"), "annotation_id", "left_semi")
@@ -135,7 +148,7 @@ def new_annotation_groups(members: DataFrame, parts: DataFrame, tables: Tables)
     )
     known = _same_members(candidates, members, _GROUP, held, ["annotation_id"])
 
-    fresh = cut(groups.join(known, _GROUP, "left_anti"), "marker-groups")
+    fresh = _written(groups.join(known, _GROUP, "left_anti"), "marker-groups")
     first = fresh.groupBy("effect_detail", "digest").agg(F.min("marker_id").alias("first_marker"))
     paired = fresh.join(first, ["effect_detail", "digest"]).filter(F.col("marker_id") != F.col("first_marker"))
     first_members = members.select(
@@ -156,8 +169,8 @@ def ingest_annotations(tables: Tables, rows: DataFrame, features: dict[str, str]
     tables that others refer to by id are written first.
     """
     changes = marker_changes(rows, features, mature_feature)
-    parts = cut(_catalog_parts(tables.amino_acids), "catalog-parts")
-    members = cut(_complete_sets(changes, parts), "marker-members")
+    parts = _written(_catalog_parts(tables.amino_acids), "catalog-parts")
+    members = _written(_complete_sets(changes, parts), "marker-members")
     usable = rows.join(members.select(*_GROUP).distinct(), _GROUP, "left_semi")
 
     details = usable.select(F.col("effect_detail").alias("detail")).distinct()
@@ -166,11 +179,11 @@ def ingest_annotations(tables: Tables, rows: DataFrame, features: dict[str, str]
     cited = usable.select(*_PAPER_KEY).distinct()
     new_papers = join_null_safe(cited, tables.papers.select(*_PAPER_KEY), _PAPER_KEY, "left_anti")
     added_papers = assign_ids(new_papers, _PAPER_KEY, highest(tables.papers))
-    papers = cut(tables.papers.unionByName(added_papers), "papers")
+    papers = _written(tables.papers.unionByName(added_papers), "papers")
 
     new = new_annotation_groups(members, parts, tables)
     added = assign_ids(new, _GROUP, highest(tables.annotations, "annotation_id"), "annotation_id")
-    added = cut(added, "annotations")
+    added = _written(added, "annotations")
     annotations = tables.annotations.unionByName(added.select(*tables.annotations.columns))
     ids = parts.select("part", "amino_acid_id").distinct()
     links = members.join(added, _GROUP).select("annotation_id", "part").join(ids, "part").select("annotation_id", "amino_acid_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,21 +39,26 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile deletes its shuffle files when it has ended, and not whenever the driver collects garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def cut(df: DataFrame, label: str = "cut", drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` once and read it back: a fixed result with a short lineage and real statistics.
 
-    With ``drop_shuffles`` the write's shuffle files are deleted when it has ended, and not whenever the driver collects garbage.
+    ``drop_shuffles``: see ``shuffles_dropped``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    if drop_shuffles:
-        before = spark.conf.get(_DROP_SHUFFLES)
-        spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    with shuffles_dropped(spark) if drop_shuffles else nullcontext():
         df.write.parquet(path)
-    finally:
-        if drop_shuffles:
-            spark.conf.set(_DROP_SHUFFLES, before)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

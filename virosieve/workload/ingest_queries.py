@@ -36,6 +36,35 @@ def on_both(operator: Callable[..., DataFrame], *names: str) -> Query:
     return run
 
 
+def known_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``known_annotation_members``, without its DISTINCT over all pairs, which shuffles them for each use.
+
+    Of distinct readings of annotations and ids, pairs repeat only for annotations of several readings; those alone
+    are made distinct.
+    """
+    reading = ["gff_feature", "position_aa", "ref_aa", "alt_aa"]
+    ids = binding.frame(spark, sf_dir, binding.DOMAIN["amino_acids"]).select(F.col("id").alias("amino_acid_id"), *reading).distinct()
+    known = raw_frame(spark, sf_dir, "known_annotations").select("annotation_id")
+    read = known.join(ids, F.col("annotation_id") == F.col("amino_acid_id")).select("annotation_id", *reading)
+    read = read.na.drop(subset=reading).distinct()
+    several = read.groupBy("annotation_id").agg(F.count("*").alias("n")).filter("n > 1").select("annotation_id")
+
+    def pairs(how: str) -> DataFrame:
+        return read.join(several, "annotation_id", how).join(ids, reading).select("annotation_id", "amino_acid_id")
+
+    return pairs("left_anti").unionByName(pairs("left_semi").distinct())
+
+
+def on_markers(operator: Callable[..., DataFrame]) -> Query:
+    """An operator over the domain tables, marker rows and stored annotations with their members."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = [raw_frame(spark, sf_dir, n) for n in ("raw_markers", "known_annotations")]
+        return portable(operator(binding.tables(spark, sf_dir), *inputs, known_members(spark, sf_dir)))
+
+    return run
+
+
 def cleaning() -> dict[str, Query]:
     q: dict[str, Query] = {}
 
@@ -151,14 +180,14 @@ def dimension_loading() -> dict[str, Query]:
 
     def members(*inputs):
         loaded = annotate(*inputs)
-        return loaded.annotations_amino_acids.join(loaded.annotations, "annotation_id")
-
-    inputs = ("raw_markers", "known_annotations", "known_annotation_members")
-    q["ingest_annotations"] = on_both(members, *inputs)
-    q["ingest_annotations_papers"] = on_both(lambda *a: annotate(*a).papers.drop("id"), *inputs)
-    q["ingest_annotations_effects"] = on_both(lambda *a: annotate(*a).effects, *inputs)
-    q["ingest_annotations_citations"] = on_both(
-        lambda *a: annotate(*a).annotations_papers.groupBy("annotation_id").agg(F.count("*").alias("n")), *inputs
+        # members are not sorted for the join: their sort would spill
+        return loaded.annotations_amino_acids.join(loaded.annotations.hint("shuffle_hash"), "annotation_id")
+
+    q["ingest_annotations"] = on_markers(members)
+    q["ingest_annotations_papers"] = on_markers(lambda *a: annotate(*a).papers.drop("id"))
+    q["ingest_annotations_effects"] = on_markers(lambda *a: annotate(*a).effects)
+    q["ingest_annotations_citations"] = on_markers(
+        lambda *a: annotate(*a).annotations_papers.groupBy("annotation_id").agg(F.count("*").alias("n"))
     )
     return q
 
