@@ -265,3 +265,26 @@ def test_files_of_other_headers_are_not_read_again(spark, tmp_path):
         chosen = found.with_header([header])
         assert chosen.files == [header.example.replace("%20", " ")]
         assert chosen.rows(header.names).count() == 1
+
+
+def test_differing_headers_need_no_join_of_lines(spark, tmp_path):
+    """Files of one header are one scan: lines are neither shuffled by their few files nor parsed once for every cell."""
+    write(tmp_path / "a 1.tsv", [["n", "text"], [1, "x"], ["n", "text"], [2, ""]])
+    write(tmp_path / "b.tsv", [["text", "more", "n"], ["y", "m", 3]])
+    write(tmp_path / "c.tsv", [["n", "text"], [4, "z"]])
+    found = scan(spark, str(tmp_path), "\t")
+    every = found.rows(["n", "text"], ["more"])
+    one = found.with_header([h for h in found.headers if len(h.names) == 2]).rows(["n", "text"])
+    for df in (every, one):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    got = every.orderBy("input_order").drop("input_order").collect()
+    assert [tuple(r) for r in got] == [("1", "x", None), ("2", None, None), ("3", "y", "m"), ("4", "z", None)]
+    assert sorted(r.n for r in one.collect()) == ["1", "2", "4"]
+
+
+def test_files_listed_twice_are_told_apart_by_a_join(spark, tmp_path):
+    paths = [write(tmp_path / "a.tsv", [["n", "text"], [1, "x"]]), write(tmp_path / "b.tsv", [["text", "n"], ["y", 2]])]
+    found = scan(spark, [*paths, str(tmp_path)], "\t")
+    assert found._by_header() is None
+    assert {tuple(r) for r in found.rows(["n", "text"]).drop("input_order").collect()} == {("1", "x"), ("2", "y")}

@@ -6,6 +6,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +72,31 @@ class DelimitedFiles:
     def with_header(self, chosen: Iterable[Header]) -> "DelimitedFiles":
         """The files with one of the chosen headers; others are not read again."""
         headers = [h for h in self.headers if h in set(chosen)]
-        theirs = self.firsts.filter(F.col("header").isin([h.text for h in headers])).select("file")
-        theirs = {row["file"] for row in theirs.collect()}
-        as_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        files = [file for file in self.files if as_path(file).toUri().toString() in theirs]
+        firsts = self.firsts.filter(F.col("header").isin([h.text for h in headers]))
+        theirs = {row["file"] for row in firsts.select("file").collect()}
+        files = [file for file in self.files if self._as_spark(file) in theirs]
         # no file may be lost by the way its path is written; the join in ``rows`` tells them apart as well
-        return replace(self, headers=headers, files=files if len(files) == len(theirs) else self.files)
+        return replace(self, headers=headers, firsts=firsts, files=files if len(files) == len(theirs) else self.files)
+
+    def _as_spark(self, file: str) -> str:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).toUri().toString()
+
+    def _by_header(self) -> list[tuple[Header, list[str]]] | None:
+        """The files of each header, or nothing where a file is listed twice or its path is not written as Spark does."""
+        if len(self.headers) == 1:
+            of_it = self.firsts.filter(F.col("header") == self.headers[0].text).count()
+            return [(self.headers[0], self.files)] if self.firsts.count() == len(self.files) == of_it else None
+        number = F.coalesce(*[F.when(F.col("header") == h.text, i) for i, h in enumerate(self.headers)])
+        found = self.firsts.select("file", number.alias("layout")).filter("layout IS NOT NULL").collect()
+        layout, files = dict(found), [[] for _ in self.headers]
+        if not len(layout) == len(found) == len(self.files):
+            return None
+        for file in self.files:
+            at = layout.pop(self._as_spark(file), None)
+            if at is None:
+                return None
+            files[at].append(file)
+        return list(zip(self.headers, files, strict=True))
 
     def check(self, required: Iterable[str], exact: bool = False) -> None:
         for header in self.headers:
@@ -88,41 +108,45 @@ class DelimitedFiles:
                 )
 
     def rows(self, required: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:
-        """All records in one scan of the lines: cells as text, blank ones null, and ``input_order``.
+        """All records: cells as text, blank ones null, and ``input_order``.
 
-        The header of its file comes to each line (by a join on the file where headers differ), and tells
-        which columns its cells are; an optional column that it lacks is null. Lines that repeat the header
-        in a file's first block are left out, as are blank lines.
+        The files of one header are one scan of the lines, as a join would shuffle all lines by their few files. The
+        header tells which columns the cells are; an optional column that it lacks is null. Lines that repeat the
+        header in a file's first block are left out, as are blank lines.
         """
-        names = [*required, *optional]
-        lines = _lines(self.spark, self.files).withColumn("input_order", input_order())
-        if len(self.headers) == 1 and self.firsts.count() == len(self.files) == self.firsts.filter(F.col("header") == self.headers[0].text).count():
-            lines = lines.withColumn("layout", F.lit(0))
-        else:
-            known = self.spark.createDataFrame([(h.text, i) for i, h in enumerate(self.headers)], "header string, layout int")
-            lines = lines.join(self.firsts.join(F.broadcast(known), "header").drop("header"), "file")
-        record, is_header = None, F.lit(False)
-        for i, header in enumerate(self.headers):
-            here = F.col("layout") == i
-            is_header = is_header | (here & (F.col("value") == header.text))
-            cells = F.from_csv(
-                "value", ", ".join(f"c{k} string" for k in range(len(header.names))),
-                {"sep": self.sep, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"},
-            )
-            cell = {name: cells[f"c{k}"] for k, name in enumerate(header.names)}
-            fields = F.struct(*[cell.get(name, F.lit(None).cast("string")).alias(f"c{k}") for k, name in enumerate(names)])
-            record = fields if record is None and len(self.headers) == 1 else F.when(here, fields).otherwise(record)
-        # Spark's own reader leaves lines of blanks and control characters out, too
-        kept = lines.filter(~((F.col("block") == 0) & is_header) & F.col("value").rlike(r"[^\x00-\x20]"))
-        # explode keeps expressions over the cells from parsing the line again, each for itself
-        parsed = kept.select(record.alias("record"), "input_order").select(F.explode(F.array("record")).alias("record"), "input_order")
-        return parsed.select(*[F.col(f"record.c{k}").alias(name) for k, name in enumerate(names)], "input_order")
+        names, by_header = [*required, *optional], self._by_header()
+        if by_header is not None:
+            scans = [_records(_lines(self.spark, files).withColumn("layout", F.lit(0)), [h], names, self.sep) for h, files in by_header]
+            return reduce(DataFrame.unionByName, scans)
+        known = self.spark.createDataFrame([(h.text, i) for i, h in enumerate(self.headers)], "header string, layout int")
+        layouts = self.firsts.join(F.broadcast(known), "header").drop("header")
+        return _records(_lines(self.spark, self.files).join(layouts, "file"), self.headers, names, self.sep)
+
+
+def _records(lines: DataFrame, headers: list[Header], names: list[str], sep: str) -> DataFrame:
+    """The cells of lines whose ``layout`` is the number of their header."""
+    record, is_header = None, F.lit(False)
+    for i, header in enumerate(headers):
+        here = F.col("layout") == i
+        is_header = is_header | (here & (F.col("value") == header.text))
+        cells = F.from_csv(
+            "value", ", ".join(f"c{k} string" for k in range(len(header.names))),
+            {"sep": sep, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"},
+        )
+        cell = {name: cells[f"c{k}"] for k, name in enumerate(header.names)}
+        fields = F.struct(*[cell.get(name, F.lit(None).cast("string")).alias(f"c{k}") for k, name in enumerate(names)])
+        record = fields if record is None and len(headers) == 1 else F.when(here, fields).otherwise(record)
+    # Spark's own reader leaves lines of blanks and control characters out, too
+    kept = lines.filter(~((F.col("block") == 0) & is_header) & F.col("value").rlike(r"[^\x00-\x20]"))
+    # explode keeps expressions over the cells from parsing the line again, each for itself
+    parsed = kept.select(record.alias("record"), "input_order").select(F.explode(F.array("record")).alias("record"), "input_order")
+    return parsed.select(*[F.col(f"record.c{k}").alias(name) for k, name in enumerate(names)], "input_order")
 
 
 def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """``value, file, block`` of every line."""
+    """``value, file, block, input_order`` of every line."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.text(files).select("value", *place, "_metadata")
+    return spark.read.text(files).select("value", *place, input_order())
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
